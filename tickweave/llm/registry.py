@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, substring
 from .common import table
 
 
 def queries():
     return {
         "op1_simhash_near_dedup": lambda spark, d: simhash.near_duplicate_classes(table(spark, d, "documents")),
+        "op7_substring_dedup": lambda spark, d: substring.passage_report(table(spark, d, "documents")),
     }
 
 
