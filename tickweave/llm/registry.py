@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import simhash, substring
+from . import simhash, substring, urls
 from .common import table
 
 
@@ -10,8 +10,9 @@ def queries():
     return {
         "op1_simhash_near_dedup": lambda spark, d: simhash.near_duplicate_classes(table(spark, d, "documents")),
         "op7_substring_dedup": lambda spark, d: substring.passage_report(table(spark, d, "documents")),
+        "op10_url_filter": lambda spark, d: urls.judge_urls(table(spark, d, "pages")),
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op10_url_filter": urls.oracle()}
