@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash, substring, urls
+from . import packing, quality, simhash, substring, urls
 from .common import table
 
 
 def queries():
     return {
         "op1_simhash_near_dedup": lambda spark, d: simhash.near_duplicate_classes(table(spark, d, "documents")),
+        "op2_quality_classifier": lambda spark, d: quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op3_best_fit_packing": lambda spark, d: packing.packed_sequences(table(spark, d, "documents")),
         "op7_substring_dedup": lambda spark, d: substring.passage_report(table(spark, d, "documents")),
         "op10_url_filter": lambda spark, d: urls.judge_urls(table(spark, d, "pages")),
     }
