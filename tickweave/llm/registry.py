@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash, substring, urls
+from . import decontaminate, packing, quality, simhash, substring, urls
 from .common import table
 
 
@@ -12,6 +12,7 @@ def queries():
         "op2_quality_classifier": lambda spark, d: quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
         "op3_best_fit_packing": lambda spark, d: packing.packed_sequences(table(spark, d, "documents")),
         "op7_substring_dedup": lambda spark, d: substring.passage_report(table(spark, d, "documents")),
+        "op8_benchmark_decontamination": lambda spark, d: decontaminate.leak_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op10_url_filter": lambda spark, d: urls.judge_urls(table(spark, d, "pages")),
     }
 
