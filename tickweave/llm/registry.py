@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, simhash, substring, urls
+from . import decontaminate, licenses, packing, quality, simhash, substring, urls
 from .common import table
 
 
@@ -13,9 +13,10 @@ def queries():
         "op3_best_fit_packing": lambda spark, d: packing.packed_sequences(table(spark, d, "documents")),
         "op7_substring_dedup": lambda spark, d: substring.passage_report(table(spark, d, "documents")),
         "op8_benchmark_decontamination": lambda spark, d: decontaminate.leak_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op9_license_scan": lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")),
         "op10_url_filter": lambda spark, d: urls.judge_urls(table(spark, d, "pages")),
     }
 
 
 def oracle_sql():
-    return {"op10_url_filter": urls.oracle()}
+    return {"op9_license_scan": licenses.oracle(), "op10_url_filter": urls.oracle()}
