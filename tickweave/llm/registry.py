@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, quality, simhash, substring, urls
+from . import decontaminate, licenses, merkle, packing, quality, simhash, substring, urls
 from .common import table
 
 
@@ -11,6 +11,7 @@ def queries():
         "op1_simhash_near_dedup": lambda spark, d: simhash.near_duplicate_classes(table(spark, d, "documents")),
         "op2_quality_classifier": lambda spark, d: quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
         "op3_best_fit_packing": lambda spark, d: packing.packed_sequences(table(spark, d, "documents")),
+        "op4_merkle_fingerprints": lambda spark, d: merkle.edit_fingerprints(table(spark, d, "documents")),
         "op7_substring_dedup": lambda spark, d: substring.passage_report(table(spark, d, "documents")),
         "op8_benchmark_decontamination": lambda spark, d: decontaminate.leak_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op9_license_scan": lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")),

@@ -160,3 +160,11 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
         place = np.where(values[left] <= values[right], left, right)
         size += step
     return place
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of the bytes start:stop of data, for each pair."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * _power(_BASE, len(data)), out=sums[1:])
+    inverse = _power(_BASE_INVERSE, max(len(data), 1))
+    return mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
