@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, merkle, packing, quality, simhash, substring, urls, warc
+from . import decontaminate, layout, licenses, merkle, packing, quality, simhash, substring, urls, warc
 from .common import table
 
 
@@ -13,6 +13,7 @@ def queries():
         "op3_best_fit_packing": lambda spark, d: packing.packed_sequences(table(spark, d, "documents")),
         "op4_merkle_fingerprints": lambda spark, d: merkle.edit_fingerprints(table(spark, d, "documents")),
         "op5_warc_archives": lambda spark, d: warc.archive_round_trip(table(spark, d, "pages")),
+        "op6_html_layout": lambda spark, d: layout.extract_text(table(spark, d, "pages")),
         "op7_substring_dedup": lambda spark, d: substring.passage_report(table(spark, d, "documents")),
         "op8_benchmark_decontamination": lambda spark, d: decontaminate.leak_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op9_license_scan": lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")),
