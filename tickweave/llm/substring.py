@@ -15,7 +15,6 @@ for 35 words): what is repeated at one length alone is tried at twice that lengt
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_defaults
+from .common import drop_scratch, materialize, with_defaults
 from .tokens import U, join, leftmost_minima, mix, tokens, windows
 
 #: Size of the bitmap of repeated hashes that is broadcast after each level: 16 MiB whatever the input.
@@ -113,9 +112,9 @@ def _text_key(text: str = "text") -> Column:
 
 
 def repeated_ranges(docs: DataFrame, length: int = 35) -> DataFrame:
-    """(doc_id, mark, low, high): words low..high of the row's text are covered by repeated windows.
+    """(doc_id, mark, spans): words low..high of the row's text are covered by repeated windows, for each span.
 
-    mark is xxhash64 of the text and tells rows with one doc_id apart. Ranges of a row may overlap.
+    mark is xxhash64 of the text and tells rows with one doc_id apart. Spans of a row may overlap.
     """
     spark, lengths, bitmaps = docs.sparkSession, levels(length), []
 
@@ -149,11 +148,11 @@ def repeated_ranges(docs: DataFrame, length: int = 35) -> DataFrame:
                 own = chunk.first + a.owner
                 take = pa.array(own)
                 yield pa.record_batch(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(whole.view(np.int64)), pa.array(a.low - chunk.bounds[a.owner]), pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(full[inner].view(np.int64)))],
-                    names=["doc_id", "mark", "whole", "low", "inner"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(whole.view(np.int64)), pa.array(a.low - chunk.bounds[a.owner]), pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(full[inner].view(np.int64)))],
+                    names=["doc_id", "mark", "whole", "low", "n", "inner"],
                 )
 
-    kept = materialize(docs.select("doc_id", _text_key().alias("mark"), "text").mapInArrow(records, "doc_id long, mark long, whole long, low long, inner array<long>"), "records")
+    kept = materialize(docs.select("doc_id", _text_key().alias("mark"), "text").mapInArrow(records, "doc_id long, mark long, whole long, low long, n long, inner array<long>"), "records")
     classes = kept.groupBy("whole").agg(F.count("*").alias("n"), F.any_value("inner").alias("inner"))
     single = F.when(F.col("n") == 1, F.col("whole"))
     places = classes.select(single.alias("single"), F.posexplode("inner").alias("at", "h"))
@@ -162,12 +161,16 @@ def repeated_ranges(docs: DataFrame, length: int = 35) -> DataFrame:
     alone = classes.where("n = 1").select("whole", F.posexplode("inner").alias("at", "h"))
     again = alone.join(windows_of, "h").groupBy("whole").agg(F.collect_set("at").alias("hits"))
     many = classes.where("n > 1").select("whole", F.lit(None).cast("array<int>").alias("hits"))
-    verdict = many.unionByName(again)
-    where = kept.select("doc_id", "mark", "whole", "low", F.size("inner").alias("n")).join(verdict, "whole")
+    # written, so that both sides of the next join come from exchanges of their own, which can be split where a neighbourhood is very common
+    verdict = materialize(many.unionByName(again), "verdicts")
+    where = kept.select("doc_id", "mark", "whole", "low", "n").join(verdict, "whole")
     full_range = F.array(F.struct(F.col("low"), (F.col("low") + F.col("n") + length - 2).alias("high")))
     some = F.transform("hits", lambda at: F.struct((F.col("low") + at).alias("low"), (F.col("low") + at + length - 1).alias("high")))
-    spans = F.explode(F.when(F.col("hits").isNull(), full_range).otherwise(some)).alias("span")
-    return where.select("doc_id", "mark", spans).select("doc_id", "mark", "span.low", "span.high")
+    spans = F.when(F.col("hits").isNull(), full_range).otherwise(some)
+    out = materialize(where.select("doc_id", "mark", spans.alias("spans")).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    for done in (kept, verdict):
+        drop_scratch(done)
+    return out
 
 
 def _removed(n: int, spans: list[dict] | None) -> np.ndarray:
@@ -179,8 +182,7 @@ def _removed(n: int, spans: list[dict] | None) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    spans = repeated_ranges(docs.select("doc_id", "text"), length).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    spans = spans.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    spans = repeated_ranges(docs.select("doc_id", "text"), length).withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
     marked = docs.withColumn("_own", _text_key())
     return marked.join(spans, marked["doc_id"].eqNullSafe(spans["_id"]) & (marked["_own"] == spans["_mark"]), "left").drop("_id", "_mark", "_own")
 
@@ -208,6 +210,35 @@ def deduplicate_passages(docs: DataFrame, length: int = 35) -> DataFrame:
     return rows.select("doc_id", "text", "spans").mapInArrow(work, "doc_id long, text string, n_words long, n_removed long")
 
 
+def strip_passages(docs: DataFrame, length: int = 35) -> DataFrame:
+    """The rows of docs with repeated passages taken out of text, other columns as they are but n_chars, which follows.
+
+    A text that loses words keeps the others joined by one space; any other text, null included, stays as it is.
+    """
+    columns = docs.columns
+    at, schema = columns.index("text"), docs.schema
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lengths = [], []
+            for text, spans in zip(batch.column(at), batch.column(len(columns)), strict=True):
+                text = text.as_py()
+                if spans.is_valid and len(spans):
+                    words = text.encode("utf-8", "surrogatepass").split()
+                    gone = _removed(len(words), spans.as_py())
+                    text = b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x).decode("utf-8", "surrogatepass")
+                texts.append(text)
+                lengths.append(None if text is None else len(text))
+            new = [batch.column(i) for i in range(len(columns))]
+            new[at] = pa.array(texts, new[at].type)
+            if "n_chars" in columns:
+                k = columns.index("n_chars")
+                new[k] = pa.array(lengths, pa.int64()).cast(new[k].type)
+            yield pa.record_batch(new, names=columns)
+
+    return _with_spans(docs, length).select(*columns, "spans").mapInArrow(work, schema)
+
+
 def passage_report(docs: DataFrame, length: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of what deduplicate_passages() leaves."""
     return deduplicate_passages(docs, length).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
