@@ -22,7 +22,7 @@ def brute(rows):
         out = [0, 0, 0]
         for c in url or "":
             c = c.lower() if "A" <= c <= "Z" else "0" if c in "0123456789" else c
-            out.append(urls.SYMBOLS.index(c) + 1 if c in urls.SYMBOLS else 31)
+            out.append(urls.SYMBOLS.index(c) + 1 if c in urls.SYMBOLS else 31)  # "_" is 31 too
         return out + [0]
 
     parts = []

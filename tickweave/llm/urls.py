@@ -20,8 +20,8 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Symbols 1 to 30; 0 is the boundary and 31 anything else.
-SYMBOLS = LOWER + "0/.-"
+#: Symbols 1 to 31; 0 is the boundary, `_` stands for anything else.
+SYMBOLS = LOWER + "0/.-_"
 
 ORDER, RADIX = 3, 32
 SIZE = RADIX ** (ORDER + 1)
@@ -46,12 +46,13 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
-def grams(url: Column) -> Column:
-    """Array of the numbers of all places of a URL, the end included: symbol and three before it, in base 32."""
-    symbols = F.transform(F.split(F.regexp_replace(F.translate(url, UPPER, LOWER), "[0-9]", "0"), ""), lambda c: F.when(F.instr(F.lit(SYMBOLS), c) > 0, F.instr(F.lit(SYMBOLS), c)).otherwise(31))
-    symbols = F.when(url == "", F.array().cast("array<int>")).otherwise(symbols)
-    padded = F.concat(F.array(*[F.lit(0)] * ORDER), symbols, F.array(F.lit(0)))
-    return F.transform(F.sequence(F.lit(1), F.size(symbols) + 1), lambda i: sum(F.element_at(padded, i + k) * RADIX ** (ORDER - k) for k in range(ORDER + 1)))
+def places_of(urls: DataFrame) -> DataFrame:
+    """A row for each place of `key`, the end included, with its number (gram): symbol and three before it, in base 32."""
+    folded = F.regexp_replace(F.regexp_replace(F.translate("key", UPPER, LOWER), "[0-9]", "0"), r"[^a-z0/.\-]", "_")
+    rows = urls.withColumn("text", F.concat(F.lit("^" * ORDER), folded, F.lit("^")))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("text") - ORDER)))
+    gram = sum(F.instr(F.lit(SYMBOLS), F.substr("text", F.col("at") + k, F.lit(1))) * RADIX ** (ORDER - k) for k in range(ORDER + 1))
+    return rows.select(*urls.columns, gram.alias("gram"))
 
 
 def _model(counts: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> D
     rows = rows.withColumns({"rule": rule, "ruled": ruled, "key": F.coalesce("url", F.lit(""))})
 
     urls = rows.groupBy("key", "ruled").agg(F.count("*").alias("n"))
-    places = urls.select("key", "ruled", "n", F.explode(grams(F.col("key"))).alias("gram"))
+    places = places_of(urls)
     of = lambda v: F.sum(F.when(F.col("ruled") == v, F.col("n")).otherwise(0))
     counts = materialize(places.where("ruled is not null").groupBy("gram").agg(of("allow").alias("a"), of("block").alias("b")), "grams")
     table = materialize(_as_array(_model(counts)), "ratios").scalar()
