@@ -52,3 +52,10 @@ def drop_scratch(df: DataFrame) -> None:
 def with_defaults(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast to the given types; other columns, whatever their names, play no part."""
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in types.items()])
+
+
+def slices(batches, rows: int = 1000):
+    """The rows of Arrow batches, so many at a time: what a task builds for its output stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, with_defaults
+from .common import materialize, slices, with_defaults
 from .tokens import U, mix, span_hashes, tokens
 
 #: A paragraph whose digest begins with a byte below this ends its section.
@@ -139,7 +139,7 @@ def _row(batch: pa.RecordBatch | None, role: int, part: int, doc_id=None, text:
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one range of ids in order -> results of all but the last (role 0), the first text (1) and the last (2)."""
     part, held = TaskContext.get().partitionId(), None
-    for batch in batches:
+    for batch in slices(batches):
         ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         if not ids:
             continue
