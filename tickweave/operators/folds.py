@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import with_prefix
+from ..functions.stored import stored
 
 
 def numbered(rows: DataFrame, order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
@@ -19,6 +20,7 @@ def numbered(rows: DataFrame, order: tuple[str, ...] = ("timestamp",)) -> DataFr
 
 def time_series_folds(rows: DataFrame, n_splits: int, test_size: int | None = None, gap: int = 0) -> DataFrame:
     """Tests are the last n_splits blocks of test_size rows in order; what comes before a block, but for a gap, trains it."""
+    rows = stored(rows.select("row_idx"), "rows")
     total = rows.agg(F.count("*").alias("total"))
     size = F.lit(test_size) if test_size else F.floor(F.col("total") / (n_splits + 1))
     folds = rows.sparkSession.range(n_splits).select(F.col("id").cast("int").alias("fold_id")).join(F.broadcast(total))  # n_splits rows, one row
@@ -66,7 +68,8 @@ def cpcv_folds(rows: DataFrame, n_groups: int, n_test: int, embargo: int = 0, li
     spark = rows.sparkSession
     choices = cpcv_combinations(n_groups, n_test, limit, seed)
     folds = spark.createDataFrame([(i, list(c)) for i, c in enumerate(choices)], "fold_id int, groups array<int>")
-    grouped = cpcv_groups(rows, n_groups)
+    # read by three jobs: the groups' edges, the roles, and which folds are whole
+    grouped = stored(cpcv_groups(stored(rows.select("row_idx", "start_idx", "end_idx"), "rows"), n_groups), "groups")
     edges = grouped.groupBy("group_id").agg(F.max("row_idx").alias("last"), F.min("start_idx").alias("low"), F.max("end_idx").alias("high"))
     # one row for each fold and test group; a run ends with a group whose successor isn't a test group
     tests = folds.select("fold_id", "groups", F.explode("groups").alias("group_id")).join(F.broadcast(edges), "group_id")
