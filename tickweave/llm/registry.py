@@ -22,4 +22,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_warc_archives": warc.oracle(), "op9_license_scan": licenses.oracle(), "op10_url_filter": urls.oracle()}
+    return {"op5_warc_archives": warc.oracle(), "op7_substring_dedup": substring.oracle(), "op9_license_scan": licenses.oracle(), "op10_url_filter": urls.oracle()}

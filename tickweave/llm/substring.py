@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, with_defaults
+from .common import drop_scratch, materialize, slices, with_defaults
 from .tokens import U, join, leftmost_minima, mix, tokens, windows
 
 #: Size of the bitmap of repeated hashes that is broadcast after each level: 16 MiB whatever the input.
@@ -195,7 +195,7 @@ def deduplicate_passages(docs: DataFrame, length: int = 35) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, counts, removed = [], [], []
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
@@ -219,7 +219,7 @@ def strip_passages(docs: DataFrame, length: int = 35) -> DataFrame:
     at, schema = columns.index("text"), docs.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, lengths = [], []
             for text, spans in zip(batch.column(at), batch.column(len(columns)), strict=True):
                 text = text.as_py()
@@ -242,3 +242,16 @@ def strip_passages(docs: DataFrame, length: int = 35) -> DataFrame:
 def passage_report(docs: DataFrame, length: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of what deduplicate_passages() leaves."""
     return deduplicate_passages(docs, length).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def oracle(length: int = 35) -> str:
+    """DuckDB SQL for passage_report() over the view documents."""
+    return f"""with rows as (select row_number() over () as id, doc_id, coalesce(text, '') as text from documents),
+  split as (select id, doc_id, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from rows),
+  words as (select id, unnest(w) as word, unnest(range(len(w))) as i from split),
+  wins as (select id, i, count(*) over f as n, md5(string_agg(word, ' ') over f) as h from words window f as (partition by id order by i rows between current row and {length - 1} following)),
+  again as (select h from wins where n = {length} group by h having count(*) > 1),
+  hits as (select id, i from wins semi join again using (h) where n = {length}),
+  gone as (select distinct id, i + k.range as i from hits, range({length}) k),
+  left_over as (select id, string_agg(word, ' ' order by i) as text, count(*) as n from words anti join gone using (id, i) group by id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(l.text, '')) as kept_sha256 from split left join left_over l using (id)"""
