@@ -21,15 +21,15 @@ def beta_share(a: float, b: float, x: float) -> float:
         return 1 - beta_share(b, a, 1 - x)
     front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
     f, c, d = 1.0, 1.0, 0.0
-    for i in range(300):
+    for i in range(1, 300):
         m = i // 2
-        n = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        n = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         d = 1 / (1 + n * d or 1e-30)
         c = 1 + n / c or 1e-30
         f *= c * d
         if abs(1 - c * d) < 1e-14:
             break
-    return front * f
+    return front / f
 
 
 def t_tail(t: float, df: float) -> float:
