@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 def with_prefix(df: DataFrame, sums: dict[str, str] | None = None, index: str | None = None, keys: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("timestamp", "seq"), bucket: str = "day") -> DataFrame:
     """Adds running sums (alias -> column, the row included) and, if named, the row's number from 0 in the order of a key."""
     sums = sums or {}
-    bucketed = df.withColumn("_bucket", F.date_trunc(bucket, order[0]))
-    group = [*keys, "_bucket"]
-    totals = bucketed.groupBy(*group).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_t_{a}") for a, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *[F.coalesce(F.sum(f"_t_{a}").over(before), F.lit(0)).alias(f"_b_{a}") for a in sums])
-    inside = Window.partitionBy(*group).orderBy(*order)
+    # keys without nulls, so that window, totals and join agree on one hash partitioning and the rows move once
+    group = [f"_k{i}" for i in range(len(keys))]
+    parts = {g: F.coalesce(F.col(k).cast("string"), F.lit("!")) for g, k in zip(group, keys, strict=True)}
+    bucketed = df.withColumns(parts | {"_bucket": F.coalesce(F.date_trunc(bucket, order[0]).cast("string"), F.lit("!"))})
+    totals = bucketed.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_t_{a}") for a, c in sums.items()])
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *[F.coalesce(F.sum(f"_t_{a}").over(before), F.lit(0)).alias(f"_b_{a}") for a in sums])
+    inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = bucketed.withColumns({f"_r_{a}": F.sum(c).over(running) for a, c in sums.items()} | ({"_row": F.row_number().over(inside)} if index else {}))
-    same = [own[g].eqNullSafe(totals[g]) for g in group]
-    joined = own.join(totals, [*same], "inner")
-    out = [own[c] for c in df.columns] + [(F.col(f"_b_{a}") + F.col(f"_r_{a}")).alias(a) for a in sums]
+    joined = own.join(totals, [*group, "_bucket"])
+    out = [F.col(c) for c in df.columns] + [(F.col(f"_b_{a}") + F.col(f"_r_{a}")).alias(a) for a in sums]
     if index:
         out.append((F.col("_before") + F.col("_row") - 1).cast("long").alias(index))
     return joined.select(*out)
