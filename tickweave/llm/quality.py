@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader.
 
-Tokens are runs of letters and digits, and runs of punctuation. One- and two-token n-grams are hashed to 2^BITS places;
-a text's value at a place is the count there over the root of the number of its n-grams, so a score is a sparse dot
+Tokens are runs of letters and digits, and runs of punctuation. One- and two-token n-grams, of the tokens and of their
+shapes, are hashed to 2^BITS places; a text's value at a place is the count there over the root of the number of its n-grams, so a score is a sparse dot
 product that needs no vocabulary. Training takes at most `max_rows` labelled texts (those with the least hash of the
 id, a sample that doesn't depend on partitions) in one task; scoring runs over all texts where they lie.
 """
@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import with_defaults
-from .tokens import U, WORDS_AND_MARKS, join, tokens
+from .tokens import U, WORDS_AND_MARKS, join, mix, tokens
 
 BITS = 18
 
 #: Labelled texts that are trained on at most, and passes over them.
-MAX_ROWS, EPOCHS = 16_000, 3
+MAX_ROWS, EPOCHS = 8_000, 2
 
 #: Follow-the-regularised-leader: learning rate, its offset, and the L1 and L2 penalties.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.0, 0.1
@@ -34,17 +34,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def _shape(chunk) -> np.ndarray:
+    """A small number for how each token looks: which punctuation, or whether a word begins and ends in a capital or a digit."""
+    kind = _LOOKS[chunk.data]
+    first, last = kind[chunk.start].astype(np.uint64), kind[chunk.stop - 1].astype(np.uint64)
+    return np.where(first < 4, first * U(4) + last, U(16) + chunk.data[chunk.start])
+
+
+_LOOKS = np.full(256, 4, np.uint8)  # punctuation
+_LOOKS[48:58], _LOOKS[65:91], _LOOKS[97:123], _LOOKS[128:] = 0, 1, 2, 3
+
+
 def _places(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For some documents at a time: the hashed places of all their n-grams, and where each document's begin and end."""
+    """For some documents at a time: the hashed places of all their n-grams, and where each document's begin and end.
+
+    Each token gives itself, the pair with the next token, and the pair of both tokens' shapes; a token that comes again
+    at once or after another one gives a place for that, whatever the token. So words never seen before still count.
+    """
     for chunk in tokens(column, WORDS_AND_MARKS):
-        h, ends = chunk.hash, chunk.ends
-        out = np.empty(2 * len(h), np.uint64)
-        out[::2] = h
-        out[1:-1:2] = join(h[:-1], h[1:])
-        keep = np.ones(len(out), bool)
-        keep[1::2] = np.arange(1, len(h) + 1) < ends  # no pair begins at a document's last token
-        counts = np.diff(chunk.bounds)
-        yield (out[keep] >> U(64 - BITS)).astype(np.int64), np.append(0, np.cumsum(2 * counts - (counts > 0)))
+        h, n = chunk.hash, len(chunk.hash)
+        if not n:
+            yield np.zeros(0, np.int64), np.zeros(len(chunk.bounds), np.int64)
+            continue
+        shape, grams, keep = _shape(chunk), np.empty((n, 5), np.uint64), np.zeros((n, 5), bool)
+        left = chunk.ends - np.arange(n)  # tokens from here to the document's end
+        grams[:, 0], keep[:, 0] = h, True
+        grams[:-1, 1], keep[:, 1] = join(h[:-1], h[1:]), left > 1
+        grams[:-1, 2], keep[:, 2] = mix(shape[:-1] * U(1024) + shape[1:] + U(1 << 40)), left > 1
+        for k in (1, 2):
+            grams[:, 2 + k] = mix(np.array([k], np.uint64) + U(1 << 41))
+            keep[:-k, 2 + k] = (h[:-k] == h[k:]) & (left[:-k] > k)
+        ends = np.append(0, np.cumsum(keep.sum(axis=1)))
+        yield (grams[keep] >> U(64 - BITS)).astype(np.int64), ends[chunk.bounds]
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
