@@ -73,9 +73,14 @@ def aggregate(indexed: DataFrame, spec: BarSpec) -> DataFrame:
     return indexed.groupBy("symbol", "bar_index").agg(*cols)
 
 
+def numbered(ticks: DataFrame) -> DataFrame:
+    """ticks with idx, their number within the symbol; a source that numbers its ticks saves the pass."""
+    return ticks if "idx" in ticks.columns else with_prefix(ticks, index="idx")
+
+
 def tick_bars(ticks: DataFrame, spec: BarSpec) -> DataFrame:
     n = int(spec.threshold)
-    indexed = with_prefix(ticks, index="idx").withColumn("bar_index", F.floor(F.col("idx") / n))
+    indexed = numbered(ticks).withColumn("bar_index", F.floor(F.col("idx") / n))
     bars = aggregate(indexed, spec)
     return bars if spec.keep_partial else bars.where(F.col("tick_count") == n)
 
@@ -105,7 +110,7 @@ def reset_bars(ticks: DataFrame, spec: BarSpec) -> DataFrame:
     if not {"bidVolume", "askVolume"} <= set(ticks.columns):
         return tick_bars(ticks, spec)
     v = F.col("bidVolume") + F.col("askVolume") if spec.kind == "volume" else F.col("bidPrice") * F.col("bidVolume") + F.col("askPrice") * F.col("askVolume")
-    ordered = with_prefix(ticks, index="idx").withColumn("_amount", v.cast("double")).repartition("symbol").sortWithinPartitions("symbol", "idx")
+    ordered = numbered(ticks).withColumn("_amount", v.cast("double")).repartition("symbol").sortWithinPartitions("symbol", "idx")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) + ", bar_index long"
     return aggregate(ordered.mapInArrow(_reset_index(spec.threshold), schema), spec)
 
@@ -113,7 +118,7 @@ def reset_bars(ticks: DataFrame, spec: BarSpec) -> DataFrame:
 def cumulative_bars(ticks: DataFrame, spec: BarSpec, column: str | None = None) -> DataFrame:
     """Bars by what the running sum of volume divided by the threshold floors to; no reset, so it needs no order of tasks."""
     amount = F.col(column) if column else F.col("bidVolume") + F.col("askVolume")
-    summed = with_prefix(ticks.withColumn("_amount", amount), sums={"_total": "_amount"}, index="idx")
+    summed = with_prefix(ticks.drop("idx").withColumn("_amount", amount), sums={"_total": "_amount"}, index="idx")
     return aggregate(summed.withColumn("bar_index", F.floor(F.col("_total") / spec.threshold)), spec)
 
 

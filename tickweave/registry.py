@@ -41,7 +41,7 @@ def _by_type(spark, d):
 
 
 def _bars(spark, d, spec=TEN):
-    return bars.build_bars(_ticks(spark, d), spec)
+    return bars.build_bars(ticks_from_events(_events(spark, d), index="idx"), spec)
 
 
 def _features(make, before, after=0):

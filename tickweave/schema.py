@@ -33,8 +33,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
-def ticks_from_events(events: DataFrame, symbol: Column | str = "EV") -> DataFrame:
-    """Quotes from the events table: the bid walks by steps that each event's props give, all prices exact in binary."""
+def ticks_from_events(events: DataFrame, symbol: Column | str = "EV", index: str | None = None) -> DataFrame:
+    """Quotes from the events table: the bid walks by steps that each event's props give, all prices exact in binary.
+
+    index names a column for the tick's number within its symbol, which the same pass gives.
+    """
     k = F.get_json_object("props", "$.k").cast("long")
     rows = events.select(
         (F.lit(symbol) if isinstance(symbol, str) else symbol).alias("symbol"),
@@ -44,9 +47,9 @@ def ticks_from_events(events: DataFrame, symbol: Column | str = "EV") -> DataFra
         k.cast("double").alias("bidVolume"),
         (1 + (F.col("event_id") * 7) % 50).cast("double").alias("askVolume"),
     )
-    walked = with_prefix(rows, sums={"walk": "step"})
+    walked = with_prefix(rows, sums={"walk": "step"}, index=index)
     bid = 100 + F.col("walk")
-    return walked.select("symbol", "seq", "timestamp", bid.alias("bidPrice"), (bid + (1 + F.col("seq") % 5) / F.lit(64.0)).alias("askPrice"), "bidVolume", "askVolume")
+    return walked.select("symbol", "seq", "timestamp", bid.alias("bidPrice"), (bid + (1 + F.col("seq") % 5) / F.lit(64.0)).alias("askPrice"), "bidVolume", "askVolume", *([index] if index else []))
 
 
 def ticks_from_lineitem(lineitem: DataFrame, symbol: str = "LI") -> DataFrame:
