@@ -5,6 +5,7 @@ Prices are exact in binary, so bars need no rounding; what comes from logarithms
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -372,6 +373,19 @@ _add("perf_basic", lambda s, d: _out(performance.basic(_trades(s, d)), ["symbol"
 EXT = ["sortino", "calmar", "profit_factor", "expectancy", "recovery", "ulcer"]
 _add("perf_extended", lambda s, d: _out(performance.extended(_trades(s, d)), ["symbol"], EXT), f"{_BT}, {_CURVE}, x as (select symbol, avg(ret) * 252 / (stddev_samp(case when ret < 0 then ret end) * sqrt(252)) as sortino, (pow(1 + arg_max(equity, (exit_timestamp, entry_bar)) / arg_min(equity, (exit_timestamp, entry_bar)) - 1, 252.0 / count(ret)) - 1) / abs(min(dd_pct)) as calmar, sum(case when pnl > 0 then pnl end) / abs(sum(case when pnl < 0 then pnl end)) as profit_factor, avg(pnl) as expectancy, sum(pnl) / abs(min(dd_pct)) as recovery, sqrt(avg(pow(dd_pct * 100, 2))) as ulcer from dd group by 1) select {_cols(['symbol'], EXT)} from x")
 
+
+
+def _compared(spark, d):
+    made = _bars(spark, d)
+    spec = backtest.BacktestSpec(TP, SL, max_bars=20, calendar=CAL)
+    log = backtest.run_benchmark(made, {"buy_and_hold": signals.buy_and_hold, "ma_crossover": signals.ma_crossover}, spec)
+    return _out(log.groupBy("strategy").agg(F.count("*").alias("n_trades"), F.sum("pnl").alias("net_profit"), performance.win_rate().alias("win_rate"), performance.profit_factor().alias("profit_factor")), ["strategy", "n_trades", "net_profit"], ["win_rate", "profit_factor"])
+
+
+_MA_TRADES = re.sub(r"\b(marked|reach|cand|walk|trades)\b", r"\1_ma", _TRADES).replace("where not e.closed", f"where not e.closed and e.bar_index in (select bar_index from (select bar_index, ({_gate('avg', 'bid_close', 10)}) > ({_gate('avg', 'bid_close', 50)}) as up from bars) where up)")
+_STRATEGY = "select '{name}' as strategy, count(*) as n_trades, sum(pnl) as net_profit, avg((pnl > 0)::int) as win_rate, sum(case when pnl > 0 then pnl end) / abs(sum(case when pnl < 0 then pnl end)) as profit_factor from {table}"
+_add("strategy_comparison", _compared, f"{_BT}, {_MA_TRADES.replace('marked_ma as (', 'marked_ma as materialized (').replace('cand_ma as (', 'cand_ma as materialized (')}, x as ({_STRATEGY.format(name='buy_and_hold', table='trades')} union all {_STRATEGY.format(name='ma_crossover', table='trades_ma')}) select {_cols(['strategy', 'n_trades', 'net_profit'], ['win_rate', 'profit_factor'])} from x")
+
 # Tests, models, risk ------------------------------------------------------------------------------------------------
 
 
