@@ -117,21 +117,24 @@ def _leaks(chunk, items: Items, min_match: int, coverage: float) -> Iterator[tup
 _LEAK = "doc_id long, item_id long, n_tokens long, n_covered long, coverage double, tiles array<struct<text_word: long, item_word: long, words: long>>"
 
 
+def _blocks(benchmark: DataFrame, min_match: int) -> Iterator:
+    """Broadcast items, BLOCK_BYTES of text at a time."""
+    asked = with_defaults(benchmark, item_id="long", text="string").where(F.col("text").isNotNull())
+    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-total // BLOCK_BYTES)
+    for k in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(_items(rows, min_match))
+
+
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """A row for each text and item that is leaked into it: doc_id, item_id, n_tokens (of the item), n_covered, coverage, tiles.
 
     Null and empty texts and items take no part, nor do items of fewer than min_match words. Rows with null or repeated
     ids are judged each. Extra columns are ignored. An empty table on either side gives an empty result.
     """
-    spark = docs.sparkSession
-    texts = with_defaults(docs, doc_id="long", text="string")
-    asked = with_defaults(benchmark, item_id="long", text="string").where(F.col("text").isNotNull())
-    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES)
-    found = spark.createDataFrame([], _LEAK)
-    for k in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(_items(rows, min_match))
+    texts, found = with_defaults(docs, doc_id="long", text="string"), docs.sparkSession.createDataFrame([], _LEAK)
+    for shared in _blocks(benchmark, min_match):
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
@@ -155,7 +158,18 @@ def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return benchmark_leaks(docs, benchmark).select("doc_id", "item_id", "n_tokens", "n_covered", F.round("coverage", 6).alias("coverage"), F.size("tiles").alias("n_tiles"))
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs into which no item is leaked, with all their columns. Rows with a null id stay."""
-    leaked = benchmark_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"] == leaked["_leaked"], "left_anti")
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of docs into which no item is leaked, with all their columns. Each row is judged where it lies; nothing is shuffled."""
+    at, schema = docs.columns.index("text"), docs.schema
+    for shared in _blocks(benchmark, min_match):
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for chunk in tokens(batch.column(at), ALNUM, _VALUES):
+                    for d, _, _ in _leaks(chunk, shared.value, min_match, coverage):
+                        clean[chunk.first + d] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(work, schema)
+    return docs
