@@ -27,7 +27,7 @@ from .common import materialize, with_defaults
 CAPACITY = 2048
 
 #: Pieces of a block, islands, population of each, generations of an epoch, epochs.
-BLOCK, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2048, 3, 4, 10, 2
+BLOCK, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 8192, 3, 4, 10, 2
 
 #: A bin this full is worth injecting.
 WELL_FILLED = 0.99
