@@ -329,7 +329,7 @@ _add("features_labels_join", lambda s, d: _out(labeling.with_labels(ft.feature_m
 
 
 def _asof(spark, d, direction):
-    points = _ticks(spark, d).where("seq % 7 = 0").withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 11 SECONDS")).select("symbol", "seq", "timestamp")
+    points = _ticks(spark, d).withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 11 SECONDS")).select("symbol", "seq", "timestamp")
     right = _bars(spark, d).select("symbol", "timestamp", "bar_index", "bid_close")
     return joins.asof(points, right, ["bar_index", "bid_close"], direction).select("symbol", "seq", "bar_index", "bid_close")
 
