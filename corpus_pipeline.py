@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import decontaminate, packing, quality, simhash, substring
+from tickweave.llm import decontaminate, near, packing, quality, substring
 from tickweave.llm.common import materialize, table
 
 #: A stage is not expressible in SQL (training, genetic search), nor is the whole; tests hold it against brute force.
@@ -22,8 +22,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    return simhash.keep_one_of_each(docs)
+    """One document of each group of near copies (0.8 of their five-word shingles in common), the one with the smallest id."""
+    return near.keep_one_of_each(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

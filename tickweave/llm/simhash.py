@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, materialize, with_defaults
 from .graph import connected_components
+from .near import keep_one_of_each  # noqa: F401
 
 #: Fingerprints of one key that are compared at once; fuller keys are dealt into blocks of about this size.
 BLOCK = 512
@@ -167,15 +168,3 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 3, tau: int = 3) -> D
     """doc_id, fingerprint (16 lowercase hex digits), component_id per row of docs (see simhash_components)."""
     found = simhash_components(with_defaults(docs, doc_id="long", text="string"), shingle=shingle, tau=tau)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-def keep_one_of_each(docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group stays, repeated rows once.
-
-    A row without an id goes by a number above 2^62 made from its text, so that it stays only where its group has no id
-    below that, and equal texts without ids are one document. Texts are shuffled once.
-    """
-    own = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), own))
-    keep = simhash_components(keyed, "_key", "text", shingle, tau).where("id = component").select(F.col("id").alias("_kept")).distinct()
-    return keyed.join(keep, keyed["_key"] == keep["_kept"], "left_semi").dropDuplicates(["_key"]).drop("_key")
