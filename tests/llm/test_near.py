@@ -55,3 +55,12 @@ def test_keys_meet_at_the_threshold():
         a, b = np.sort(base[:243]), np.sort(base[27:])  # 216 of 270 are common: 0.8
         met += bool((near.band_keys(a) == near.band_keys(b)).any())
     assert met >= 0.99 * n
+
+
+def test_unlike_texts_under_one_id_both_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    # id 7: two unlike texts, one row repeated; id 8: a copy of id 7's text, and a text of its own; id 9: two near copies
+    rows = [(7, a), (7, b), (7, a), (8, a), (8, c), (9, "d e f g h i j " * 9), (9, "D e f g h i j " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.text.lower()) for r in near.keep_one_of_each(df).collect())
+    assert got == sorted([(7, a), (7, b), (8, c), (9, rows[5][1])])

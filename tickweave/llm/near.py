@@ -133,8 +133,9 @@ def _verified(texts: DataFrame, candidates: DataFrame, k: int, similarity: float
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id, repeated rows once.
+    """One document of each group of near copies stays, the one with the smallest id, repeated rows (id and text) once.
 
+    Rows are told apart by id and text, so unlike texts under one id are documents of their own.
     Near copies have at least this Jaccard similarity over runs of so many words; links of candidates chain. A row without
     an id goes by a number above 2^62 made from its text, so that it stays only where its group has no id below that, and
     equal texts without ids are one document. Texts without words are copies of each other.
@@ -145,5 +146,5 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     roots = connected_components(_verified(texts, _candidates(texts, shingle), shingle, similarity))
     rows = keyed.select(F.col("_key").alias("id"), F.col("_text").alias("t"))
     classes = materialize(rows.groupBy("t").agg(F.min("id").alias("id")).join(roots.withColumnRenamed("node", "t"), "t", "left").select("t", "id", F.coalesce("root", "t").alias("root")), "classes")
-    keep = classes.groupBy("root").agg(F.min("id").alias("_kept")).select("_kept").distinct()
-    return keyed.join(keep, keyed["_key"] == keep["_kept"], "left_semi").dropDuplicates(["_key"]).drop("_key", "_text")
+    keep = classes.groupBy("root").agg(F.min(F.struct("id", "t")).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.t").alias("_t"))
+    return keyed.join(keep, (keyed["_key"] == keep["_id"]) & (keyed["_text"] == keep["_t"]), "left_semi").dropDuplicates(["_key", "_text"]).drop("_key", "_text")
