@@ -1,10 +1,13 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template a short notice; both count as sets of words. A block matches a template when it
+A block is a line of a text, or a wrapped notice: a run of as many words as a template has, across line ends, that holds
+`threshold` of the template's words in the template's order too. A template is a short notice. Both count as sets of words. A block matches a template when it
 holds at least `threshold` of the template's words. Words are ordered by how many blocks of the whole corpus hold them,
 rarest first. A block can only match if it holds one of the template's first |T| - a + 1 words in that order (prefix
 filter; a is the least number of common words), has a words at all (length filter), and if behind the first common
-word enough words are left on both sides (positional filter). What passes is verified, so no match is lost.
+word enough words are left on both sides (positional filter). What passes is verified, so no match is lost. Runs are met by
+their last word of the template, for each template apart, and verified only where they hold enough such words.
+oracle() regards lines only.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +55,17 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded) if w]
 
 
+def _in_order(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence."""
+    last = [0] * (len(b) + 1)
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(last[j] + 1 if x == y else max(last[j + 1], now[j]))
+        last = now
+    return last[-1]
+
+
 class Index:
     """Templates over a vocabulary ranked rarest first: word sets, least overlaps, and which templates a prefix word points to."""
 
@@ -58,6 +73,7 @@ class Index:
         sets = [sorted({int(token_hash(w, _VALUES)) for w in words_of(t)}) for t in templates]
         vocabulary = sorted({w for s in sets for w in s}, key=lambda w: ((rank or {}).get(w, 0), w))
         place = {w: i for i, w in enumerate(vocabulary)}
+        self.threshold = threshold
         self.labels = list(templates.values())
         self.by_hash = np.array(sorted(vocabulary), np.uint64)
         self.rank = np.array([place[w] for w in sorted(vocabulary)], np.int64)
@@ -68,6 +84,11 @@ class Index:
             for w in s[: len(s) - a + 1].tolist():
                 self.prefix.setdefault(w, []).append(t)
         self.in_prefix = np.isin(np.arange(len(vocabulary)), list(self.prefix))
+        self.lengths = [len(words_of(t)) for t in templates]
+        self.orders = [[place[int(token_hash(w, _VALUES))] for w in words_of(t)] for t in templates]
+        self.member = np.zeros((len(templates), len(vocabulary)), bool)
+        for t, words in enumerate(self.sets):
+            self.member[t, words] = True
 
     def pairs(self, chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (block, rank of a vocabulary word in it), ascending, and each block's document. Blocks end at line feeds and documents."""
@@ -80,6 +101,27 @@ class Index:
         found, first = np.unique(block * len(self.rank) + self.rank[at[hits]], return_index=True)
         return found // len(self.rank), found % len(self.rank), chunk.owner[hits[first]]
 
+    def run_matches(self, chunk) -> Iterator[tuple[int, int, float]]:
+        """(document, template, containment) of each document and template with a run of the template's length that matches: its best."""
+        if not len(chunk.hash):
+            return
+        at = np.searchsorted(self.by_hash, chunk.hash).clip(max=len(self.by_hash) - 1)
+        hits = np.flatnonzero(self.by_hash[at] == chunk.hash)
+        rank, owner = self.rank[at[hits]], chunk.owner[hits]
+        for t, (length, least) in enumerate(zip(self.lengths, self.least, strict=True)):
+            own = np.flatnonzero(self.member[t, rank])
+            place, doc, word = hits[own], owner[own], rank[own]
+            # the run that ends at a hit holds the hits from `first` on; with repeats it has to hold enough of them already
+            first = np.maximum(np.searchsorted(place, place - length, "right"), np.searchsorted(doc, doc))
+            best: dict[int, int] = {}
+            for k in np.flatnonzero(np.arange(len(own)) - first + 1 >= least).tolist():
+                run = word[first[k] : k + 1].tolist()
+                common = len(set(run))
+                if common >= least and _in_order(run, self.orders[t]) >= self.threshold * length - 1e-9:
+                    best[int(doc[k])] = max(best.get(int(doc[k]), 0), common)
+            for d, common in best.items():
+                yield d, t, common / len(self.sets[t])
+
     def matches(self, chunk) -> Iterator[tuple[int, int, float]]:
         """(document, template, containment) of each block and template that match."""
         block, rank, owner = self.pairs(chunk)
@@ -161,7 +203,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrase
                     np.maximum.at(last, row, start)
                     for r in np.unique(row).tolist():
                         base.setdefault(r, set()).add(label)
-                for d, t, share in index.matches(chunk):
+                for d, t, share in chain(index.matches(chunk), index.run_matches(chunk)):
                     more.setdefault(chunk.first + d, set()).add(index.labels[t])
                     score[chunk.first + d] = max(score[chunk.first + d], share)
             score[places > 0] = 1.0
