@@ -25,13 +25,61 @@ def test_ids_equal_those_of_tokenizers():
 def test_evolution_keeps_every_item_and_never_gets_worse():
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 1500, 400)
-    first = packing._random_packing(rng, lengths, 2048, 1.0)
+    first = packing._random_packing(rng, lengths, 2048)
     out = packing.evolve(lengths, [first], 1, 2048, generations=30)
     for m in [*out, packing.crossover(rng, out[0], first, lengths, 2048)]:
         assert (m >= 0).all() and np.bincount(m, lengths).max() <= 2048
     assert packing.fitness(out[0], lengths, 2048) >= packing.fitness(first, lengths, 2048)
 
 
+def islands(lengths, capacity, seed):
+    """What pack() does with one block, without Spark: (bins at the best start, bins at the end)."""
+    members = [packing.evolve(lengths, [], seed + i, capacity, 0) for i in range(packing.ISLANDS)]
+    start = min(int(m[0].max()) + 1 for m in members)
+    for epoch in range(packing.EPOCHS):
+        members = [packing.evolve(lengths, m, seed + 100 * epoch + i, capacity) for i, m in enumerate(members)]
+        members = [[*m[:-1], members[i - 1][0]] for i, m in enumerate(members)]
+    return start, min(int(m[0].max()) + 1 for m in members)
+
+
+def fewest_bins(lengths, capacity):
+    items, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def place(k, loads):
+        if len(loads) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(loads)
+            return
+        for load in set(loads):
+            if load + items[k] <= capacity:
+                rest = list(loads)
+                rest[rest.index(load)] += items[k]
+                place(k + 1, rest)
+        place(k + 1, [*loads, items[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_small_packings_are_optimal():
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        lengths = rng.integers(5, 60, rng.integers(1, 10))
+        assert islands(lengths, 100, 1000 * seed)[1] == fewest_bins(lengths.tolist(), 100)
+
+
+def test_crossovers_do_the_work(monkeypatch):
+    lengths = np.random.default_rng(8).integers(20, 1400, 2000)
+    least = -(-int(lengths.sum()) // 2048)
+    start, end = islands(lengths, 2048, 1)
+    assert start >= least + 5 and end <= least + 1
+    calls = []
+    monkeypatch.setattr(packing, "crossover", lambda rng, mother, *rest: calls.append(1) or mother)
+    assert islands(lengths, 2048, 1) == (start, start)
+    assert len(calls) == packing.ISLANDS * packing.EPOCHS * packing.GENERATIONS
+
+
 def test_packing_round_trip(spark, monkeypatch):
     rng = random.Random(6)
     texts = [None, "", "<|endoftext|>"] + [" ".join(rng.choice(["alpha", "beta", "été", "x1"]) for _ in range(rng.choice([3, 90, 400, 3000]))) for _ in range(70)]
@@ -47,6 +95,8 @@ def test_packing_round_trip(spark, monkeypatch):
         twice = 2 if i == 4 else 1
         assert sum(p[2] for p in pieces) == len(ids[i]) * twice
         assert all(length == 2048 for piece, _, length in pieces if piece > 0)
+    made = packing.ISLANDS * packing.EPOCHS * packing.GENERATIONS
+    assert all((r.crossovers, r.bins_saved >= 0) == (made, True) if r.length < 2048 else (r.crossovers, r.bins_saved) == (0, 0) for r in out)
     bins = {}
     for r in out:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))

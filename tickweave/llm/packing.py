@@ -2,10 +2,12 @@
 
 A document's ids are followed by id 0; what is longer than a sequence is cut into full pieces, a first piece taking the
 rest. Full pieces are sequences already. The others are dealt at random into blocks of about BLOCK pieces, each packed on
-several islands (a row each): a population of packings evolves by crossover that injects whole well-filled bins of one
-parent into the other, removes the bins that hold the same pieces, and best-fits the displaced pieces. Between epochs each
-island's elite migrates to the next island of its block (a join on block and island). A block costs at most one sequence
-that isn't full, whatever the size of the input, and no row depends on another block.
+several islands (a row each). An island starts from packings of its own, made in random order, so poor and unlike each
+other, and makes GENERATIONS crossovers an epoch, always: whole well-filled bins of one parent are injected into the
+other, the bins that hold the same pieces are removed, and the displaced pieces are best-fitted, largest first. Between
+epochs each island's elite migrates to the next island of its block (a join on block and island). No row depends on
+another block, whatever the size of the input. The result says how many crossovers stand behind a piece's block and how
+many sequences they saved over the best packing that any island started from.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_defaults
+from .common import drop_scratch, materialize, with_defaults
 
 CAPACITY = 2048
 
-#: Pieces of a block, islands, population of each, generations of an epoch, epochs.
-BLOCK, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 8192, 3, 4, 10, 2
+#: Pieces of a block, islands, population of each, generations (one crossover each) of an epoch, epochs.
+BLOCK, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 8192, 3, 4, 12, 3
 
-#: A bin this full is worth injecting.
-WELL_FILLED = 0.99
+#: The share of a packing's bins, the fullest, that count as well filled.
+WELL_FILLED = 0.25
 
 _SPECIAL = "<|endoftext|>"
 #: Beyond these characters the two libraries might hold to different Unicode versions.
@@ -114,22 +116,27 @@ def fitness(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> float:
     return float(-len(loads) + (loads**2).mean())
 
 
-def _random_packing(rng: np.random.Generator, lengths: np.ndarray, capacity: int, noise: float) -> np.ndarray:
+def _random_packing(rng: np.random.Generator, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Best fit in random order."""
     bins, loads = np.full(len(lengths), -1, np.int32), []
-    best_fit(np.argsort(-lengths * (1 + noise * rng.random(len(lengths))), kind="stable"), lengths, bins, loads, capacity)
+    best_fit(rng.permutation(len(lengths)), lengths, bins, loads, capacity)
     return bins
 
 
+def _well_filled(bins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Bins as full as the fullest WELL_FILLED of all: full ones, once there are so many."""
+    loads = np.bincount(bins, lengths)
+    return loads >= np.quantile(loads, 1 - WELL_FILLED, method="lower")
+
+
 def crossover(rng: np.random.Generator, mother: np.ndarray, father: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Mother's packing with some of father's well-filled bins; every item stays packed once."""
-    loads = np.bincount(father, lengths)
-    well = np.flatnonzero(loads >= WELL_FILLED * capacity)
-    if not len(well):
-        well = np.argsort(-loads)[: max(1, len(loads) // 4)]
-    chosen = np.isin(father, rng.choice(well, max(1, len(well) // 2), replace=False))
-    broken = np.isin(mother, np.unique(mother[chosen]))
-    poor = np.argsort(np.bincount(mother, lengths))[:2]  # the emptiest bins are always opened
-    broken |= np.isin(mother, poor)
+    """Mother's packing with half of father's well-filled bins; every item stays packed once.
+
+    Displaced are the items of mother's bins that hold an injected one, and of those that aren't well filled themselves.
+    """
+    well = np.flatnonzero(_well_filled(father, lengths))
+    chosen = np.isin(father, rng.choice(well, -(-len(well) // 2), replace=False))
+    broken = np.isin(mother, np.unique(mother[chosen])) | ~_well_filled(mother, lengths)[mother]
     displaced = np.flatnonzero(broken & ~chosen)
     child = mother.copy()
     child[chosen] = father[chosen] + mother.max() + 1
@@ -142,18 +149,11 @@ def crossover(rng: np.random.Generator, mother: np.ndarray, father: np.ndarray,
 
 
 def evolve(lengths: np.ndarray, members: list[np.ndarray], seed: int, capacity: int, generations: int = GENERATIONS) -> list[np.ndarray]:
-    """A population after so many generations, best first. It ends early where the fewest possible bins are reached."""
-    rng, least = np.random.default_rng(seed), -(-int(lengths.sum()) // capacity)
-    members = list(members)
-    while len(members) < POPULATION:
-        members.append(_random_packing(rng, lengths, capacity, [0.0, 0.05, 0.2, 1.0][len(members) % 4]))
-        if members[-1].max() + 1 <= least:
-            break
+    """A population after so many crossovers, best first. Missing members are packings in random order."""
+    rng = np.random.default_rng(seed)
     rank = lambda m: -fitness(m, lengths, capacity)
-    members.sort(key=rank)
+    members = sorted([*members, *(_random_packing(rng, lengths, capacity) for _ in range(POPULATION - len(members)))], key=rank)
     for _ in range(generations):
-        if len(members) < 2 or members[0].max() + 1 <= least:
-            break
         a, b = rng.choice(len(members), 2, replace=False)
         members = sorted([*members, crossover(rng, members[min(a, b)], members[max(a, b)], lengths, capacity)], key=rank)[:POPULATION]
     return members
@@ -162,50 +162,66 @@ def evolve(lengths: np.ndarray, members: list[np.ndarray], seed: int, capacity:
 def _evolution(capacity: int, epoch: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packings, scores = [], []
-            for block, island, lengths, have, guest in zip(*(batch.column(c) for c in ("block", "island", "lengths", "packings", "guest")), strict=True):
+            packings, scores, first = [], [], []
+            for block, island, lengths, have, guest, start in zip(*(batch.column(c) for c in ("block", "island", "lengths", "packings", "guest", "start_bins")), strict=True):
                 sizes = np.array(lengths.as_py(), np.int64)
                 members = [np.array(m, np.int32) for m in (have.as_py() or [])]
                 if guest.as_py() is not None:
                     members = [*members[: POPULATION - 1], np.array(guest.as_py(), np.int32)]
-                members = evolve(sizes, members, hash((block.as_py(), island.as_py(), epoch)) & 0xFFFFFFFF, capacity)
+                seed = (block.as_py() * EPOCHS + epoch) * ISLANDS + island.as_py()
+                if not members:
+                    members = evolve(sizes, [], seed, capacity, 0)
+                first.append(start.as_py() or int(members[0].max()) + 1)
+                members = evolve(sizes, members, seed, capacity)
                 packings.append([m.tolist() for m in members])
                 scores.append(fitness(members[0], sizes, capacity))
-            yield pa.record_batch([batch.column("block"), batch.column("island"), batch.column("lengths"), pa.array(packings, pa.list_(pa.list_(pa.int32()))), pa.array(scores, pa.float64())], names=["block", "island", "lengths", "packings", "score"])
+            made = [pa.array(packings, pa.list_(pa.list_(pa.int32()))), pa.array(scores, pa.float64()), pa.array(first, pa.int32())]
+            yield pa.record_batch([batch.column("block"), batch.column("island"), batch.column("lengths"), *made], names=["block", "island", "lengths", "packings", "score", "start_bins"])
 
     return work
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """Adds sequence_id and offset to the rows of pieces (lengths 1 to capacity); each sequence is gapless from 0."""
+    """Adds sequence_id and offset to the rows of pieces (lengths 1 to capacity); each sequence is gapless from 0.
+
+    crossovers counts those made for a piece's block on all islands, bins_saved the sequences by which they bettered the
+    best start; both are 0 for pieces that fill a sequence.
+    """
     spark = pieces.sparkSession
     columns = pieces.columns
-    full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    none = {"crossovers": F.lit(0), "bins_saved": F.lit(0)}
+    full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), **none})
     rest = pieces.where(F.col("length") < capacity)
     blocks = max(1, -(-rest.count() // block))
     dealt = rest.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     grouped = materialize(dealt.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("pieces")), "blocks")
 
     state = grouped.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("pieces.length").alias("lengths"))
-    state = state.withColumns({"packings": F.lit(None).cast("array<array<int>>"), "guest": F.lit(None).cast("array<int>")})
+    state = state.withColumns({"packings": F.lit(None).cast("array<array<int>>"), "guest": F.lit(None).cast("array<int>"), "start_bins": F.lit(None).cast("int")})
     spread = max(spark.sparkContext.defaultParallelism, min(blocks * ISLANDS, 10_000))
+    evolved = None
     for epoch in range(EPOCHS):
-        evolved = materialize(state.repartition(spread, "block", "island").mapInArrow(_evolution(capacity, epoch), "block long, island int, lengths array<long>, packings array<array<int>>, score double"), "islands")
+        last, kind = evolved, "block long, island int, lengths array<long>, packings array<array<int>>, score double, start_bins int"
+        evolved = materialize(state.repartition(spread, "block", "island").mapInArrow(_evolution(capacity, epoch), kind), "islands")
+        if last is not None:
+            drop_scratch(last)
         elite = evolved.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.element_at("packings", 1).alias("guest"))
         state = evolved.drop("score").join(elite, ["block", "island"])
-    best = evolved.groupBy("block").agg(F.max_by(F.element_at("packings", 1), F.struct("score", -F.col("island"))).alias("bins"))
+    best = evolved.groupBy("block").agg(F.max_by(F.element_at("packings", 1), F.struct("score", -F.col("island"))).alias("bins"), F.min("start_bins").alias("start_bins"))
+    best = best.select("block", "bins", (F.col("start_bins") - F.array_max("bins") - 1).alias("bins_saved"))
 
     item = F.explode(F.arrays_zip("pieces", "bins")).alias("x")
-    placed = grouped.join(best, "block").select("block", item).select("block", *[F.col(f"x.pieces.{c}").alias(c) for c in columns], F.col("x.bins").alias("bin"))
-    by_bin = placed.groupBy("block", "bin").agg(F.collect_list(F.struct(*columns)).alias("items"))
+    placed = grouped.join(best, "block").select("block", "bins_saved", item).select("block", "bins_saved", *[F.col(f"x.pieces.{c}").alias(c) for c in columns], F.col("x.bins").alias("bin"))
+    by_bin = placed.groupBy("block", "bin").agg(F.collect_list(F.struct(*columns)).alias("items"), F.first("bins_saved").alias("bins_saved"))
     ends = F.aggregate("items", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["length"])))
-    laid = by_bin.withColumn("starts", F.slice(ends, F.lit(1), F.size("items"))).select("block", "bin", F.explode(F.arrays_zip("items", "starts")).alias("x"))
-    laid = laid.select(*[F.col(f"x.items.{c}").alias(c) for c in columns], (F.col("block") * (1 << 32) + F.col("bin")).alias("sequence_id"), F.col("x.starts").alias("offset"))
+    laid = by_bin.withColumn("starts", F.slice(ends, F.lit(1), F.size("items"))).select("block", "bin", "bins_saved", F.explode(F.arrays_zip("items", "starts")).alias("x"))
+    place = (F.col("block") * (1 << 32) + F.col("bin")).alias("sequence_id"), F.col("x.starts").alias("offset")
+    laid = laid.select(*[F.col(f"x.items.{c}").alias(c) for c in columns], *place, F.lit(ISLANDS * EPOCHS * GENERATIONS).alias("crossovers"), "bins_saved")
     return full.unionByName(laid)
 
 
 def packed_sequences(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece of every row of docs.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, crossovers, bins_saved per piece of every row of docs.
 
     Null and empty texts are one piece that holds id 0. Rows with null or repeated ids are packed each; extra columns are
     dropped; empty docs give an empty result.
