@@ -63,3 +63,17 @@ def test_edges(spark):
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring.passage_report(df).collect())
     assert got == [(0, 41, 40), (1, 2, 0), (1, 40, 40), (1, 40, 40), (2, 0, 0)]
     assert substring.passage_report(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_equal_rows_cost_in_proportion(spark, doc_id):
+    text = " ".join(f"w{i}" for i in range(600))
+    sizes = []
+    for n in (40, 160):
+        df = spark.createDataFrame([(doc_id, text)] * n + [(8, "other " * 3)], "doc_id long, text string")
+        spans = substring.repeated_ranges(df).collect()
+        assert [r.doc_id for r in spans] == [doc_id]  # one row for all copies
+        sizes.append(len(spans[0].spans))
+        got = substring.deduplicate_passages(df).collect()
+        assert len(got) == n + 1 and all(r.n_removed == (600 if r.n_words == 600 else 0) for r in got)
+    assert sizes[0] == sizes[1]

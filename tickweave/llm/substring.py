@@ -11,6 +11,8 @@ for 35 words): what is repeated at one length alone is tried at twice that lengt
 * At the full length, windows with one anchor make one record: an anchor's whole neighbourhood that occurs twice settles
   all its windows in one row; only the other records are taken apart into windows, which are counted over one
   representative of each neighbourhood, so thousands of copies cost as much as two.
+* Windows and neighbourhoods are compared by 64-bit hashes, not by their words: of n unlike windows that pass the levels,
+  about n^2 / 2^65 pairs are taken for equal by chance, one in 10^6 at n = 10^7.
 """
 
 from __future__ import annotations
@@ -114,7 +116,8 @@ def _text_key(text: str = "text") -> Column:
 def repeated_ranges(docs: DataFrame, length: int = 35) -> DataFrame:
     """(doc_id, mark, spans): words low..high of the row's text are covered by repeated windows, for each span.
 
-    mark is xxhash64 of the text and tells rows with one doc_id apart. Spans of a row may overlap.
+    mark is xxhash64 of the text and tells rows with one doc_id apart. Spans of a row may overlap. Equal rows have one row
+    here, however many they are, and its spans once: sets are merged before they are shuffled.
     """
     spark, lengths, bitmaps = docs.sparkSession, levels(length), []
 
@@ -167,7 +170,7 @@ def repeated_ranges(docs: DataFrame, length: int = 35) -> DataFrame:
     full_range = F.array(F.struct(F.col("low"), (F.col("low") + F.col("n") + length - 2).alias("high")))
     some = F.transform("hits", lambda at: F.struct((F.col("low") + at).alias("low"), (F.col("low") + at + length - 1).alias("high")))
     spans = F.when(F.col("hits").isNull(), full_range).otherwise(some)
-    out = materialize(where.select("doc_id", "mark", spans.alias("spans")).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    out = materialize(where.select("doc_id", "mark", spans.alias("spans")).groupBy("doc_id", "mark").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
     for done in (kept, verdict):
         drop_scratch(done)
     return out
