@@ -1,14 +1,16 @@
 """Document fingerprints: Merkle trees over paragraphs and sections.
 
 A paragraph is a line, a section a run of paragraphs that ends with a blank one or one whose own digest begins with a
-small byte, so an edit moves no boundary elsewhere. The root tests equality; walking down where digests differ locates
-an edit. Below the paragraphs, short runs of words that end at words chosen by their hash are the tree's leaves; the
-likeness of two fingerprints is the share, by bytes, of the leaves that both have (2 common / (one + other)).
+small byte. The leaves of a paragraph are short runs of words that end at words chosen by their hash, with the white space
+around them, so an edit moves no boundary elsewhere. A paragraph's digest is made of its leaves' digests, a section's of
+its paragraphs', the root of the sections'. The root tests equality; walking down where digests differ locates an edit,
+and gives the likeness of two trees: the share, by bytes, of what both have (2 common / (one + other)).
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize, slices, with_defaults
-from .tokens import U, mix, span_hashes, tokens
+from .tokens import U, words_of_all
 
 #: A paragraph whose digest begins with a byte below this ends its section.
 SECTION_BYTE = 32
@@ -29,23 +31,93 @@ SECTION_BYTE = 32
 LEAF_WORDS = 3
 
 
+class Node(NamedTuple):
+    """digest, bytes of text below it, and what it is made of; a leaf is made of nothing."""
+
+    digest: bytes
+    size: int
+    parts: list
+
+
 class Tree(NamedTuple):
     root: str
-    sections: list[bytes]
-    paragraphs: list[list[bytes]]
+    size: int
+    sections: list[Node]
+
+
+def _spans(texts: list[bytes]) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+    """(start, stop of each leaf within the joined texts, bounds of each line in the leaves, bounds of each text in the lines)."""
+    words, at = words_of_all(texts)
+    feeds = np.flatnonzero(words.data == 10)
+    # lines in order: the k-th least start belongs to the k-th least end
+    starts, ends = np.sort(np.concatenate([at[:-1], feeds + 1])), np.sort(np.concatenate([feeds, at[1:]]))
+    lines = np.append(0, np.cumsum(np.searchsorted(feeds, at[1:]) - np.searchsorted(feeds, at[:-1]) + 1))
+    line = np.searchsorted(feeds, words.start) + words.owner
+    last = np.append(line[1:] != line[:-1], True)[: len(line)]  # the end of a line is a cut of its own
+    cuts = words.stop[(words.hash % U(LEAF_WORDS) == 0) & ~last]
+    full = starts < ends
+    start, stop = np.sort(np.concatenate([cuts, starts[full]])), np.sort(np.concatenate([cuts, ends[full]]))
+    return start.tolist(), stop.tolist(), np.append(np.searchsorted(start, starts), len(start)), lines
+
+
+def trees(texts: list[str]) -> list[Tree]:
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    start, stop, line_bounds, text_bounds = _spans(raw)
+    data, known, sha = b"".join(raw), {}, hashlib.sha256
+    leaves = []
+    for a, b in zip(start, stop, strict=True):
+        piece = data[a:b]
+        digest = known.get(piece)
+        if digest is None:
+            known[piece] = digest = sha(b"\0" + piece).digest()
+        leaves.append(Node(digest, b - a, ()))
+    bounds, out = line_bounds.tolist(), []
+    for first, end in zip(text_bounds[:-1].tolist(), text_bounds[1:].tolist(), strict=True):
+        sections: list[list[Node]] = [[]]
+        for k in range(first, end):
+            own = leaves[bounds[k] : bounds[k + 1]]
+            digest = sha(b"\1" + b"".join([x.digest for x in own])).digest()
+            sections[-1].append(Node(digest, sum([x.size for x in own]), own))
+            blank = not own or len(own) == 1 and not data[start[bounds[k]] : stop[bounds[k]]].strip()
+            if digest[0] < SECTION_BYTE or blank:
+                sections.append([])
+        if not sections[-1]:
+            sections.pop()
+        made = [Node(sha(b"\2" + b"".join([x.digest for x in p])).digest(), sum(x.size for x in p), p) for p in sections]
+        out.append(Tree(sha(b"\3" + b"".join([x.digest for x in made])).hexdigest(), sum(x.size for x in made), made))
+    return out
 
 
 def tree(text: str) -> Tree:
-    paragraphs: list[list[bytes]] = [[]]
-    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-        digest = hashlib.sha256(b"\0" + line).digest()
-        paragraphs[-1].append(digest)
-        if digest[0] < SECTION_BYTE or not line.strip():
-            paragraphs.append([])
-    if not paragraphs[-1]:
-        paragraphs.pop()
-    sections = [hashlib.sha256(b"\1" + b"".join(p)).digest() for p in paragraphs]
-    return Tree(hashlib.sha256(b"\2" + b"".join(sections)).hexdigest(), sections, paragraphs)
+    return trees([text])[0]
+
+
+def _unmatched(a: list[Node], b: list[Node]) -> tuple[int, list[Node], list[Node]]:
+    """(bytes of the nodes that both have, the parts of a's other nodes, the parts of b's other nodes)."""
+    have, shared, left = Counter([x.digest for x in b]), 0, []
+    for x in a:
+        if have.get(x.digest, 0):
+            have[x.digest] -= 1
+            shared += x.size
+        else:
+            left += x.parts
+    right = []
+    for x in b:
+        if have[x.digest]:
+            have[x.digest] -= 1
+            right += x.parts
+    return shared, left, right
+
+
+def likeness(a: Tree, b: Tree) -> float:
+    """Share of common leaves by bytes, found by going down only where digests differ; 1 for equal roots."""
+    if a.root == b.root:
+        return 1.0
+    common, left, right = 0, a.sections, b.sections
+    while left and right:
+        shared, left, right = _unmatched(left, right)
+        common += shared
+    return 2 * common / (a.size + b.size) if common else 0.0
 
 
 def _differing(a: list, b: list) -> tuple[int, int, int]:
@@ -63,55 +135,25 @@ def locate_edit(a: Tree, b: Tree) -> tuple[int, int, int] | None:
     """(first, end in a, end in b) of the paragraphs that differ; None where the roots are equal."""
     if a.root == b.root:
         return None
-    low, end_a, end_b = _differing(a.sections, b.sections)
-    before = sum(map(len, a.paragraphs[:low]))
-    inner = _differing([x for s in a.paragraphs[low:end_a] for x in s], [x for s in b.paragraphs[low:end_b] for x in s])
+    digests = lambda nodes: [x.digest for x in nodes]
+    low, end_a, end_b = _differing(digests(a.sections), digests(b.sections))
+    before = sum(len(x.parts) for x in a.sections[:low])
+    inner = _differing(*(digests(p for x in t.sections[low:end] for p in x.parts) for t, end in ((a, end_a), (b, end_b))))
     return before + inner[0], before + inner[1], before + inner[2]
 
 
-def _leaves(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, hash, bytes) of the leaves of all documents of a column."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-    for chunk in tokens(column):
-        n = len(chunk.hash)
-        if not n:
-            continue
-        last = chunk.hash % U(LEAF_WORDS) == 0
-        last[chunk.bounds[1:][np.diff(chunk.bounds) > 0] - 1] = True
-        feeds = np.append(0, np.cumsum(chunk.data == 10))
-        last[:-1] |= feeds[chunk.start[1:]] > feeds[chunk.stop[:-1]]  # a paragraph ends
-        stop = np.flatnonzero(last)
-        start = np.append(0, stop[:-1] + 1)
-        a, b = chunk.start[start], chunk.stop[stop]
-        out.append((chunk.first + chunk.owner[stop], span_hashes(chunk.data, a, b), b - a))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _likeness(n: int, left: tuple, right: tuple) -> np.ndarray:
-    """For documents 0..n-1 of both sides, the share of common leaves by bytes; 0 where neither has any."""
-    owner = np.concatenate([left[0], right[0]])
-    keys = mix(np.concatenate([left[1], right[1]]) + owner.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-    _, first, of = np.unique(keys, return_index=True, return_inverse=True)
-    size = np.concatenate([left[2], right[2]])
-    common = np.minimum(np.bincount(of[: len(left[0])], minlength=len(first)), np.bincount(of[len(left[0]) :], minlength=len(first))) * size[first]
-    shared, total = np.bincount(owner[first], common, n), np.bincount(owner, size, n)
-    return 2 * shared / np.maximum(total, 1)
-
-
 _COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_from long"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edit_from", pa.int64())])
 
 
 def _compared(ids: list, texts: list[str], nexts: list[str]) -> pa.RecordBatch:
     edited = [t[: len(t) - len(t) // 4] + x[: len(t) // 4] for t, x in zip(texts, nexts, strict=True)]
-    trees = [[tree(t) for t in side] for side in (texts, edited, nexts)]
-    leaves = [_leaves(pa.array(side, pa.large_string())) for side in (texts, edited, nexts)]
-    near = []
-    for k in (1, 2):
-        same = np.array([a.root == b.root for a, b in zip(trees[0], trees[k], strict=True)], bool)
-        near.append(np.where(same, 1.0, _likeness(len(texts), leaves[0], leaves[k])))
-    edits = [locate_edit(a, b) for a, b in zip(trees[0], trees[1], strict=True)]
-    columns = [ids, [len(t) for t in texts], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], [t.root for t in trees[0]], [t.root for t in trees[1]], near[0], near[1], [e and e[0] for e in edits]]
+    distinct = list(dict.fromkeys([*texts, *edited, *nexts]))  # the next text is the one of another row
+    of = dict(zip(distinct, trees(distinct), strict=True))
+    own, other, after = ([of[t] for t in side] for side in (texts, edited, nexts))
+    near = [[likeness(a, b) for a, b in zip(own, side, strict=True)] for side in (other, after)]
+    edits = [locate_edit(a, b) for a, b in zip(own, other, strict=True)]
+    columns = [ids, [len(t) for t in texts], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], [t.root for t in own], [t.root for t in other], *near, [e and e[0] for e in edits]]
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
@@ -163,15 +205,18 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness, per row of docs.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many of the next row's text by
-    ascending doc_id (after the last, the first). Texts are dealt out by ranges of doc_id once and walked in order; only
-    one first and one last text of each range meet in a join on the range's number. Null text is empty; null ids come
-    first; rows with one id follow each other by text. Extra columns are ignored; an empty table gives an empty result.
+    ascending doc_id (after the last, the first). Rows are dealt out by ranges of doc_id, the text's hash and the row's place
+    once and walked in order, so that one id, or none, on many rows fills many ranges; only one first and one last text of
+    each range meet in a join on the range's number. Null text is empty; null ids come first; rows with one id follow each
+    other by the hash of their texts. Extra columns are ignored; an empty table gives an empty result.
     edit_from is the first paragraph that the trees say differs.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = with_defaults(docs, doc_id="long", text="string").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    walked = materialize(ordered.mapInArrow(_walk, f"{_COLUMNS}, role int, part int, text string"), "walked")
+    order = ["doc_id", "_hash", "_place"]
+    keyed = with_defaults(docs, doc_id="long", text="string").withColumns({"_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    walked = materialize(ordered.select("doc_id", "text").mapInArrow(_walk, f"{_COLUMNS}, role int, part int, text string"), "walked")
     heads = walked.where("role = 1").select(F.col("part").alias("after"), F.col("text").alias("next_text"))
     every = Window.orderBy("part")  # one row for each range of ids
     follow = walked.where("role = 1").select("part", F.coalesce(F.lead("part").over(every), F.first("part").over(every)).alias("after"))

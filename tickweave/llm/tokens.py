@@ -102,6 +102,12 @@ def tokens(column: pa.Array, classes: np.ndarray = WORDS, values: np.ndarray = _
         first = last
 
 
+def words_of_all(texts: list[bytes]) -> tuple[Tokens, np.ndarray]:
+    """Words of all texts at once, and the bounds of each text in the joined bytes."""
+    at = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+    return _tokens(np.frombuffer(b"".join(texts), np.uint8), at, 0, WORDS, _VALUES), at
+
+
 def _tokens(data: np.ndarray, at: np.ndarray, first: int, classes: np.ndarray, values: np.ndarray) -> Tokens:
     n = len(data)
     if n == 0:
