@@ -12,10 +12,11 @@ def brute(text):
             if tuple(words[i : i + len(phrase)]) == phrase:
                 starts.append(i)
                 base.add(label)
-    for line in (text or "").split("\n"):
-        have = set(licenses.words_of(line))
-        for t, label in licenses.TEMPLATES.items():
-            want = set(licenses.words_of(t))
+    for t, label in licenses.TEMPLATES.items():
+        want, n = set(licenses.words_of(t)), len(licenses.words_of(t))
+        blocks = [licenses.words_of(line) for line in (text or "").split("\n")]
+        blocks += [words[max(0, i - n + 1) : i + 1] for i in range(len(words))]
+        for have in map(set, blocks):
             if len(want & have) >= 0.8 * len(want) - 1e-9:
                 more.add(label)
                 score = max(score, len(want & have) / len(want))

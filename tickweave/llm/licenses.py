@@ -1,13 +1,12 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, or a wrapped notice: a run of as many words as a template has, across line ends, that holds
-`threshold` of the template's words in the template's order too. A template is a short notice. Both count as sets of words. A block matches a template when it
-holds at least `threshold` of the template's words. Words are ordered by how many blocks of the whole corpus hold them,
+A block is a line of a text, or a run of as many consecutive words as a template has, across line ends (a wrapped notice;
+where the text begins, fewer). A template is a short notice. Both count as sets of words. A block matches a template when it
+holds at least `threshold` of the template's words. Words are ordered by how many lines of the whole corpus hold them,
 rarest first. A block can only match if it holds one of the template's first |T| - a + 1 words in that order (prefix
 filter; a is the least number of common words), has a words at all (length filter), and if behind the first common
 word enough words are left on both sides (positional filter). What passes is verified, so no match is lost. Runs are met by
-their last word of the template, for each template apart, and verified only where they hold enough such words.
-oracle() regards lines only.
+their last word of the template, for each template apart.
 """
 
 from __future__ import annotations
@@ -43,6 +42,9 @@ TEMPLATES = {
     "This is free and unencumbered software released into the public domain": "unlicense",
 }
 
+#: Text of a template table, at most.
+TEMPLATE_BYTES = 8 << 20
+
 #: Share of a template's words that a block must hold.
 THRESHOLD = 0.8
 
@@ -55,17 +57,6 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded) if w]
 
 
-def _in_order(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence."""
-    last = [0] * (len(b) + 1)
-    for x in a:
-        now = [0]
-        for j, y in enumerate(b):
-            now.append(last[j] + 1 if x == y else max(last[j + 1], now[j]))
-        last = now
-    return last[-1]
-
-
 class Index:
     """Templates over a vocabulary ranked rarest first: word sets, least overlaps, and which templates a prefix word points to."""
 
@@ -85,10 +76,11 @@ class Index:
                 self.prefix.setdefault(w, []).append(t)
         self.in_prefix = np.isin(np.arange(len(vocabulary)), list(self.prefix))
         self.lengths = [len(words_of(t)) for t in templates]
-        self.orders = [[place[int(token_hash(w, _VALUES))] for w in words_of(t)] for t in templates]
-        self.member = np.zeros((len(templates), len(vocabulary)), bool)
-        for t, words in enumerate(self.sets):
-            self.member[t, words] = True
+        # 1 for a template's words, 2 for those of its prefix
+        self.member = np.zeros((len(templates), len(vocabulary)), np.int8)
+        for t, (words, a) in enumerate(zip(self.sets, self.least, strict=True)):
+            self.member[t, words] = 1
+            self.member[t, words[: len(words) - a + 1]] = 2
 
     def pairs(self, chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (block, rank of a vocabulary word in it), ascending, and each block's document. Blocks end at line feeds and documents."""
@@ -109,15 +101,17 @@ class Index:
         hits = np.flatnonzero(self.by_hash[at] == chunk.hash)
         rank, owner = self.rank[at[hits]], chunk.owner[hits]
         for t, (length, least) in enumerate(zip(self.lengths, self.least, strict=True)):
-            own = np.flatnonzero(self.member[t, rank])
-            place, doc, word = hits[own], owner[own], rank[own]
+            kind = self.member[t, rank]
+            if not (kind == 2).any():
+                continue
+            own = np.flatnonzero(kind)
+            place, doc, word, rare = hits[own], owner[own], rank[own], np.append(0, np.cumsum(kind[own] == 2))
             # the run that ends at a hit holds the hits from `first` on; with repeats it has to hold enough of them already
-            first = np.maximum(np.searchsorted(place, place - length, "right"), np.searchsorted(doc, doc))
+            first, last = np.maximum(np.searchsorted(place, place - length, "right"), np.searchsorted(doc, doc)), np.arange(len(own))
             best: dict[int, int] = {}
-            for k in np.flatnonzero(np.arange(len(own)) - first + 1 >= least).tolist():
-                run = word[first[k] : k + 1].tolist()
-                common = len(set(run))
-                if common >= least and _in_order(run, self.orders[t]) >= self.threshold * length - 1e-9:
+            for k in np.flatnonzero((last - first + 1 >= least) & (rare[last + 1] > rare[first])).tolist():
+                common = len(set(word[first[k] : k + 1].tolist()))
+                if common >= least:
                     best[int(doc[k])] = max(best.get(int(doc[k]), 0), common)
             for d, common in best.items():
                 yield d, t, common / len(self.sets[t])
@@ -175,15 +169,25 @@ def _phrase_places(chunk, phrases: list[tuple[np.ndarray, str]]) -> list[tuple[n
 _OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[tuple[str, ...], str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def template_table(templates: DataFrame) -> dict[str, str]:
+    """Notice -> label of a table with columns text and label, of TEMPLATE_BYTES at most: it goes to every task."""
+    rows = with_defaults(templates, text="string", label="string").where("text is not null and label is not null")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of templates; at most {TEMPLATE_BYTES} can be broadcast, scan for parts of the table")
+    return {r["text"]: r["label"] for r in rows.distinct().orderBy("text", F.desc("label")).collect() if words_of(r["text"])}
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, phrases: dict[tuple[str, ...], str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score per row of docs.
 
     n_base counts the places of all phrases, first_word and last_word are the least and the largest of their starts (null
     where there are none). labels holds the phrases' labels and those of matching templates. score is the largest
-    containment of a match, 1 where a phrase stands, else 0. Null text has no words. Repeated rows and null ids stay as
+    containment of a match, 1 where a phrase stands, else 0. Templates may be a table (text, label). Null text has no words. Repeated rows and null ids stay as
     they are; extra columns are ignored; empty docs give an empty result.
     """
     texts = with_defaults(docs, doc_id="long", text="string")
+    templates = templates if isinstance(templates, dict) else template_table(templates)
     index = Index(templates, threshold, _block_counts(texts, Index(templates, threshold)))
     sought = [(np.array([token_hash(w, _VALUES) for w in p], np.uint64), label) for p, label in phrases.items()]
 
@@ -220,13 +224,22 @@ def oracle(templates: dict[str, str] = TEMPLATES, phrases: dict[tuple[str, ...],
     lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     notices = ", ".join("([" + ", ".join(f"'{w}'" for w in sorted(set(words_of(t)))) + f"], '{label}')" for t, label in templates.items())
     sought = " union all ".join(f"select id, i - 1 as start, '{label}' as label from places where " + " and ".join(f"w[i + {k}] = '{w}'" for k, w in enumerate(p)) for p, label in phrases.items())
+    least = [(t, label, len(words_of(t)), sorted(set(words_of(t)))) for t, label in templates.items()]
+    runs = " union all ".join(
+        f"select id, '{label}' as label, count(distinct word) over (partition by id order by i range between {n - 1} preceding and current row) / {len(ws)} as share from hits where word in ("
+        + ", ".join(f"'{w}'" for w in ws) + ")"
+        for _, label, n, ws in least
+    )
+    every = ", ".join(f"'{w}'" for w in sorted({w for *_, ws in least for w in ws}))
     return f"""with rows as (select row_number() over () as id, doc_id, coalesce(text, '') as text from documents),
   split as (select id, doc_id, text, regexp_extract_all({lower("text")}, '{pattern}') as w from rows),
   places as (select id, w, unnest(range(1, len(w) + 1)) as i from split where w <> []),
   base as (select id, count(*) as n, min(start) as first_word, max(start) as last_word, list(distinct label) as labels from ({sought}) group by 1),
   blocks as (select id, list_distinct(regexp_extract_all({lower("line")}, '{pattern}')) as b from (select id, unnest(string_split(text, chr(10))) as line from rows)),
   notices as (select * from (values {notices}) v(t, label)),
-  matches as (select id, label, len(list_intersect(t, b)) / len(t) as share from blocks, notices where len(b) > 0 and len(list_intersect(t, b)) >= {threshold} * len(t) - 1e-9),
+  hits as (select id, i, w[i] as word from places where w[i] in ({every})),
+  matches as (select id, label, share from ({runs}) where share >= {threshold} - 1e-9 union all
+    select id, label, len(list_intersect(t, b)) / len(t) as share from blocks, notices where len(b) > 0 and len(list_intersect(t, b)) >= {threshold} * len(t) - 1e-9),
   more as (select id, list(distinct label) as labels, max(share) as share from matches group by 1)
 select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
