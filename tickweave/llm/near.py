@@ -1,8 +1,12 @@
-"""Near copies by the exact Jaccard similarity of word shingles, for a corpus of which one of each group is to stay.
-
-At a similarity of 0.8 SimHash fingerprints differ in 9.7 of 64 bits on average, too far for keys that must be equal, so
-candidates come from MinHash: BANDS keys, each of ROWS least hashes. A pair of similarity s shares a key with probability
-1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8, 0.99999999 at 0.9. Candidates are held against each other by their whole shingle sets.
+"""SimHash near copies at a Jaccard similarity, for a corpus of which one of each group is to stay.
+
+Texts of similarity 0.8 over word shingles have SimHash fingerprints that differ in 15 % of their bits, whatever their
+number, too many for the few wide segments that serve links of 3 bits. So this fingerprint has 1024 bits, a ring of 64
+segments. Its join keys are the segments themselves: one that is equal starts a chain, and the pair is a candidate if the
+CHAIN segments that follow it on the ring keep, one after the other, within BUDGET differing bits a segment on average
+(pigeonring). A chain of unlike texts holds with a probability of 3e-9, one of a pair at 0.8 nearly always. Such a pair
+has an equal segment with probability 0.99 (1 - (1 - 0.85^16)^64; 0.9999 at 0.85). Candidates are then held against
+each other by their whole shingle sets, so what is linked is exact.
 """
 
 from __future__ import annotations
@@ -18,15 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, drop_scratch, materialize, slices
 from .graph import connected_components
+from .tokens import U, mix
 
-BANDS, ROWS = 20, 5
+#: Segments of 16 bits on the ring, segments of a chain behind its first, differing bits allowed for each segment of a chain.
+SEGMENTS, CHAIN, BUDGET = 64, 8, 3.5
 
-#: Texts of one candidate group that are compared at once; larger groups are dealt into blocks of about this size.
-BLOCK = 256
+#: Fingerprints of one key, and sets of one group, that are compared at once; more are dealt into blocks of about this size.
+KEY_BLOCK, BLOCK = 512, 256
 
-_CHUNK = 4096
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = np.random.default_rng(6).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_WORDS = np.arange(1, SEGMENTS // 4 + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
+_SPENT = np.floor(BUDGET * np.arange(2, CHAIN + 2))
 
 
 def shingles(text: str | None, k: int = 5) -> np.ndarray:
@@ -42,94 +47,190 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), stops[k - 1 :].tolist(), strict=True)], dtype=np.uint64))
 
 
-def band_keys(have: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(have), _CHUNK):
-        mixed = (have[None, at : at + _CHUNK] ^ _MASKS[:, None]) * _FACTORS[:, None]
-        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64)
+def fingerprint(have: np.ndarray) -> np.ndarray:
+    """SEGMENTS numbers of 16 bits: for each bit, whether more than half of the shingles have it in hashes made from theirs."""
+    ones = np.zeros(16 * SEGMENTS, np.int64)
+    for at in range(0, len(have), 255):  # so many fit a byte
+        hashes = mix(have[at : at + 255, None] + _WORDS)
+        ones += np.add.reduce(np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), -1), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(have)).view(np.uint16)
 
 
-def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Boolean matrix of the pairs of sets with at least this Jaccard similarity."""
-    sizes = np.array([len(s) for s in sets])
-    place = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    mark, out = np.zeros(place.max() + 1, bool), np.zeros((len(sets),) * 2, bool)
-    for i, (a, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
-        mark[place[a : a + n]] = True
-        common = np.add.reduceat(mark[place], starts, dtype=np.int64)
-        mark[place[a : a + n]] = False
-        out[i] = common >= similarity * (sizes + n - common) - 1e-9
-    return out
+def ring(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, chains): a key for each fingerprint and segment, and the CHAIN segments behind it as two 64-bit words."""
+    keys = prints.astype(np.int64) + (np.arange(SEGMENTS, dtype=np.int64) << 16)
+    around = np.concatenate([prints, prints[:, :CHAIN]], axis=1)
+    behind = np.lib.stride_tricks.sliding_window_view(around[:, 1:], CHAIN, axis=1)
+    return keys.reshape(-1), np.ascontiguousarray(behind).view(np.int64).reshape(-1, CHAIN // 4)
 
 
-def _stars(ids: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning star for each component of these pairs."""
-    n = len(ids)
-    root = np.arange(n)
+def chained(x: np.ndarray) -> np.ndarray:
+    """Which differences (two 64-bit words each) keep every chain within its budget."""
+    able = np.flatnonzero(np.bitwise_count(x[:, 0]) <= _SPENT[3])
+    spent = np.cumsum(np.bitwise_count(np.ascontiguousarray(x[able]).view(np.uint16)), axis=1)
+    return able[(spent <= _SPENT).all(axis=1)]
+
+
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the pairs a, b are joined too: the least label that each place reaches."""
     while True:
-        after = np.where(pairs, root[None, :], n).min(axis=1)
+        least = np.minimum(root[a], root[b])
+        after = root.copy()
+        np.minimum.at(after, root[a], least)
+        np.minimum.at(after, root[b], least)
+        after = after[after[root]]
         if (after == root).all():
-            break
+            return root
         root = after
+
+
+def _key_edges(groups: np.ndarray, t: np.ndarray, chains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect, within each group (rows in a row), what chains connect: one for each row at most."""
+    n = len(t)
+    ends = np.append(np.flatnonzero((groups[1:] != groups[:-1]).any(axis=1)) + 1, n)
+    end = np.repeat(ends, np.diff(np.append(0, ends)))
+    root, place, step = np.arange(n), np.arange(n), 1
+    while len(place := place[place + step < end[place]]):
+        pair = place[root[place] != root[place + step]]
+        found = pair[chained(chains[pair] ^ chains[pair + step])]
+        if len(found):
+            root = _joined(root, found, found + step)
+        step += 1
     member = np.flatnonzero(root != np.arange(n))
-    return ids[root[member]], ids[member]
+    return t[root[member]], t[member]
 
 
 def _candidates(texts: DataFrame, k: int) -> DataFrame:
-    """Distinct (t, root): texts, by their hash, that shared keys connect; texts without candidates are left out."""
+    """Distinct (t, root): texts, by their hash, that chains connect; texts without candidates are left out."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.record_batch([batch.column(0), pa.array([fingerprint(shingles(x.as_py(), k)).tobytes() for x in batch.column(1)], pa.binary())], names=["t", "print"])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [band_keys(shingles(x.as_py(), k)).view(np.int64) for x in batch.column(1)]
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(flat)], names=["t", "key"])
-
-    keyed = materialize(texts.mapInArrow(keys, "t long, key long"), "keys")
-    # written first: a join of two bare scans can be dealt anew where one key has many rows
-    least = materialize(keyed.groupBy("key").agg(F.min("t").alias("first"), F.max("t").alias("last")).where("first < last").select("key", "first"), "least")
-    roots = connected_components(keyed.join(least, "key").where("t != first").select(F.col("first").alias("a"), F.col("t").alias("b")))
-    for x in (keyed, least):
+            keys, chains = ring(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SEGMENTS))
+            t = np.repeat(batch.column(0).to_numpy(), SEGMENTS)
+            yield pa.record_batch([pa.array(x) for x in (t, keys, chains[:, 0], chains[:, 1])], names=["t", "key", "near", "far"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = np.unique(ring(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SEGMENTS))[0], return_counts=True)
+            yield pa.record_batch([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+    once = materialize(texts.mapInArrow(prints, "t long, print binary").dropDuplicates(["t"]), "prints")
+    full = once.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > KEY_BLOCK)
+    full = materialize(full.select("key", F.ceil(F.col("n") / KEY_BLOCK).cast("int").alias("blocks")), "full")
+    rows = once.mapInArrow(keyed, "t long, key long, near long, far long").join(full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("t"), F.col("blocks").cast("long")).cast("int"))
+    # a key with many fingerprints: each pair of its blocks is a group
+    rows = rows.select("t", "key", "near", "far", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("t", "key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "near", "far")
+    group = ["key", "left", "right"]
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            now = now if held is None else np.concatenate([held, now])
+            cuts = np.flatnonzero((now[1:, 1:4] != now[:-1, 1:4]).any(axis=1)) + 1
+            last = int(cuts[-1]) if len(cuts) else 0  # the last group may go on
+            held, now = now[last:], now[:last]
+            if len(now):
+                yield _edge_batch(*_key_edges(now[:, 1:4], now[:, 0], now[:, 4:]))
+        if held is not None and len(held):
+            yield _edge_batch(*_key_edges(held[:, 1:4], held[:, 0], held[:, 4:]))
+
+    found = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(edges, "a long, b long").where("a != b").distinct()
+    roots = connected_components(found)
+    for x in (once, full):
         drop_scratch(x)
     return roots.select(F.col("node").alias("t"), "root")
 
 
+def _edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def linked(sets: list[np.ndarray], others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Boolean matrix of the pairs of sets (rows) and others with at least this Jaccard similarity."""
+    sizes = np.array([len(s) for s in others])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    known, place = np.unique(np.concatenate(others), return_inverse=True)
+    place, mark, out = place.reshape(-1), np.zeros(len(known) + 1, bool), np.zeros((len(sets), len(others)), bool)
+    for i, own in enumerate(sets):
+        at = np.searchsorted(known, own)
+        at[(at < len(known)) & (known[at.clip(max=len(known) - 1)] != own)] = len(known)
+        mark[at] = True
+        common = np.add.reduceat(mark[place], starts, dtype=np.int64)
+        mark[at] = False
+        out[i] = common >= similarity * (sizes + len(own) - common) - 1e-9
+    return out
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint64) for x in column]
+
+
 def _verified(texts: DataFrame, candidates: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(a, b) edges that connect exactly the candidates of one group that links of this similarity connect."""
-    many = candidates.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = candidates.join(F.broadcast(many.where("blocks > 1")), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = materialize(dealt.withColumn("own", F.pmod(F.xxhash64("t"), F.col("blocks").cast("long")).cast("int")), "dealt")
+    """(a, b) edges that connect exactly the candidates of one group that links of this similarity connect.
+
+    Every member of a group is held against its first one, the root. Only those that aren't linked to it are held against
+    the whole group, which is dealt into blocks; so groups of copies of one text cost in proportion.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
-            held = pa.array([shingles(x.as_py(), k).tobytes() for x in batch.column(4)], pa.binary())
-            yield pa.record_batch([*batch.columns[:4], held], names=["t", "root", "blocks", "own", "held"])
+            held = pa.array([shingles(x.as_py(), k).tobytes() for x in batch.column(2)], pa.binary())
+            yield pa.record_batch([*batch.columns[:2], held], names=["t", "root", "held"])
 
-    # one row for each text, with its set; then each pair of blocks is a group
-    ready = materialize(texts.dropDuplicates(["t"]).join(dealt, "t").select("t", "root", "blocks", "own", "text").mapInArrow(sets, "t long, root long, blocks int, own int, held binary"), "sets")
-    spread = ready.select("t", "root", "held", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("t", "root", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "held")
-    group = ["root", "left", "right"]
-
-    def edges(rows: list) -> pa.RecordBatch:
-        a, b = _stars(np.array([t for t, _ in rows], np.int64), linked([np.frombuffer(h, np.uint64) for _, h in rows], similarity))
-        return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            near = [bool(linked([a], [b], similarity)[0, 0]) for a, b in zip(_sets(batch.column(2)), _sets(batch.column(3)), strict=True)]
+            yield pa.record_batch([*batch.columns[:2], pa.array(near, pa.bool_())], names=["t", "root", "near"])
+
+    # written: a join of two bare scans can be dealt anew where one root has many members
+    named = materialize(candidates, "candidates")
+    ready = materialize(texts.join(named, "t").select("t", "root", "text").dropDuplicates(["t"]).mapInArrow(sets, "t long, root long, held binary"), "sets")
+    first = ready.where("t = root").select("root", F.col("held").alias("lead"))
+    leads = materialize(ready.where("t != root").join(first, "root").select("t", "root", "held", "lead").mapInArrow(led, "t long, root long, near boolean"), "leads")
+    apart = leads.where("not near").select("t", F.lit(True).alias("apart"))
+    sizes = leads.groupBy("root").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("open")).where("open > 0")
+    sizes = materialize(sizes.select("root", F.ceil((F.col("n") + 1) / BLOCK).cast("int").alias("blocks")), "sizes")
+    dealt = ready.join(sizes, "root").join(apart, "t", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("t"), F.col("blocks").cast("long")).cast("int"))
+    # a row stays in its own block; those apart from the root go through every block as well
+    place = F.when(F.col("apart"), F.concat(F.array(F.struct("own", F.lit(False).alias("goes"))), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(x.alias("own"), F.lit(True).alias("goes")))))
+    dealt = dealt.withColumn("x", F.explode(F.coalesce(place, F.array(F.struct("own", F.lit(False).alias("goes"))))))
+    dealt = dealt.select("t", "root", F.col("x.own").alias("block"), F.col("x.goes").alias("goes"), "apart", "held")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            for t, root, left, right, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, left, right) != now:
-                    if len(rows) > 1:
-                        yield edges(rows)
-                    now, rows = (root, left, right), []
-                rows.append((t, held))
-        if len(rows) > 1:
-            yield edges(rows)
-
-    return spread.repartition(*group).sortWithinPartitions(*group).select("t", *group, "held").mapInArrow(work, "a long, b long")
+        now, stay, go = None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if stay and go:
+                a, b = np.nonzero(linked([h for *_, h in go], [h for *_, h in stay], similarity))
+                # those that are linked to the root already count as the root
+                ids = np.array([t if apart else now[0] for t, apart, _ in stay] + [t for t, *_ in go], np.int64)
+                nodes, of = np.unique(ids, return_inverse=True)
+                root = _joined(np.arange(len(nodes)), of[len(stay) + a], of[b])
+                member = np.flatnonzero(root != np.arange(len(nodes)))
+                yield _edge_batch(nodes[root[member]], nodes[member])
+            go.clear()
+
+        for batch in slices(batches, BLOCK):
+            for t, root, block, goes, apart, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, block) != now:
+                    yield from flush()
+                    stay.clear()
+                    now = root, block
+                (go if goes else stay).append((t, apart, np.frombuffer(held, np.uint64)))
+                if len(go) == BLOCK:
+                    yield from flush()
+        yield from flush()
+
+    crossed = dealt.repartition("root", "block").sortWithinPartitions("root", "block", "goes").mapInArrow(work, "a long, b long")
+    return leads.where("near").select(F.col("root").alias("a"), F.col("t").alias("b")).unionByName(crossed)
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
