@@ -237,7 +237,7 @@ def oracle(templates: dict[str, str] = TEMPLATES, phrases: dict[tuple[str, ...],
   base as (select id, count(*) as n, min(start) as first_word, max(start) as last_word, list(distinct label) as labels from ({sought}) group by 1),
   blocks as (select id, list_distinct(regexp_extract_all({lower("line")}, '{pattern}')) as b from (select id, unnest(string_split(text, chr(10))) as line from rows)),
   notices as (select * from (values {notices}) v(t, label)),
-  hits as (select id, i, w[i] as word from places where w[i] in ({every})),
+  hits as materialized (select id, i, word from (select id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from split) where word in ({every})),
   matches as (select id, label, share from ({runs}) where share >= {threshold} - 1e-9 union all
     select id, label, len(list_intersect(t, b)) / len(t) as share from blocks, notices where len(b) > 0 and len(list_intersect(t, b)) >= {threshold} * len(t) - 1e-9),
   more as (select id, list(distinct label) as labels, max(share) as share from matches group by 1)
