@@ -334,7 +334,7 @@ def _asof(spark, d, direction):
     return joins.asof(points, right, ["bar_index", "bid_close"], direction).select("symbol", "seq", "bar_index", "bid_close")
 
 
-_POINTS = "pts as (select symbol, seq, ts + interval 11 seconds as at from ticks where seq % 7 = 0), p as (select pts.*, b.bar_index as bi, b.bid_close as bc, b.timestamp as bt from pts asof left join bars b on b.timestamp <= pts.at), n as (select pts.seq, b.bar_index as bi, b.bid_close as bc, b.timestamp as bt from pts asof left join bars b on b.timestamp >= pts.at)"
+_POINTS = "pts as (select symbol, seq, ts + interval 11 seconds as at from ticks), p as (select pts.*, b.bar_index as bi, b.bid_close as bc, b.timestamp as bt from pts asof left join bars b on b.timestamp <= pts.at), n as (select pts.seq, b.bar_index as bi, b.bid_close as bc, b.timestamp as bt from pts asof left join bars b on b.timestamp >= pts.at)"
 _NEAR = "(p.bt is null or (n.bt is not null and epoch_us(n.bt) - epoch_us(p.at) <= epoch_us(p.at) - epoch_us(p.bt)))"
 _add("asof_signal", lambda s, d: _asof(s, d, "nearest"), f"with {_sql_bars()}, {_POINTS} select symbol, p.seq, case when {_NEAR} then n.bi else p.bi end as bar_index, case when {_NEAR} then n.bc else p.bc end as bid_close from p join n using (seq)")
 _add("asof_backward", lambda s, d: _asof(s, d, "backward"), f"with {_sql_bars()}, {_POINTS} select symbol, seq, bi as bar_index, bc as bid_close from p")
