@@ -42,10 +42,14 @@ class Frame:
         return F.when(F.count(column).over(self.roll(n)) == n, aggregate(column).over(self.roll(n)))
 
 
-def in_blocks(bars: DataFrame, make: Callable[[DataFrame, Frame], DataFrame], before: int, after: int = 0, size: int | None = None) -> DataFrame:
-    """make(bars, frame) run per block; `before` and `after` say how many rows frames reach back and ahead in all."""
+def spread_blocks(bars: DataFrame, before: int, after: int, size: int | None = None) -> DataFrame:
+    """bars with _block, and _own: whether the row belongs to that block or is copied to it as a margin."""
     size = max(size or BLOCK, before, after, 1)
     own, at = F.floor(F.col("bar_index") / size), F.col("bar_index") % size
     blocks = F.array_compact(F.array(own, F.when(at >= size - before, own + 1), F.when(at < after, own - 1)))
-    spread = bars.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == own)
-    return make(spread, Frame(("symbol", "_block"))).where("_own").drop("_own", "_block")
+    return bars.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == own)
+
+
+def in_blocks(bars: DataFrame, make: Callable[[DataFrame, Frame], DataFrame], before: int, after: int = 0, size: int | None = None) -> DataFrame:
+    """make(bars, frame) run per block; `before` and `after` say how many rows frames reach back and ahead in all."""
+    return make(spread_blocks(bars, before, after, size), Frame(("symbol", "_block"))).where("_own").drop("_own", "_block")

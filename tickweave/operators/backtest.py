@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import with_prefix
-from ..functions.windows import in_blocks
+from ..functions.search import HALT, NONE, UP, first_reach
 from .session import SessionCalendar
 from .signals import Strategy
 
@@ -53,30 +53,31 @@ def candidate_trades(bars: DataFrame, signals: DataFrame, spec: BacktestSpec) ->
     """Every entry that a signal allows, with the exit it would have: tp, sl, session_close or time (after max_bars or the data's end)."""
     cal = spec.calendar
     closed = (F.lit(False) if cal.weekend_trading else cal.is_weekend("timestamp")) | (cal.time_to_end("timestamp") <= spec.close_seconds)
-    bar = F.struct("bar_index", "timestamp", "bid_high", "bid_low", "bid_close", "_closed")
-    rows = bars.withColumn("_closed", closed)
-    rows = in_blocks(rows, lambda d, f: d.withColumn("_next", F.collect_list(bar).over(f.rows(1, spec.max_bars))), 0, spec.max_bars)
     wanted = F.col("prediction") == 1
     if spec.use_meta:
         wanted &= F.coalesce("meta_decision", F.lit(1)) != 0
-    rows = rows.join(signals.where(wanted).select("symbol", "bar_index"), ["symbol", "bar_index"], "left_semi").where(~F.col("_closed") & (F.size("_next") > 0))
+    entries = signals.where(wanted).select("symbol", "bar_index", F.lit(True).alias("_entry")).distinct()
+    rows = bars.withColumn("_closed", closed).join(entries, ["symbol", "bar_index"], "left")
     base = F.col(f"{spec.barrier_ref}_close")
-    rows = rows.withColumns({"_up": base + spec.tp, "_down": base - spec.sl})
-    stop = F.get(F.filter("_next", lambda x: x["_closed"] | (x["bid_high"] >= F.col("_up")) | (x["bid_low"] <= F.col("_down"))), 0)
-    rows = rows.withColumn("_stop", stop).withColumn("_exit", F.coalesce("_stop", F.try_element_at("_next", F.lit(-1))))
-    reason = F.when(F.col("_stop").isNull(), "time").when(F.col("_stop._closed"), "session_close").when(F.col("_stop.bid_high") >= F.col("_up"), "tp").otherwise("sl")
-    return rows.select("symbol", F.col("bar_index").alias("entry_bar"), F.col("timestamp").alias("entry_timestamp"), (F.col("ask_close") + spec.slippage).alias("entry_price"), F.col("_exit.bar_index").alias("exit_bar"), F.col("_exit.timestamp").alias("exit_timestamp"), (F.col("_exit.bid_close") - spec.slippage).alias("exit_price"), reason.alias("reason"))
+    found = first_reach(rows, base + spec.tp, base - spec.sl, F.when(F.col("_entry") & ~F.col("_closed"), spec.max_bars), spec.max_bars, F.col("_closed"), keep=("ask_close",))
+    outcome = F.col("outcome")
+    reason = F.when(outcome == NONE, "time").when(outcome == HALT, "session_close").when(outcome == UP, "tp").otherwise("sl")
+    return found.select("symbol", F.col("bar_index").alias("entry_bar"), F.col("timestamp").alias("entry_timestamp"), (F.col("ask_close") + spec.slippage).alias("entry_price"), "exit_bar", "exit_timestamp", (F.col("exit_close") - spec.slippage).alias("exit_price"), reason.alias("reason"))
 
 
 def _take_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries in order, those that find the position free: one search for each that is taken."""
     symbol, free = object(), -1
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (s, entry, out) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("symbol", "entry_bar", "exit_bar")), strict=True)):
-            if s != symbol:
-                symbol, free = s, -1
-            if entry > free:
-                keep[i], free = True, out
+        symbols, (entry, out) = batch.column("symbol").dictionary_encode(), (batch.column(c).to_numpy() for c in ("entry_bar", "exit_bar"))
+        code = symbols.indices.fill_null(-1).to_numpy()
+        keep, edges = np.zeros(len(code), bool), np.flatnonzero(np.diff(code, prepend=-2, append=-2))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = batch.column("symbol")[a].as_py()
+            if own != symbol:
+                symbol, free = own, -1
+            while (a := a + int(np.searchsorted(entry[a:b], free, "right"))) < b:
+                keep[a], free = True, int(out[a])
         yield batch.filter(pa.array(keep))
 
 
@@ -90,9 +91,9 @@ def run_backtest(bars: DataFrame, signals: DataFrame, spec: BacktestSpec) -> Dat
     return taken.withColumns({"size": F.lit(spec.size), "pnl": pnl, "pnl_pct": pnl / spec.initial_cash, "duration": seconds})
 
 
-def equity_curve(trades: DataFrame, initial_cash: float = 10_000.0) -> DataFrame:
-    """trades with equity: cash and all profit up to and with the trade, by exit_timestamp, then entry_bar."""
-    summed = with_prefix(trades, sums={"equity": "pnl"}, order=("exit_timestamp", "entry_bar"))
+def equity_curve(trades: DataFrame, initial_cash: float = 10_000.0, index: str | None = None) -> DataFrame:
+    """trades with equity: cash and all profit up to and with the trade, by exit_timestamp, then entry_bar; index names a column for its number."""
+    summed = with_prefix(trades, sums={"equity": "pnl"}, index=index, order=("exit_timestamp", "entry_bar"))
     return summed.withColumn("equity", F.col("equity") + initial_cash)
 
 

@@ -86,20 +86,28 @@ def tick_bars(ticks: DataFrame, spec: BarSpec) -> DataFrame:
 
 
 def _reset_index(threshold: float):
-    """Appends bar_index to rows in order: a bar ends with the tick that brings its amount to the threshold, then the sum starts anew."""
+    """Appends bar_index to rows in order: a bar ends with the tick that brings its amount to the threshold, then the sum starts anew.
+
+    One step for each bar: sums of a stretch of ticks, and a search for where they reach the threshold.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, bar, held = object(), 0, 0.0
+        symbol, bar, held, stretch = object(), 0, 0.0, 64
         for batch in batches:
-            symbols, amounts = batch.column("symbol").to_pylist(), batch.column("_amount").to_pylist()
-            out = np.empty(len(symbols), np.int64)
-            for i, (s, amount) in enumerate(zip(symbols, amounts, strict=True)):
-                if s != symbol:
-                    symbol, bar, held = s, 0, 0.0
-                out[i] = bar
-                held += amount or 0.0
-                if held >= threshold:
-                    bar, held = bar + 1, 0.0
+            code = batch.column("symbol").dictionary_encode().indices.fill_null(-1).to_numpy()
+            amounts = np.nan_to_num(batch.column("_amount").fill_null(0.0).to_numpy())
+            out, edges = np.empty(len(code), np.int64), np.flatnonzero(np.diff(code, prepend=-2, append=-2))
+            for a, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = batch.column("symbol")[a].as_py()
+                if own != symbol:
+                    symbol, bar, held = own, 0, 0.0
+                while a < end:
+                    sums = np.add.accumulate(np.append(held, amounts[a : min(a + stretch, end)]))[1:]
+                    over = sums >= threshold
+                    n = int(over.argmax()) + 1 if over.any() else len(sums)
+                    out[a : a + n] = bar
+                    a, stretch = a + n, max(16, 2 * n)
+                    bar, held = (bar + 1, 0.0) if over[n - 1] else (bar, float(sums[-1]))
             yield pa.record_batch([*batch.columns, pa.array(out)], names=[*batch.schema.names, "bar_index"])
 
     return work

@@ -13,9 +13,10 @@ from ..functions.prefix import with_prefix
 from ..functions.stored import stored
 
 
-def numbered(rows: DataFrame, order: tuple[str, ...] = ("timestamp",)) -> DataFrame:
-    """rows with row_idx, their place in time."""
-    return with_prefix(rows, index="row_idx", order=order)
+def numbered(rows: DataFrame, order: tuple[str, ...] = ("timestamp",), ties: tuple[str, ...] = ("symbol", "bar_index", "bar_index_start")) -> DataFrame:
+    """rows of all symbols with row_idx, their place in time; rows of one time go by the columns of ties that there are."""
+    by = (*order, *[c for c in ties if c in rows.columns and c not in order])
+    return with_prefix(rows.withColumn("_all", F.lit(0)), index="row_idx", keys=("_all",), order=by).drop("_all")
 
 
 def time_series_folds(rows: DataFrame, n_splits: int, test_size: int | None = None, gap: int = 0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.search import DOWN, NONE, UP, first_reach
 from ..functions.windows import Frame, in_blocks
 from .bars import average_duration
 from .session import SessionCalendar
@@ -27,33 +28,25 @@ def triple_barrier(bars: DataFrame, tp: float | Column, sl: float | Column, max_
     least of max_horizon and the session's remaining bars; events with less than min_horizon or without a next bar are left out.
     """
     calendar = calendar or SessionCalendar()
-    bar = F.struct("bar_index", "timestamp", "bid_high", "bid_low", "bid_close")
-
-    def ahead(df: DataFrame, f: Frame) -> DataFrame:
-        return df.withColumn("_next", F.collect_list(bar).over(f.rows(1, max_horizon)))
-
-    rows = in_blocks(bars, ahead, 0, max_horizon)
+    rows = bars.join(average_duration(bars), "symbol")  # one row for each symbol
+    rows = rows.withColumn("effective_horizon", F.least(F.lit(max_horizon), calendar.bars_to_end("timestamp", F.col("seconds"))).cast("int"))
+    asked = F.when(F.col("effective_horizon") >= max(min_horizon, 1), F.col("effective_horizon"))
     if at is not None:
-        rows = rows.join(at.select("symbol", "bar_index"), ["symbol", "bar_index"], "left_semi")
-    rows = rows.join(average_duration(bars), "symbol")  # one row for each symbol
-    horizon = F.least(F.lit(max_horizon), calendar.bars_to_end("timestamp", F.col("seconds"))).cast("int")
-    rows = rows.withColumn("effective_horizon", horizon).where(F.col("effective_horizon") >= max(min_horizon, 1)).where(F.size("_next") > 0)
-    up, down = F.col("bid_close") + tp, F.col("bid_close") - sl
-    rows = rows.withColumns({"_next": F.slice("_next", F.lit(1), F.col("effective_horizon")), "_up": up, "_down": down})
-    hit = F.get(F.filter("_next", lambda x: (x["bid_high"] >= F.col("_up")) | (x["bid_low"] <= F.col("_down"))), 0)
-    rows = rows.withColumn("_hit", hit).withColumn("_exit", F.coalesce("_hit", F.try_element_at("_next", F.lit(-1))))
-    label = F.when(F.col("_hit").isNull(), 0).when(F.col("_hit.bid_high") >= F.col("_up"), 1).otherwise(-1)
-    return rows.select(
+        rows = rows.join(at.select("symbol", "bar_index", F.lit(True).alias("_event")).distinct(), ["symbol", "bar_index"], "left")
+        asked = F.when(F.col("_event"), asked)
+    found = first_reach(rows, F.col("bid_close") + tp, F.col("bid_close") - sl, asked, max_horizon, keep=("ask_close", "effective_horizon"))
+    outcome = F.col("outcome")
+    return found.select(
         "symbol",
         F.col("timestamp").alias("event_start"),
-        F.col("_exit.timestamp").alias("event_end"),
-        label.alias("label"),
+        F.col("exit_timestamp").alias("event_end"),
+        F.when(outcome == NONE, 0).when(outcome == UP, 1).otherwise(-1).alias("label"),
         F.col("bar_index").alias("bar_index_start"),
-        F.col("_exit.bar_index").alias("bar_index_end"),
+        F.col("exit_bar").alias("bar_index_end"),
         F.col("ask_close").alias("entry_price"),
-        F.col("_exit.bid_close").alias("exit_price"),
-        (F.col("_exit.bid_close") - F.col("ask_close")).alias("pnl"),
-        F.when(label == 1, "tp").when(label == -1, "sl").otherwise("time").alias("barrier_hit"),
+        F.col("exit_close").alias("exit_price"),
+        (F.col("exit_close") - F.col("ask_close")).alias("pnl"),
+        F.when(outcome == UP, "tp").when(outcome == DOWN, "sl").otherwise("time").alias("barrier_hit"),
         "effective_horizon",
         F.col("timestamp").alias("bar_timestamp"),
     )

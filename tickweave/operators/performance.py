@@ -73,11 +73,9 @@ def extended(trades: DataFrame, initial_cash: float = 10_000.0, keys: tuple[str,
     """Sortino, Calmar, profit factor, expectancy, recovery factor and ulcer index from the equity after each trade."""
     from .backtest import equity_curve
 
-    curve = drawdown_curve(equity_curve(trades, initial_cash))
+    curve = drawdown_curve(equity_curve(trades, initial_cash, index="_place"))
     before = F.col("equity") - F.col("pnl")  # the equity after the trade before, for all but the first
-    first = F.min(F.struct("exit_timestamp", "entry_bar")).over(Window.partitionBy(*keys))
-    ret = F.when(F.struct("exit_timestamp", "entry_bar") != F.col("_first"), F.col("pnl") / before)
-    rows = curve.withColumn("_first", first).withColumn("ret", ret)
+    rows = curve.withColumn("ret", F.when(F.col("_place") > 0, F.col("pnl") / before))
     last, start = F.max_by("equity", F.struct("exit_timestamp", "entry_bar")), F.min_by("equity", F.struct("exit_timestamp", "entry_bar"))
     sums = rows.groupBy(*keys).agg(sortino().alias("sortino"), profit_factor().alias("profit_factor"), expectancy().alias("expectancy"), ulcer().alias("ulcer"), F.sum("pnl").alias("_net"), F.min("dd_pct").alias("_dd"), F.count("ret").alias("_n"), (last / start - 1).alias("_return"))
     periods = F.when(F.col("_n") > 0, F.col("_n")).otherwise(252)

@@ -75,13 +75,25 @@ def consistency(train: DataFrame, test: DataFrame) -> dict[str, list]:
     return {"missing": sorted(a.keys() - b.keys()), "extra": sorted(b.keys() - a.keys()), "types": sorted((c, a[c], b[c]) for c in a.keys() & b.keys() if a[c] != b[c])}
 
 
+#: Numbers of seq in a block that temporal_safety walks in order.
+SEQ_BLOCK = 1 << 16
+
+
 def temporal_safety(rows: DataFrame) -> DataFrame:
-    """symbol, n_rows, n_repeated (timestamps met before), n_backward (rows before their predecessor by seq), is_safe."""
-    back = F.lag("timestamp").over(Window.partitionBy("symbol").orderBy("seq")) > F.col("timestamp")
-    marked = rows.select("symbol", "timestamp", F.coalesce(back, F.lit(False)).alias("back"))
-    times = marked.groupBy("symbol", "timestamp").agg(F.count("*").alias("n"), F.count_if("back").alias("b"))
-    out = times.groupBy("symbol").agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") - 1).alias("n_repeated"), F.sum("b").alias("n_backward"))
-    return out.withColumn("is_safe", (F.col("n_repeated") == 0) & (F.col("n_backward") == 0))
+    """symbol, n_rows, n_repeated (timestamps met before), n_backward (rows before their predecessor by seq), is_safe.
+
+    Neighbours are compared within blocks of seq, and the ends of blocks, one row each, with each other.
+    """
+    blocked = rows.select("symbol", "timestamp", "seq", F.floor(F.col("seq") / SEQ_BLOCK).alias("_block"))
+    back = F.lag("timestamp").over(Window.partitionBy("symbol", "_block").orderBy("seq")) > F.col("timestamp")
+    inside = blocked.withColumn("back", F.coalesce(back, F.lit(False)))
+    blocks = inside.groupBy("symbol", "_block").agg(F.count_if("back").alias("b"), F.min_by("timestamp", "seq").alias("first"), F.max_by("timestamp", "seq").alias("last"))
+    edge = F.lag("last").over(Window.partitionBy("symbol").orderBy("_block")) > F.col("first")
+    backward = blocks.withColumn("edge", F.coalesce(edge, F.lit(False)).cast("int")).groupBy("symbol").agg(F.sum(F.col("b") + F.col("edge")).alias("n_backward"))
+    times = rows.groupBy("symbol", "timestamp").agg(F.count("*").alias("n"))
+    out = times.groupBy("symbol").agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") - 1).alias("n_repeated")).withColumnRenamed("symbol", "_s")
+    joined = out.join(backward, F.col("_s").eqNullSafe(F.col("symbol"))).select("symbol", "n_rows", "n_repeated", "n_backward")
+    return joined.withColumn("is_safe", (F.col("n_repeated") == 0) & (F.col("n_backward") == 0))
 
 
 def looks_ahead(df: DataFrame) -> list[str]:
