@@ -1,9 +1,11 @@
+import hashlib
 import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tickweave.functions import draws, prefix
 from tickweave.operators import folds, forest, regimes, risk, stats
 from tickweave.plans import experiment
 from tickweave.sources import runs
@@ -25,10 +27,42 @@ def test_monte_carlo_is_seeded_and_plausible(spark):
     assert sure.prob_ruin == 1 and not sure.viable and sure.mean_final_capital == 10_000 - 1200
 
 
-def test_monte_carlo_by_joins_agrees_with_the_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(risk, "MAX_BROADCAST", 3)
-    b = risk.monte_carlo(log(spark), 300, 50, 10_000.0).first()
-    assert abs(b.mean_final_capital - (10_000 + 50 * np.mean(PNLS))) < 60
+def md5_draw(*keys):
+    return int(hashlib.md5("|".join(map(str, keys)).encode()).hexdigest()[:12], 16)
+
+
+def test_simulations_equal_a_loop(spark):
+    got = {r.sim: (r.final_capital, r.max_dd, r.ruined, r.reached) for r in risk.simulate(log(spark).repartition(3), 50, 40, 100.0, 0.2, 0.3).collect()}
+    for sim in range(50):
+        c = peak = 100.0
+        dd, ruined, reached = 0.0, False, False
+        for step in range(40):
+            c += PNLS[md5_draw(sim, step, 42) % len(PNLS)]
+            peak = max(peak, c)
+            dd = max(dd, (peak - c) / peak)
+            ruined, reached = c <= 80, c >= 130
+            if ruined or reached:
+                break
+        assert got[sim] == pytest.approx((c, dd, ruined, reached))
+    empty = risk.simulate(log(spark).limit(0), 3, 5, 100.0, 0.2, 0.3).collect()
+    assert [tuple(r) for r in empty] == [(i, 100.0, 0.0, False, False) for i in range(3)]
+
+
+def test_resamples_weigh_like_poisson(spark):
+    drawn = spark.range(400).withColumnRenamed("id", "place").crossJoin(draws.resamples(spark, 200, 7)).select("place", "k", draws.poisson_weight(F.col("place")).alias("w"))
+    mean, var = drawn.agg(F.avg("w"), F.var_pop("w")).first()
+    sums = [r[0] for r in drawn.groupBy("k").agg(F.sum("w")).select("sum(w)").collect()]
+    assert abs(mean - 1) < 0.02 and abs(var - 1) < 0.03 and abs(np.std(sums) - 20) < 4
+
+
+def test_value_places(spark, monkeypatch):
+    rng = random.Random(9)
+    values = [round(rng.gauss(0, 3), 1) for _ in range(500)] + [1e9, -1e9]
+    df = spark.createDataFrame([(v,) for v in values], "x double").groupBy("x").agg(F.count("*").alias("n"))
+    for ranges in (2, 7, 256):
+        monkeypatch.setattr(prefix, "RANGES", ranges)
+        got = {r.x: r.before for r in prefix.value_places(df, "x", "n").collect()}
+        assert got == {v: sum(u < v for u in values) for v in values}
 
 
 def test_t_and_u_tests(spark):

@@ -28,3 +28,17 @@ def with_prefix(df: DataFrame, sums: dict[str, str] | None = None, index: str |
     if index:
         out.append((F.col("_before") + F.col("_row") - 1).cast("long").alias(index))
     return joined.select(*out)
+
+
+#: Ranges of values that are numbered apart.
+RANGES = 256
+
+
+def value_places(values: DataFrame, column: str, n: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct non-null values with `before`: the sum of n over all smaller ones. Ranges of values between quantiles run apart."""
+    cuts = values.agg(F.percentile_approx(column, [i / RANGES for i in range(1, RANGES)], 100 * RANGES).alias("_cuts"))
+    dealt = values.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")  # one row of cuts
+    totals = dealt.groupBy("_range").agg(F.sum(n).alias("_total"))
+    totals = totals.select("_range", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # RANGES rows
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy("_range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_inside", inside).join(F.broadcast(totals), "_range").select(column, n, *keep, (F.col("_base") + F.col("_inside")).cast("long").alias("before"))

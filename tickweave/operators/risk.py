@@ -2,44 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Profits of so many trades at most are broadcast to the simulations; a larger log is drawn from by joins.
-MAX_BROADCAST = 1_000_000
-
+from ..functions.draws import draw
+from ..functions.prefix import with_prefix
 
-def _drawn(trades: DataFrame, n_simulations: int, n_trades: int, seed: int) -> DataFrame:
-    """(sim, step, pnl) by joining draws with numbered trades: the way for logs too large to broadcast."""
-    from ..functions.prefix import with_prefix
 
+def drawn(trades: DataFrame, n_simulations: int, n_trades: int, seed: int = 42) -> DataFrame:
+    """(sim, step, pnl): trades by their number in time, drawn with replacement; draws meet trades in a join, whatever the log's size."""
     numbered = with_prefix(trades.withColumn("_all", F.lit(0)), index="_i", keys=("_all",), order=("exit_timestamp", "entry_bar")).select("_i", "pnl")
-    n = numbered.count()
+    total = trades.agg(F.count("*").alias("_n"))
     steps = trades.sparkSession.range(n_simulations).select(F.col("id").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(n_trades - 1))).alias("step"))
-    return steps.withColumn("_i", F.pmod(F.xxhash64("sim", "step", F.lit(seed)), F.lit(n))).join(numbered, "_i").select("sim", "step", "pnl")
+    steps = steps.join(F.broadcast(total)).where("_n > 0")  # one row
+    return steps.withColumn("_i", draw("sim", "step", seed) % F.col("_n")).join(numbered, "_i").select("sim", "step", "pnl")
 
 
 def simulate(trades: DataFrame, n_simulations: int, n_trades: int, initial_capital: float, max_drawdown: float, target: float, seed: int = 42) -> DataFrame:
     """sim, final_capital, max_dd, ruined, reached: trades drawn with replacement until ruin (looked at first), target or n_trades."""
     spark, floor, goal = trades.sparkSession, initial_capital * (1 - max_drawdown), initial_capital * (1 + target)
-    pnls = [r["pnl"] for r in trades.select("pnl", "exit_timestamp", "entry_bar").orderBy("exit_timestamp", "entry_bar").limit(MAX_BROADCAST + 1).collect()]
-    if len(pnls) > MAX_BROADCAST:
-        walks = _drawn(trades, n_simulations, n_trades, seed).groupBy("sim").agg(F.array_sort(F.collect_list(F.struct("step", "pnl"))).alias("walk"))
-        walks = walks.select("sim", F.col("walk.pnl").alias("walk"))
-    else:
-        shared = spark.sparkContext.broadcast(np.array(pnls))
-
-        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sims = batch.column(0).to_pylist()
-                walks = [shared.value[np.random.default_rng([seed, s]).integers(0, len(shared.value), n_trades)].tolist() if len(shared.value) else [] for s in sims]
-                yield pa.record_batch([batch.column(0), pa.array(walks, pa.list_(pa.float64()))], names=["sim", "walk"])
-
-        walks = spark.range(n_simulations).mapInArrow(draw, "sim long, walk array<double>")
+    walks = drawn(trades, n_simulations, n_trades, seed).groupBy("sim").agg(F.array_sort(F.collect_list(F.struct("step", "pnl"))).alias("walk"))  # n_trades each
+    walks = spark.range(n_simulations).select(F.col("id").alias("sim")).join(walks, "sim", "left").select("sim", F.coalesce(F.col("walk.pnl"), F.array().cast("array<double>")).alias("walk"))
     zero = F.struct(F.lit(initial_capital).alias("c"), F.lit(initial_capital).alias("peak"), F.lit(0.0).alias("dd"), F.lit(False).alias("done"))
 
     def step(s, x):

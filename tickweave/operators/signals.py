@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
+from ..functions.draws import draw
 from ..functions.windows import in_blocks
 
 Strategy = Callable[[DataFrame], DataFrame]
@@ -24,8 +25,8 @@ def buy_and_hold(bars: DataFrame) -> DataFrame:
 
 def random_signals(bars: DataFrame, seed: int = 42, long_only: bool = True) -> DataFrame:
     """Draws that depend on the bar and the seed alone, not on partitions."""
-    draw = F.pmod(F.xxhash64("symbol", "bar_index", F.lit(seed)), F.lit(2 if long_only else 3))
-    return _signals(bars, draw if long_only else draw - 1, F.lit(0.5))
+    drawn = draw("symbol", "bar_index", seed) % (2 if long_only else 3)
+    return _signals(bars, drawn if long_only else drawn - 1, F.lit(0.5))
 
 
 def ma_crossover(bars: DataFrame, short: int = 10, long: int = 50, price: str = "bid_close") -> DataFrame:

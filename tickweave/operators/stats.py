@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import erfc, exp, lgamma, log, sqrt
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import poisson_weight, resamples
+from ..functions.prefix import value_places
+
 ALTERNATIVES = ("two-sided", "greater", "less")
 
 
@@ -64,13 +64,13 @@ def t_test(model: DataFrame, baseline: DataFrame, column: str = "pnl", alternati
 def mann_whitney_statistic(model: DataFrame, baseline: DataFrame, column: str = "pnl") -> DataFrame:
     """One row: U of the first sample with mean ranks for ties, sizes, the ties' correction, medians.
 
-    Ranks come from counts of distinct values, not of rows, so many equal returns cost as much as one.
+    Ranks come from counts of distinct values, not of rows, so many equal returns cost as much as one; ranges of values are
+    ranked apart.
     """
     both = model.select(F.col(column).alias("x"), F.lit(1).alias("m")).unionByName(baseline.select(F.col(column).alias("x"), F.lit(0).alias("m"))).where("x IS NOT NULL")
     values = both.groupBy("x").agg(F.sum("m").alias("a"), F.sum(1 - F.col("m")).alias("b"))
     n = F.col("a") + F.col("b")
-    below = F.coalesce(F.sum(n).over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.withColumn("rank", below + (n + 1) / 2)
+    ranked = value_places(values.withColumn("n", n), "x", "n", ("a", "b")).withColumn("rank", F.col("before") + (n + 1) / 2)
     u = F.sum(F.col("a") * F.col("rank")) - F.sum("a") * (F.sum("a") + 1) / 2
     s = ranked.agg(u.alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.pow(n, 3) - n).alias("ties"))
     med = both.agg(F.median(F.when(F.col("m") == 1, F.col("x"))).alias("median1"), F.median(F.when(F.col("m") == 0, F.col("x"))).alias("median2"))
@@ -92,30 +92,21 @@ def mann_whitney(model: DataFrame, baseline: DataFrame, column: str = "pnl", alt
 
 
 def bootstrap_ci(returns: DataFrame, column: str = "pnl", n_bootstrap: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """lower, upper, mean: percentile bounds of the mean over resamples, one row; resamples run in parallel tasks.
+    """lower, upper, mean: percentile bounds of the mean over resamples, one row.
 
-    A resample of n values is drawn as counts of the distinct values (multinomial), so what is shared is one row for
-    each distinct value; it is checked to be at most a million.
+    Each resample weighs each value by a Poisson draw with mean 1, made where the value lies from its place among all values
+    in ascending order and the resample's number: rows are read once and only sums by resample are shuffled. Null values
+    take no part; without values the bounds are null and the mean is 0.
     """
-    spark = returns.sparkSession
-    values = returns.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n")).orderBy("x").limit(1_000_001).collect()
-    if len(values) > 1_000_000:
-        raise ValueError("more than a million distinct returns: round them before the bootstrap")
-    x, n = np.array([v["x"] for v in values], float), np.array([v["n"] for v in values], np.int64)
-    if not len(x):
-        return spark.createDataFrame([(None, None, 0.0)], "lower double, upper double, mean double")
-    shared = spark.sparkContext.broadcast((x, n))
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, n = shared.value
-        for batch in batches:
-            total = int(n.sum())
-            means = [float(np.random.default_rng([seed, k]).multinomial(total, n / total) @ x / total) for k in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(means, pa.float64())], names=["m"])
-
+    values = returns.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    placed = value_places(values, "x", "n")
+    rows = placed.select("x", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("place"))
+    drawn = rows.join(F.broadcast(resamples(returns.sparkSession, n_bootstrap, seed)))  # n_bootstrap rows
+    weighed = drawn.select("k", "x", poisson_weight(F.col("place")).alias("w")).where("w > 0")
+    means = weighed.groupBy("k").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
     tail = (1 - level) / 2
-    drawn = spark.range(n_bootstrap).mapInArrow(draw, "m double")
-    return drawn.agg(F.percentile("m", F.lit(tail)).alias("lower"), F.percentile("m", F.lit(1 - tail)).alias("upper"), F.lit(float(x @ n / n.sum())).alias("mean"))
+    bounds = means.agg(F.percentile("m", F.lit(tail)).alias("lower"), F.percentile("m", F.lit(1 - tail)).alias("upper"))
+    return bounds.join(F.broadcast(returns.agg(F.coalesce(F.avg(column), F.lit(0.0)).alias("mean"))))  # one row each
 
 
 def compare(model: DataFrame, baseline: DataFrame, column: str = "pnl", significance: float = 0.05, seed: int = 42) -> dict:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import features as ft
+from .functions.draws import POISSON_STEPS, PRIME
 from .functions.stored import stored
 from .functions.windows import in_blocks
 from .operators import backtest, bars, clean, folds, forest, joins, labeling, performance, regimes, risk, signals, stats, validate
@@ -354,13 +355,26 @@ select fold_id, row_idx, role from roles r where role is not null and (select co
 _add("cpcv_folds", lambda s, d: folds.cpcv_folds(_intervals(s, d), 6, 2, 10), f"with {_sql_bars()}, {_LABELS}, {_GROUPS}, {_COMBOS}" + _FOLD.replace("{spans}", "span as (select fold_id, min(start_idx) as low, max(end_idx) as high from test group by 1)"))
 _add("cpcv_folds_per_run", lambda s, d: folds.cpcv_folds(_intervals(s, d), 6, 2, 10, purge="per_run"), f"with {_sql_bars()}, {_LABELS}, {_GROUPS}, {_COMBOS}" + _FOLD.replace("{spans}", "span as (select fold_id, min(start_idx) as low, max(end_idx) as high from test group by fold_id, case when y = x + 1 then -1 else group_id end)"))
 
+
+
+def _timed(spark, d):
+    """Bars of several symbols with intervals of an hour from their own time."""
+    rows = folds.numbered(bars.build_bars(_by_type(spark, d), TEN))
+    return rows.select("row_idx", F.unix_micros("timestamp").alias("start_idx"), (F.unix_micros("timestamp") + 3_600_000_000).alias("end_idx"))
+
+
+_ROWS = "r as (select row_number() over (order by timestamp, symbol, bar_index) - 1 as row_idx, epoch_us(timestamp) as start_idx, epoch_us(timestamp) + 3600000000 as end_idx from bars)"
+_add("tscv_folds_multi", lambda s, d: folds.time_series_folds(_timed(s, d), 4, gap=5), f"with {_sql_bars(symbol='event_type')}, {_ROWS}, t as (select count(*) as n, count(*) // 5 as size from r), f as (select range::int as fold_id, n - (4 - range) * size as start, size from range(4), t), x as (select fold_id, row_idx, case when row_idx >= start and row_idx < start + size then 'test' when row_idx < start - 5 then 'train' end as role from r, f) select * from x where role is not null")
+_add("cpcv_folds_multi", lambda s, d: folds.cpcv_folds(_timed(s, d), 6, 2, 10), f"with {_sql_bars(symbol='event_type')}, {_ROWS}, g as (select *, (ntile(6) over (order by row_idx) - 1)::int as group_id from r), {_COMBOS}" + _FOLD.replace("{spans}", "span as (select fold_id, min(start_idx) as low, max(end_idx) as high from test group by 1)"))
+
 # Signals, backtest, performance -------------------------------------------------------------------------------------
 
 _sig = lambda df: df.select("symbol", "bar_index", "prediction", "probability", "meta_decision")
 _add("signals_buy_hold", lambda s, d: _sig(signals.buy_and_hold(_bars(s, d))), f"with {_sql_bars()} select symbol, bar_index, 1::int as prediction, 1.0::double as probability, 1::int as meta_decision from bars")
 _add("signals_ma", lambda s, d: _sig(signals.ma_crossover(_bars(s, d))), f"with {_sql_bars()} select symbol, bar_index, coalesce(({_gate('avg', 'bid_close', 10)}) > ({_gate('avg', 'bid_close', 50)}), false)::int as prediction, 1.0::double as probability, 1::int as meta_decision from bars")
 _add("signals_rsi", lambda s, d: _sig(signals.rsi_signals(_bars(s, d))), f"with {_sql_bars()}, {_RSI} select symbol, bar_index, coalesce(rsi < 30, false)::int as prediction, 1.0::double as probability, 1::int as meta_decision from rs")
-_add("signals_random", lambda s, d: _sig(signals.random_signals(_bars(s, d))), None)
+_draw = lambda *keys: f"('0x' || substr(md5(concat_ws('|', {', '.join(map(str, keys))})), 1, 12))::bigint"
+_add("signals_random", lambda s, d: _sig(signals.random_signals(_bars(s, d))), f"with {_sql_bars()} select symbol, bar_index, ({_draw('symbol', 'bar_index', 42)} % 2)::int as prediction, 0.5::double as probability, 1::int as meta_decision from bars")
 TRADE = ["symbol", "entry_bar", "entry_price", "exit_bar", "exit_price", "reason", "pnl"]
 _BT = f"with recursive {_sql_bars().replace('bars as (', 'bars as materialized (')}, {_TRADES.replace('marked as (', 'marked as materialized (').replace('cand as (', 'cand as materialized (')}"
 _add("backtest_feed", lambda s, d: backtest.feed(_bars(s, d)).drop("timestamp"), f"with {_sql_bars()} select symbol, bar_index, bid_open as open, bid_high as high, bid_low as low, bid_close as close, ask_close, bidVolume_sum as volume from bars")
@@ -416,8 +430,23 @@ def _forest(spark, d):
 
 _add("hmm_regimes", _hmm, None)
 _add("forest_predictions", _forest, None)
-_add("monte_carlo", lambda s, d: risk.prop_firm(risk.monte_carlo(_trades(s, d), 500, 100, 100.0)), None)
-_add("bootstrap_ci", lambda s, d: stats.bootstrap_ci(_labels(s, d), n_bootstrap=500), None)
+RISK = ["prob_ruin", "prob_target", "mean_final_capital", "mean_max_dd"]
+_add(
+    "monte_carlo",
+    lambda s, d: _out(risk.monte_carlo(_trades(s, d), 1000, 100, 100.0), [], RISK),
+    f"{_BT}, numbered as (select pnl, row_number() over (order by exit_timestamp, entry_bar) - 1 as i from trades), steps as (select sim.range as sim, step.range as step, {_draw('sim.range', 'step.range', 42)} % (select count(*) from trades) as i from range(1000) sim, range(100) step), "
+    "c as (select sim, step, 100 + sum(pnl) over (partition by sim order by step) as c from steps join numbered using (i)), p as (select *, greatest(100, max(c) over (partition by sim order by step)) as peak, min(case when c <= 90 or c >= 105 then step end) over (partition by sim) as stop from c), "
+    "e as (select sim, arg_max(c, step) as c, max((peak - c) / peak) as dd from p where step <= coalesce(stop, 99) group by 1), "
+    f"x as (select avg((c <= 90)::int) as prob_ruin, avg((c >= 105)::int) as prob_target, avg(c) as mean_final_capital, avg(dd) as mean_max_dd from e) select {_cols([], RISK)} from x",
+)
+_add("prop_firm", lambda s, d: risk.prop_firm(risk.monte_carlo(_trades(s, d), 1000, 100, 100.0)).select("viable"), _ALL["monte_carlo"][1].rsplit(" select ", 1)[0] + " select prob_ruin < 0.05 and prob_target > 0.3 as viable from x")
+_WEIGHT = " + ".join(f"(h > {step})::int" for step in POISSON_STEPS)
+_add(
+    "bootstrap_ci",
+    lambda s, d: _out(stats.bootstrap_ci(_labels(s, d)), [], ["lower", "upper", "mean"]),
+    f"with {_sql_bars()}, {_LABELS}, r as (select pnl, row_number() over (order by pnl) - 1 as i from labels), rs as (select range as k, " + ", ".join(f"{_draw('range', j, 42)} % {PRIME} as c{j}" for j in range(4)) + f" from range(1000)), h as (select k, pnl, ((((c3 * i + c2) % {PRIME}) * i + c1) % {PRIME} * i + c0) % {PRIME} as h from r, rs), "
+    f"w as (select k, pnl, {_WEIGHT} as w from h), m as (select sum(w * pnl) / sum(w) as m from w group by k), x as (select quantile_cont(m, 0.025) as lower, quantile_cont(m, 0.975) as upper, (select avg(pnl) from labels) as mean from m) select {_cols([], ['lower', 'upper', 'mean'])} from x",
+)
 
 
 def queries() -> dict[str, Query]:
