@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, slices, with_defaults
+from .common import drop_scratch, materialize, slices, small_batches, with_defaults
 from .tokens import U, join, leftmost_minima, mix, tokens, windows
 
 #: Size of the bitmap of repeated hashes that is broadcast after each level: 16 MiB whatever the input.
@@ -133,7 +133,9 @@ def repeated_ranges(docs: DataFrame, length: int = 35) -> DataFrame:
 
     for k in range(len(lengths) - 1):
         shared = spark.sparkContext.broadcast(list(bitmaps))
-        bitmaps.append(_bitmap(docs.select("text").mapInArrow(level_counts(k, shared), "h long, n long")))
+        with small_batches(spark):
+            bitmaps.append(_bitmap(docs.select("text").mapInArrow(level_counts(k, shared), "h long, n long")))
+        shared.unpersist()
     shared = spark.sparkContext.broadcast(bitmaps)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = {b: np.ones(1, np.uint64) for b in (_BASE, _BASE_INVERSE)}
 
 #: Whole documents are taken together up to about this many bytes; a longer one is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def byte_classes(kinds: dict[int, bytes], default: int) -> np.ndarray:
