@@ -1,3 +1,4 @@
+import dataclasses
 import hashlib
 import math
 import random
@@ -157,15 +158,57 @@ def test_sources_and_runs(spark, tmp_path):
 def test_experiment_end_to_end(spark):
     ticks = sources.synthetic_ticks(spark, 12_000, seed=3)
     e = experiment.Experiment.from_config({"bars": {"type": "tick", "threshold": 20}, "labeling": {"tp_ticks": 60, "sl_ticks": 60, "max_horizon_bars": 12, "min_horizon_bars": 2}, "assets": {"tick_size": 1e-5}})
-    e = experiment.Experiment(e.bars, e.calendar, e.tick_size, e.distance, e.max_horizon, e.min_horizon, n_splits=2, forest=forest.ForestSpec(5, 3))
-    out = experiment.run(spark, ticks, e)
+    e = dataclasses.replace(e, n_splits=2, forest=forest.ForestSpec(5, 3), n_simulations=50)
+    later = sources.synthetic_ticks(spark, 6_000, seed=4, start="2024-02-05 00:00:00")
+    out = experiment.run(spark, ticks, e, later)
     assert out["bars"].count() == 600 and out["fold_metrics"].count() == 2
+    # trades lie in the later source; its bars were neither trained on nor labelled
+    assert out["traded_bars"].count() == 300 and out["trades"].where("entry_timestamp < '2024-02-05'").count() == 0
+    assert out["signals"].count() > 0 and out["signals"].where("timestamp < '2024-02-05'").count() == 0
+    # no row's primary or meta probability comes from a model that was trained on it: only tested rows have one
+    tested = out["folds"].where("role = 'test'").select("row_idx").distinct()
+    assert 0 < out["predictions"].count() <= tested.count() and out["predictions"].join(tested, "row_idx", "left_anti").count() == 0
+    assert out["meta_metrics"].count() >= 1 and set(out["models"]) == {"primary", "meta"}
     assert out["trades"].select("strategy").distinct().count() >= 3 and out["metrics"].count() >= 3
     page = experiment.report(out)
     assert "<h2>risk</h2>" in page and "prob_ruin" in page
     _, columns = experiment.training_table(out["bars"], e)
     assert not {"exit_price", "entry_price", "pnl", "label", "effective_horizon"} & set(columns)
+    assert experiment.merge_config({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
+
+
+CONFIG = {
+    "experiment": {"name": "n", "seed": 7},
+    "assets": {"symbol": "X", "tick_size": 0.01, "pip_value": 0.1},
+    "session": {"timezone": "UTC", "session_start": "01:00", "session_end": "20:00", "friday_end": "19:00", "weekend_trading": True, "labeling": {"max_horizon_bars": 40, "min_horizon_bars": 4}},
+    "data": {"bars": {"type": "tick", "threshold": 50}, "cleaning": {"enabled": True}, "session_filter": True},
+    "labeling": {"triple_barrier": {"distance_mode": "mfe_mae", "mfe_mae": {"horizon_bars": 16, "tp_quantile": 0.6, "sl_quantile": 0.4}, "max_horizon_bars": 24}},
+    "models": {"random_forest": {"params": {"n_estimators": 20, "max_depth": 3, "min_samples_leaf": 5, "class_weight": "balanced", "n_jobs": -1}}, "meta_model": {"enabled": True, "threshold": 0.6}},
+    "validation": {"cv_type": "cpcv", "n_groups": 5, "n_test_groups": 2, "embargo_duration": 3, "max_combinations": 4},
+    "backtest": {"capital": {"initial": 500.0}, "sizing": {"mode": "fixed", "size": 2.0}, "commission": {"type": "percentage", "value": 0.001}, "slippage": {"enabled": True, "fixed_slippage_ticks": 2}, "meta_model": {"enabled": False}},
+    "risk": {"monte_carlo": {"n_sims": 30, "prop_firm": {"max_total_loss": 0.2, "target_profit": 0.3}}},
+    "mlflow": {"enabled": True},
+}
+
+
+def test_configuration_is_read_whole(tmp_path):
+    e = experiment.Experiment.from_config(CONFIG)
+    assert (e.bars.threshold, e.tick_size, e.distance, e.max_horizon, e.min_horizon, e.quantiles, e.excursion) == (50, 0.01, None, 24, 4, (0.6, 0.4), 16)
+    assert (e.calendar.start, e.calendar.end, e.calendar.friday_end, e.calendar.weekend_trading) == ("01:00", "20:00", "19:00", True)
+    assert (e.cv, e.cpcv, e.max_combinations, e.forest.n_trees, e.forest.min_leaf) == ("cpcv", (5, 2, 3), 4, 20, 5)
+    assert (e.clean_ticks, e.session_filter, e.meta, e.initial_cash, e.size, e.commission, e.slippage) == (True, True, False, 500.0, 2.0, 0.001, 0.02)
+    assert (e.n_simulations, e.max_drawdown, e.target, e.seed) == (30, 0.2, 0.3, 7)
+    for name in ("c.json", "c.yaml"):
+        if name.endswith("yaml"):
+            pytest.importorskip("yaml")
+        experiment.save_config(CONFIG, f"{tmp_path}/{name}")
+        assert experiment.load_config(f"{tmp_path}/{name}") == CONFIG
+
+
+@pytest.mark.parametrize("change", [{"labelling": {}}, {"labeling": {"triple_barrier": {"distance_mode": "ticks", "tp_ticks": 0, "sl_ticks": 5}}}, {"validation": {"cv_type": "loo"}}, {"validation": {"folds": 3}}, {"backtest": {"sizing": {"mode": "kelly"}}}, {"models": {"random_forest": {"params": {"depth": 3}}}}, {"assets": {"ticks": 1}}])
+def test_bad_configurations_are_refused(change):
+    with pytest.raises(ValueError):
+        experiment.Experiment.from_config({**CONFIG, **change})
     for bad in ({}, {"bars": {"type": "tick"}, "labeling": {}}):
         with pytest.raises((ValueError, KeyError)):
             experiment.Experiment.from_config(bad)
-    assert experiment.merge_config({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}

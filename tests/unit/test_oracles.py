@@ -8,13 +8,19 @@ import pytest
 from tickweave import registry
 
 SF = "/root/testdata/sf0.001"
+MORE = "/root/testdata/sf0.01"  # for what the smallest tables are too small for
 SOME = ["tick_bars_multi", "legacy_tick_bars", "volume_bars", "volume_bars_cum", "clean_full", "session_filter", "feature_matrix", "triple_barrier", "suggest_tp_sl", "asof_signal", "cpcv_folds", "tscv_folds", "backtest_trades", "perf_extended", "mann_whitney_u"]
+SOME += ["legacy_bid_ask_bars", "ticks_from_csv", "ticks_converted", "training_rows", "frac_diff_ffd", "signals_random", "temporal_safety"]
+LARGER = ["tscv_folds", "tscv_folds_multi", "cpcv_folds_multi", "fold_metrics", "monte_carlo", "bootstrap_ci"]
+SOME += LARGER[1:]
 
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    con.execute(f"create view events as select * from read_parquet('{SF}/events.parquet')")
+    con = {}
+    for sf in (SF, MORE):
+        con[sf] = duckdb.connect()
+        con[sf].execute(f"create view events as select * from read_parquet('{sf}/events.parquet')")
     return con
 
 
@@ -27,12 +33,9 @@ def rows(frame):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", SOME)
 def test_query_and_sql_agree(spark, duck, name):
-    try:
-        got = registry.queries()[name](spark, SF).toPandas()
-    except ValueError:
-        assert name == "tscv_folds"  # three labels are too few for its splits
-        return
-    want = duck.execute(registry.oracle_sql()[name]).fetch_df()
+    sf = MORE if name in LARGER else SF
+    got = registry.queries()[name](spark, sf).toPandas()
+    want = duck[sf].execute(registry.oracle_sql()[name]).fetch_df()
     assert sorted(got.columns) == sorted(want.columns)
     a, b = rows(got), rows(want)
     assert len(a) == len(b)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .windows import Frame, in_blocks
 
@@ -125,11 +129,33 @@ def frac_diff_weights(d: float, size: int, threshold: float, inclusive: bool = F
 
 def frac_diff(bars: DataFrame, f: Frame, column: str, d: float, threshold: float, fixed_width: bool = False, include_current: bool = False, size: int = 100_000) -> DataFrame:
     """`column`_fracdiff: weighted sum of the values before each row, the latest first; null until there are enough."""
-    weights = frac_diff_weights(d, size, threshold, inclusive=fixed_width)
-    n, first = len(weights), 0 if include_current else 1
-    frame = F.collect_list(column).over(f.rows(-(n - 1) - first, -first))
-    terms = F.zip_with(F.reverse(frame), F.array(*map(F.lit, weights)), lambda x, w: x * w)
-    return bars.withColumn(f"{column}_fracdiff", F.when(F.size(frame) == n, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
+    weights = np.array(frac_diff_weights(d, size, threshold, inclusive=fixed_width))
+    n, lag = len(weights), 0 if include_current else 1
+
+    def convolve(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in f.order])
+        x = rows.column(column).cast(pa.float64()).to_numpy()
+        out = np.full(len(x), np.nan)
+        if len(x) >= n + lag:
+            out[n - 1 + lag :] = np.convolve(x, weights, "valid")[: len(x) - n + 1 - lag]
+        return rows.append_column(f"{column}_fracdiff", pa.array(out, from_pandas=True))
+
+    schema = T.StructType([*bars.schema.fields, T.StructField(f"{column}_fracdiff", T.DoubleType())])
+    return bars.groupBy(*f.keys).applyInArrow(convolve, schema)
+
+
+def frac_diff_columns(bars: DataFrame, f: Frame, config: dict) -> DataFrame:
+    """`column`_fracdiff by fixed-width windows for each column of config that there is, if config is enabled; a missing one warns."""
+    if not config.get("enabled", False):
+        return bars
+    if missing := [k for k in ("d", "columns") if k not in config]:
+        raise ValueError(f"fractional differences lack {', '.join(missing)}")
+    for column in config["columns"]:
+        if column in bars.columns:
+            bars = frac_diff(bars, f, column, config["d"], config.get("threshold", 1e-2), fixed_width=True)
+        else:
+            warnings.warn(f"no column {column} to difference", stacklevel=2)
+    return bars
 
 
 def rsi(bars: DataFrame, f: Frame, period: int = 14, price: str = "bid_close") -> DataFrame:

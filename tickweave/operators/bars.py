@@ -18,7 +18,10 @@ KINDS = ("tick", "volume", "dollar", "volume_cum")
 
 @dataclass(frozen=True)
 class BarSpec:
-    """kind: one of KINDS. time: a bar bears its first or its last tick's timestamp. ddof: of spread_std, 1 or 0."""
+    """kind: one of KINDS. time: a bar bears its first or its last tick's timestamp. ddof: of spread_std, 1 or 0.
+
+    detail adds the first, last and mean mid price and the least and largest spread.
+    """
 
     kind: str
     threshold: float
@@ -27,6 +30,7 @@ class BarSpec:
     time: str = "first"
     duration: bool = False
     mid: bool = False
+    detail: bool = False
 
     def __post_init__(self):
         if self.kind not in KINDS:
@@ -38,9 +42,9 @@ class BarSpec:
     def parse(text: str, threshold: float | None = None) -> BarSpec:
         """`tick100`, or `volume_bar` with a threshold."""
         if m := re.fullmatch(r"tick(\d+)", text):
-            return BarSpec("tick", int(m[1]), keep_partial=True, time="last", duration=True)
+            return BarSpec("tick", int(m[1]), keep_partial=True, time="last", duration=True, detail=True)
         if text == "volume_bar" and threshold:
-            return BarSpec("volume_cum", threshold, time="last", duration=True)
+            return BarSpec("volume_cum", threshold, time="last", duration=True, detail=True)
         raise ValueError(f"unknown bars: {text}")
 
     @staticmethod
@@ -66,6 +70,9 @@ def aggregate(indexed: DataFrame, spec: BarSpec) -> DataFrame:
         for side in ("bid", "ask"):
             cols += ohlc(F.col(f"{side}Price"), [f"{side}_{x}" for x in ("open", "high", "low", "close")])
     cols += [F.count("*").alias("tick_count"), F.avg(spread).alias("spread_mean"), std(spread).alias("spread_std")]
+    if spec.detail:
+        middle = (F.col("askPrice") + F.col("bidPrice")) / 2
+        cols += [F.min_by(middle, "idx").alias("midPrice_first"), F.max_by(middle, "idx").alias("midPrice_last"), F.avg(middle).alias("midPrice_mean"), F.min(spread).alias("spread_min"), F.max(spread).alias("spread_max")]
     if "bidVolume" in indexed.columns and "askVolume" in indexed.columns:
         cols += [F.sum("bidVolume").alias("bidVolume_sum"), F.sum("askVolume").alias("askVolume_sum")]
     if spec.duration:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -80,14 +82,35 @@ def importances(model: PipelineModel, features: list[str]) -> DataFrame:
     return SparkSession.active().createDataFrame(list(zip(features, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+#: Folds whose models are fitted at the same time.
+FITS = 4
+
+
+def fit_folds(rows: DataFrame, folds: DataFrame, features: list[str], spec: ForestSpec = ForestSpec(), label: str = "label", positive: int = 1) -> dict[int, PipelineModel]:
+    """A model for each fold, from its train rows; folds and rows meet on row_idx. Folds without both classes have none.
+
+    Fits don't depend on each other and are submitted from several threads, so that small folds fill the cluster.
+    """
+    ready = rows.na.drop("any", subset=features)
+    train = ready.join(folds.where("role = 'train'").select("fold_id", "row_idx"), "row_idx")
+    usable = train.groupBy("fold_id").agg(F.count_distinct(F.col(label) == positive).alias("n")).where("n = 2")
+    ids = [r["fold_id"] for r in usable.orderBy("fold_id").collect()]
+    with ThreadPoolExecutor(FITS) as pool:
+        return dict(zip(ids, pool.map(lambda k: fit_forest(train.where(F.col("fold_id") == k), features, spec, label, positive), ids), strict=True))
+
+
+def score_folds(models: dict[int, PipelineModel], rows: DataFrame, folds: DataFrame, positive: int = 1, negative: int = -1) -> DataFrame:
+    """The test rows of each fold that has a model, with fold_id, probability and prediction."""
+    tests = rows.join(folds.where("role = 'test'").select("fold_id", "row_idx"), "row_idx")
+    if not models:
+        return tests.withColumns({"probability": F.lit(None).cast("double"), "prediction": F.lit(None).cast("int")}).limit(0)
+    parts = [predict(model, tests.where(F.col("fold_id") == k), positive, negative) for k, model in models.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cross_validate(rows: DataFrame, folds: DataFrame, features: list[str], spec: ForestSpec = ForestSpec(), label: str = "label") -> tuple[DataFrame, DataFrame]:
-    """(metrics of each fold, all test rows scored). rows and folds meet on row_idx; each fold is a job of its own."""
-    scored = None
-    for r in folds.select("fold_id").distinct().orderBy("fold_id").collect():
-        part = rows.join(folds.where(F.col("fold_id") == r["fold_id"]), "row_idx")
-        model = fit_forest(part.where("role = 'train'"), features, spec, label)
-        one = predict(model, part.where("role = 'test'"))
-        scored = one if scored is None else scored.unionByName(one)
+    """(metrics of each fold, all test rows scored)."""
+    scored = score_folds(fit_folds(rows, folds, features, spec, label), rows, folds)
     return classification(scored, label, keys=("fold_id",)), scored
 
 

@@ -64,12 +64,18 @@ def excursions(bars: DataFrame, horizon: int) -> DataFrame:
     return in_blocks(bars, ahead, 0, horizon).select("symbol", "bar_index", "mfe", "mae")
 
 
-def suggest_distances(bars: DataFrame, horizon: int, tick_size: float, tp_quantile: float = 0.5, sl_quantile: float | None = None, default_ticks: int = 50) -> DataFrame:
-    """symbol, tp_ticks, sl_ticks, tp_price, sl_price from quantiles of the excursions (linear interpolation)."""
+def suggest_distances(bars: DataFrame, horizon: int, tick_size: float, tp_quantile: float = 0.5, sl_quantile: float | None = None, default_ticks: int = 50, pip_size: float | None = None, legacy: bool = False) -> DataFrame:
+    """symbol, tp_ticks, sl_ticks, tp_price, sl_price from quantiles of the excursions (linear interpolation).
+
+    A tick is tick_size, or a tenth of pip_size where that is given. legacy takes a tick_size of 1e-4 or more for a pip:
+    ticks are counted in tenths of it, but priced at tick_size each.
+    """
     q = excursions(bars, horizon).groupBy("symbol").agg(F.percentile("mfe", F.lit(tp_quantile)).alias("mfe_q"), F.percentile("mae", F.lit(tp_quantile if sl_quantile is None else sl_quantile)).alias("mae_q"))
-    ticks = lambda c: F.coalesce(F.greatest(F.lit(LEAST_TICKS), (c / tick_size).cast("int")), F.lit(default_ticks))
+    price = tick_size if pip_size is None else pip_size / 10
+    unit = price / 10 if legacy and pip_size is None and tick_size >= 1e-4 else price
+    ticks = lambda c: F.coalesce(F.greatest(F.lit(LEAST_TICKS), (c / unit).cast("int")), F.lit(default_ticks))
     out = q.select("symbol", ticks(F.col("mfe_q")).alias("tp_ticks"), ticks(F.abs("mae_q")).alias("sl_ticks"), "mfe_q", "mae_q")
-    return out.withColumns({"tp_price": F.col("tp_ticks") * tick_size, "sl_price": F.col("sl_ticks") * tick_size})
+    return out.withColumns({"tp_price": F.col("tp_ticks") * price, "sl_price": F.col("sl_ticks") * price})
 
 
 def triple_barrier_by_excursion(bars: DataFrame, horizon: int, tick_size: float, tp_quantile: float, sl_quantile: float, max_horizon: int, min_horizon: int, calendar: SessionCalendar | None = None) -> DataFrame:

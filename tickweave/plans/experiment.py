@@ -6,6 +6,7 @@ Up to the training table all is one lazy plan. Bars are written once, as feature
 from __future__ import annotations
 
 import html
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from ..operators.session import SessionCalendar
 
 @dataclass(frozen=True)
 class Experiment:
-    """What an experiment needs. distance: tp and sl in price units, or None for distances from excursions."""
+    """What an experiment needs. distance: tp and sl in price units, or None for distances from excursions over `excursion` bars."""
 
     bars: bars.BarSpec = bars.BarSpec("tick", 100)
     calendar: SessionCalendar = field(default_factory=SessionCalendar)
@@ -35,6 +36,20 @@ class Experiment:
     clean_ticks: bool = False
     session_filter: bool = False
     initial_cash: float = 10_000.0
+    excursion: int | None = None
+    test_size: int | None = None
+    gap: int = 0
+    max_combinations: int | None = None
+    meta: bool = True
+    meta_threshold: float = 0.5
+    meta_forest: forest.ForestSpec | None = None
+    size: float = 1.0
+    commission: float = 0.0
+    slippage: float = 0.0
+    n_simulations: int = 1000
+    max_drawdown: float = 0.1
+    target: float = 0.05
+    seed: int = 42
 
     def __post_init__(self):
         if self.distance and min(self.distance) <= 0:
@@ -44,12 +59,137 @@ class Experiment:
 
     @staticmethod
     def from_config(config: dict) -> Experiment:
-        for section in ("bars", "labeling"):
-            if section not in config:
-                raise ValueError(f"the configuration lacks {section}")
-        lab, tick = config["labeling"], config.get("assets", {}).get("tick_size", 1e-5)
-        distance = (lab["tp_ticks"] * tick, lab["sl_ticks"] * tick) if lab.get("distance_mode", "ticks") == "ticks" else None
-        return Experiment(bars.BarSpec.from_config(config["bars"]), SessionCalendar(**config.get("session", {})), tick, distance, lab.get("max_horizon_bars", 32), lab.get("min_horizon_bars", 5))
+        """An experiment from sections; a key that none of them knows is an error, but sections about where results go are left alone."""
+        return read_config(config)
+
+    @property
+    def backtest(self) -> dict:
+        return {"max_bars": self.max_horizon, "initial_cash": self.initial_cash, "size": self.size, "commission": self.commission, "slippage": self.slippage, "use_meta": self.meta, "calendar": self.calendar}
+
+
+#: Sections that say where data and results lie or who asks; an experiment doesn't depend on them.
+ELSEWHERE = ("experiment", "runtime", "reporting", "mlflow", "deployment", "defaults")
+
+
+class _Section:
+    """A part of a configuration that remembers which of its keys were read."""
+
+    def __init__(self, values: dict, name: str):
+        self.values, self.name, self.read = dict(values or {}), name, set()
+
+    def get(self, key: str, default=None):
+        self.read.add(key)
+        return self.values.get(key, default)
+
+    def part(self, key: str) -> _Section:
+        return _Section(self.get(key) or {}, f"{self.name}.{key}")
+
+    def done(self, *ignored: str) -> None:
+        unknown = sorted(self.values.keys() - self.read - set(ignored))
+        if unknown:
+            raise ValueError(f"{self.name} has unknown keys: {', '.join(unknown)}")
+
+
+def read_config(config: dict) -> Experiment:
+    top = _Section(config, "configuration")
+    data, flat_bars = top.part("data"), top.get("bars")
+    made = flat_bars or data.get("bars")
+    if made is None or "labeling" not in config:
+        raise ValueError("the configuration lacks " + ("labeling" if made is not None else "bars"))
+    assets = top.part("assets")
+    tick = assets.get("tick_size", 1e-5)
+    lab = top.part("labeling")
+    lab = lab.part("triple_barrier") if lab.get("triple_barrier") else lab
+    kind, mfe = lab.get("distance_mode", "ticks"), lab.part("mfe_mae")
+    if kind not in ("ticks", "mfe_mae"):
+        raise ValueError(f"unknown distance_mode: {kind}")
+    tp, sl = lab.get("tp_ticks"), lab.get("sl_ticks")
+    if kind == "ticks" and (tp is None or sl is None or tp <= 0 or sl <= 0):
+        raise ValueError("tp_ticks and sl_ticks must be positive")
+    session = top.part("session")
+    room = session.part("labeling")
+    names = {"timezone": "timezone", "session_start": "start", "start": "start", "session_end": "end", "end": "end", "friday_end": "friday_end", "weekend_trading": "weekend_trading"}
+    hours = {own: session.get(k) for k, own in names.items() if session.get(k) is not None}
+    cv, models = top.part("validation"), top.part("models")
+    kinds = {"time_series": "tscv", "tscv": "tscv", "cpcv": "cpcv"}
+    cv_type = cv.get("cv_type", "time_series")
+    if cv_type not in kinds:
+        raise ValueError(f"unknown cross-validation: {cv_type}")
+    test, cleaning, risks = top.part("backtest"), data.part("cleaning"), top.part("risk")
+    meta, capital, carlo = test.part("meta_model"), test.part("capital"), risks.part("monte_carlo")
+    firm, commission, slippage = carlo.part("prop_firm"), test.part("commission"), test.part("slippage")
+    sizing = test.part("sizing")
+    if commission.get("type", "percentage") != "percentage" and commission.get("value", 0.0):
+        raise ValueError("a commission is a share of price (percentage)")
+    if sizing.get("mode", "fixed") != "fixed":
+        raise ValueError("positions have a fixed size")
+    primary = models.get("model") or models.get("random_forest") or top.get("model") or {}
+    second = models.part("meta_model")
+    out = Experiment(
+        bars=bars.BarSpec.from_config(made),
+        calendar=SessionCalendar(**hours),
+        tick_size=tick,
+        distance=(tp * tick, sl * tick) if kind == "ticks" else None,
+        max_horizon=lab.get("max_horizon_bars", room.get("max_horizon_bars", 32)),
+        min_horizon=lab.get("min_horizon_bars", room.get("min_horizon_bars", 5)),
+        quantiles=(mfe.get("tp_quantile", 0.5), mfe.get("sl_quantile", 0.5)),
+        excursion=mfe.get("horizon_bars"),
+        cv=kinds[cv_type],
+        n_splits=cv.get("n_splits", 3),
+        test_size=cv.get("test_size"),
+        gap=cv.get("gap", 0),
+        cpcv=(cv.get("n_groups", 6), cv.get("n_test_groups", 2), cv.get("embargo_duration", 10)),
+        max_combinations=cv.get("max_combinations"),
+        forest=_forest(primary, "model"),
+        meta=meta.get("enabled", second.get("enabled", True)),
+        meta_threshold=meta.get("threshold", second.get("threshold", 0.5)),
+        meta_forest=_forest(second.values, "meta_model") if second.get("params") else None,
+        clean_ticks=cleaning.get("enabled", False),
+        session_filter=data.get("session_filter", False),
+        initial_cash=capital.get("initial", risks.get("starting_capital", 10_000.0)),
+        size=sizing.get("size", 1.0),
+        commission=commission.get("value", 0.0),
+        slippage=(slippage.get("fixed_slippage_ticks", 0.0) * tick) if slippage.get("enabled", False) else 0.0,
+        n_simulations=carlo.get("n_sims", risks.get("mc_simulations", 1000)),
+        max_drawdown=firm.get("max_total_loss", risks.get("max_total_drawdown", 0.1)),
+        target=firm.get("target_profit", 0.05),
+        seed=config.get("experiment", {}).get("seed", 42),
+    )
+    top.done(*ELSEWHERE, "features")
+    for part, ignored in ((assets, ("symbol", "pip_value", "min_lot", "max_lot", "pip_size")), (session, ()), (room, ()), (lab, ("type", "long_only", "meta_label")), (mfe, ()), (cv, ()), (cleaning, ()), (meta, ()), (capital, ()), (commission, ()), (sizing, ()), (slippage, ("model",))):
+        part.done(*ignored)
+    return out
+
+
+def _forest(section: dict, name: str) -> forest.ForestSpec:
+    params = section.get("params", section)
+    known = {"n_estimators", "max_depth", "min_samples_leaf", "class_weight", "random_state", "n_jobs", "backend"}
+    if unknown := sorted(set(section.get("params", {})) - known):
+        raise ValueError(f"{name} has unknown keys: {', '.join(unknown)}")
+    spec = {"n_estimators": 100, "max_depth": 8} | {k: params[k] for k in known if k in params}
+    return forest.ForestSpec.from_config(spec | ({"backend": section["backend"]} if "backend" in section else {}))
+
+
+def load_config(path: str) -> dict:
+    """A configuration from a YAML or JSON file."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return json.loads(text)
+    import yaml  # only where YAML is asked for
+
+    return yaml.safe_load(text) or {}
+
+
+def save_config(config: dict, path: str) -> None:
+    if path.endswith(".json"):
+        text = json.dumps(config, indent=1)
+    else:
+        import yaml
+
+        text = yaml.safe_dump(config, sort_keys=False)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
 
 
 def merge_config(base: dict, over: dict) -> dict:
@@ -67,7 +207,7 @@ def build(ticks: DataFrame, e: Experiment) -> DataFrame:
 def label(made: DataFrame, e: Experiment) -> DataFrame:
     if e.distance:
         return labeling.triple_barrier(made, *e.distance, e.max_horizon, e.min_horizon, e.calendar)
-    return labeling.triple_barrier_by_excursion(made, e.max_horizon, e.tick_size, *e.quantiles, e.max_horizon, e.min_horizon, e.calendar)
+    return labeling.triple_barrier_by_excursion(made, e.excursion or e.max_horizon, e.tick_size, *e.quantiles, e.max_horizon, e.min_horizon, e.calendar)
 
 
 def training_table(made: DataFrame, e: Experiment) -> tuple[DataFrame, list[str]]:
@@ -78,40 +218,86 @@ def training_table(made: DataFrame, e: Experiment) -> tuple[DataFrame, list[str]
 
 
 def cv_folds(rows: DataFrame, e: Experiment) -> DataFrame:
+    """Folds of labelled rows of all symbols. Labels' spans are compared by time, which symbols share."""
     if e.cv == "tscv":
-        return folds.time_series_folds(rows, e.n_splits)
-    n, k, embargo = e.cpcv
-    return folds.cpcv_folds(rows.select("row_idx", F.col("bar_index_start").alias("start_idx"), F.col("bar_index_end").alias("end_idx")), n, k, embargo)
+        return folds.time_series_folds(rows, e.n_splits, e.test_size, e.gap)
+    spans = rows.select("row_idx", F.unix_micros("event_start").alias("start_idx"), F.unix_micros("event_end").alias("end_idx"))
+    return folds.cpcv_folds(spans, *e.cpcv, limit=e.max_combinations)
+
+
+def out_of_fold(scored: DataFrame) -> DataFrame:
+    """row_idx, probability: of each row that is tested in a fold, the mean over models that were not trained on it."""
+    return scored.groupBy("row_idx").agg(F.avg("probability").alias("probability"))
 
 
-def run(spark: SparkSession, ticks: DataFrame, e: Experiment) -> dict[str, DataFrame]:
-    """bars, labels, folds, fold metrics, predictions, meta predictions, trades, metrics of each strategy, risk."""
+def trade_signals(rows: DataFrame, threshold: float) -> DataFrame:
+    """Signals of rows with primary_proba and, where there is a second model, meta_proba."""
+    meta = F.coalesce((F.col("meta_proba") >= threshold).cast("int"), F.lit(1)) if "meta_proba" in rows.columns else F.lit(1)
+    return rows.select("symbol", "bar_index", "timestamp", F.when(F.col("primary_proba") >= 0.5, 1).otherwise(-1).alias("prediction"), F.col("primary_proba").alias("probability"), meta.alias("meta_decision"))
+
+
+def run(spark: SparkSession, ticks: DataFrame, e: Experiment, test_ticks: DataFrame | None = None) -> dict:
+    """bars, labels, folds, metrics of folds, predictions, trades, metrics of each strategy, risk, and the fitted models.
+
+    A primary model says which barrier is met first and learns from decided labels; a second one says whether a trade pays
+    and learns from all labels and the primary probability. Both are scored on rows of folds that they were not trained on.
+    With test_ticks, a later source of ticks, the models of all training rows trade its bars; otherwise the training
+    bars are traded by what the folds' models said of rows outside their training.
+    """
     made = stored(build(ticks, e), "bars")
-    table, columns = training_table(made, e)
-    rows = stored(folds.numbered(clean.training_rows(table, columns)), "training")
-    cv = cv_folds(rows, e)
-    metrics, scored = forest.cross_validate(rows, cv, columns, e.forest)
-    scored = stored(scored.groupBy(*[c for c in scored.columns if c not in ("fold_id", "role", "weight", "probability", "prediction")]).agg(F.avg("probability").alias("probability")), "scored")
-    scored = scored.withColumn("prediction", F.when(F.col("probability") >= 0.5, 1).otherwise(-1))
-    meta_rows = forest.meta_training_rows(scored)
-    meta = forest.predict(forest.fit_forest(meta_rows, [*columns, "primary_proba"], e.forest, "meta_label"), meta_rows, 1, 0)
-    made_signals = meta.select("symbol", "bar_index", "timestamp", F.when(F.col("primary_proba") >= 0.5, 1).otherwise(-1).alias("prediction"), F.col("primary_proba").alias("probability"), F.col("prediction").alias("meta_decision"))
-    tp, sl = e.distance or labeling.suggest_distances(made, e.max_horizon, e.tick_size, *e.quantiles).select("tp_price", "sl_price").first()
-    spec = backtest.BacktestSpec(tp, sl, e.max_horizon, e.initial_cash, calendar=e.calendar)
-    baselines = {"buy_and_hold": signals.buy_and_hold, "random": signals.random_signals, "ma_crossover": signals.ma_crossover, "rsi": signals.rsi_signals}
-    trades = stored(backtest.run_benchmark(made, {"model": lambda _: made_signals, **baselines}, spec), "trades")
-    return {
+    labels = stored(label(made, e), "labels")
+    table = ft.feature_matrix(made)
+    columns = clean.feature_columns(table)
+    rows = stored(folds.numbered(clean.training_rows(labeling.meta_labels(labeling.with_labels(table, labels)), columns)), "training")
+    cv = stored(cv_folds(rows, e), "folds")
+    decided = labeling.decided(rows)
+    fold_models = forest.fit_folds(decided, cv, columns, e.forest)
+    scored = stored(forest.score_folds(fold_models, rows, cv), "scored")
+    metrics = performance.classification(labeling.decided(scored), keys=("fold_id",))
+    predictions = stored(rows.join(out_of_fold(scored), "row_idx").withColumnRenamed("probability", "primary_proba"), "predictions")
+    models = {"primary": forest.fit_forest(decided, columns, e.forest)}
+    names, meta_metrics, seen = [*columns, "primary_proba"], None, predictions
+    if e.meta:
+        spec = e.meta_forest or e.forest
+        meta_scored = stored(forest.score_folds(forest.fit_folds(predictions, cv, names, spec, "meta_label", 1), predictions, cv, 1, 0), "meta")
+        meta_metrics = performance.classification(meta_scored, "meta_label", keys=("fold_id",))
+        seen = predictions.join(out_of_fold(meta_scored).withColumnRenamed("probability", "meta_proba"), "row_idx", "left")
+        models["meta"] = forest.fit_forest(predictions, names, spec, "meta_label")
+    traded = made
+    if test_ticks is not None:
+        traded = stored(build(test_ticks, e), "test_bars")
+        seen = _scored_bars(ft.feature_matrix(traded), models)
+    model_signals = stored(trade_signals(seen, e.meta_threshold), "signals")
+    tp, sl = e.distance or labeling.suggest_distances(made, e.excursion or e.max_horizon, e.tick_size, *e.quantiles).select("tp_price", "sl_price").first()
+    spec = backtest.BacktestSpec(tp, sl, **e.backtest)
+    baselines = {"buy_and_hold": signals.buy_and_hold, "random": lambda b: signals.random_signals(b, e.seed), "ma_crossover": signals.ma_crossover, "rsi": signals.rsi_signals}
+    trades = stored(backtest.run_benchmark(traded, {"model": lambda _: model_signals, **baselines}, spec), "trades")
+    out = {
         "bars": made,
-        "labels": label(made, e),
-        "distribution": labeling.label_distribution(label(made, e)),
+        "traded_bars": traded,
+        "labels": labels,
+        "distribution": labeling.label_distribution(labels),
         "folds": cv,
         "fold_metrics": metrics,
-        "predictions": scored,
-        "meta": meta,
+        "predictions": predictions.withColumn("prediction", F.when(F.col("primary_proba") >= 0.5, 1).otherwise(-1)),
+        "importances": forest.importances(models["primary"], columns),
+        "signals": model_signals,
         "trades": trades,
         "metrics": strategy_metrics(trades, e.initial_cash),
-        "risk": risk.prop_firm(risk.monte_carlo(trades.where("strategy = 'model'"), initial_capital=e.initial_cash)),
+        "risk": risk.prop_firm(risk.monte_carlo(trades.where("strategy = 'model'"), e.n_simulations, 100, e.initial_cash, e.max_drawdown, e.target, e.seed)),
+        "models": models,
     }
+    return out | ({"meta_metrics": meta_metrics, "meta": seen} if meta_metrics is not None else {})
+
+
+def _scored_bars(table: DataFrame, models: dict) -> DataFrame:
+    """Feature rows with primary_proba and, where there is a second model, meta_proba; rows with undefined features are left out."""
+    keys = ["symbol", "bar_index"]
+    one = forest.predict(models["primary"], table).withColumnRenamed("probability", "primary_proba").drop("prediction")
+    if "meta" not in models:
+        return one
+    two = forest.predict(models["meta"], one, 1, 0)
+    return two.withColumnRenamed("probability", "meta_proba").select(*keys, "timestamp", "primary_proba", "meta_proba")
 
 
 def strategy_metrics(trades: DataFrame, initial_cash: float) -> DataFrame:
@@ -128,14 +314,18 @@ def against_baselines(trades: DataFrame, significance: float = 0.05) -> dict[str
     return {n: stats.compare(model, trades.where(F.col("strategy") == n), significance=significance) for n in sorted(names) if n != "model"}
 
 
-def report(results: dict[str, DataFrame], title: str = "Experiment", sections: tuple[str, ...] = ("distribution", "fold_metrics", "metrics", "risk"), rows: int = 50) -> str:
-    """The summaries as one HTML page; each section shows `rows` rows of a small table."""
+def report(results: dict, title: str = "Experiment", sections: tuple[str, ...] = ("distribution", "fold_metrics", "meta_metrics", "importances", "metrics", "risk", "trades"), rows: int = 50) -> str:
+    """The summaries as one HTML page; each section that there is shows `rows` rows of its table, and how many it has."""
     out = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]
     for name in sections:
-        table = results[name].limit(rows).collect()
+        if results.get(name) is None:
+            continue
+        table = results[name].limit(rows + 1).collect()
+        cell = lambda v: f"{v:.6g}" if isinstance(v, float) else html.escape(str(v))
         head = "".join(f"<th>{html.escape(c)}" for c in results[name].columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}" for v in r) for r in table)
-        out.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}{body}</table>")
+        body = "".join("<tr>" + "".join(f"<td>{cell(v)}" for v in r) for r in table[:rows])
+        more = f"<p>the first {rows} of {results[name].count()}" if len(table) > rows else ""
+        out.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}{body}</table>{more}")
     return "\n".join(out)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import features as ft
 from .functions.draws import POISSON_STEPS, PRIME
-from .functions.stored import stored
+from .functions.stored import scratch_path, stored
 from .functions.windows import in_blocks
 from .operators import backtest, bars, clean, folds, forest, joins, labeling, performance, regimes, risk, signals, stats, validate
 from .operators.session import SessionCalendar
@@ -200,6 +200,35 @@ _add(
 )
 _add("bar_duration", lambda s, d: _out(bars.average_duration(_bars(s, d)), ["symbol"], ["seconds"]), f"with {_sql_bars()} select symbol, (round(((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6) / count(*), 6) + 0::double) as seconds from bars group by 1")
 
+_DETAIL = ["midPrice_first", "midPrice_last", "midPrice_mean", "spread_min", "spread_max"]
+_add(
+    "legacy_bid_ask_bars",
+    lambda s, d: _out(_bars(s, d, bars.BarSpec.parse("volume_bar", 900)), ["symbol", "bar_index"], [*_DETAIL, "spread_mean", "spread_std"]),
+    f"with {_sql_ticks()}, c as (select *, floor(sum(bv + av) over (order by ts, seq rows unbounded preceding) / 900)::bigint as bar_index, (ask + bid) / 2 as mid from ticks), x as (select symbol, bar_index, arg_min(mid, idx) as midPrice_first, arg_max(mid, idx) as midPrice_last, avg(mid) as midPrice_mean, min(ask - bid) as spread_min, max(ask - bid) as spread_max, avg(ask - bid) as spread_mean, stddev_samp(ask - bid) as spread_std from c group by 1, 2) select {_cols(['symbol', 'bar_index'], [*_DETAIL, 'spread_mean', 'spread_std'])} from x",
+)
+
+# Files --------------------------------------------------------------------------------------------------------------
+
+
+def _csv(spark, d) -> str:
+    """Ticks as a CSV folder, the way files of ticks look."""
+    path = scratch_path(spark, "ticks") + ".csv"
+    _ticks(spark, d).select(F.unix_millis("timestamp").alias("timestamp"), "askPrice", "bidPrice", "askVolume", "bidVolume").write.option("header", True).csv(path)
+    return path
+
+
+def _converted(spark, d):
+    path = _csv(spark, d)
+    done = sources.convert_all(spark, {path: path.replace(".csv", ".parquet")})
+    return sources.read_ticks(spark, path.replace(".csv", ".parquet"), symbol=done[path])
+
+
+_FILE = "bid, ask, bv, av, epoch_us(ts) // 1000 as ms from ticks"
+_file_out = lambda df, *more: df.select(*more, F.col("bidPrice").alias("bid"), F.col("askPrice").alias("ask"), F.col("bidVolume").alias("bv"), F.col("askVolume").alias("av"), F.unix_millis("timestamp").alias("ms"))
+_add("ticks_from_csv", lambda s, d: _file_out(sources.read_ticks(s, _csv(s, d), symbol="EV"), "symbol"), f"with {_sql_ticks()} select symbol, {_FILE}")
+_add("ticks_converted", lambda s, d: _file_out(_converted(s, d), "symbol"), f"with {_sql_ticks()} select 'converted' as symbol, {_FILE}")
+_add("first_ticks", lambda s, d: _tick_out(sources.first_rows(_ticks(s, d), 100)), f"with {_sql_ticks()} select symbol, seq, bid, ask, epoch_us(ts) as ts from ticks order by epoch_us(ticks.ts), seq limit 100")
+
 # Cleaning and validation --------------------------------------------------------------------------------------------
 
 TICK = ["symbol", "seq", "bid", "ask"]
@@ -326,6 +355,14 @@ _add(
 )
 _add("features_labels_join", lambda s, d: _out(labeling.with_labels(ft.feature_matrix(_bars(s, d)), _labels(s, d)), [*_KEY, "label", "pnl"], ["ret_1", "vol_10", "ma_20_slope"]), f"with {_sql_bars()}, {_MATRIX_SQL}, {_LABELS} select y.symbol, y.bar_index, label, pnl, {_cols([], ['ret_1', 'vol_10', 'ma_20_slope'])} from y join labels l on y.bar_index = l.bar_index_start")
 
+_NAMED = [*MATRIX, *[f"ma_cross_{a}_{b}" for a, b in ft.CROSSES]]
+_add(
+    "training_rows",
+    lambda s, d: (lambda m: clean.training_rows(m, _NAMED).select(*_KEY, F.lit(len(set(_NAMED) - set(clean.feature_columns(m)))).alias("n_missing")))(ft.feature_matrix(_bars(s, d))),
+    f"with {_sql_bars()}, {_MATRIX_SQL} select symbol, bar_index, 0::int as n_missing from y where " + " and ".join(f"{c} is not null" for c in _NAMED),
+)
+_add("empty_columns", lambda s, d: (lambda b: s.createDataFrame([(c,) for c in clean.drop_null_columns(b.withColumns({"none": F.lit(None).cast("double"), "some": F.when(F.col("bar_index") == 3, 1.0)})).columns], "kept string"))(_bars(s, d).select("symbol", "bar_index", "bid_close")), "select unnest(['symbol', 'bar_index', 'bid_close', 'some']) as kept")
+
 # Joins by time, folds ----------------------------------------------------------------------------------------------
 
 
@@ -413,17 +450,33 @@ _add("mann_whitney_u", lambda s, d: _out(stats.mann_whitney_statistic(*_two(s, d
 _add("classification_metrics", lambda s, d: _out(performance.classification(labeling.decided(_labels(s, d)).withColumn("prediction", F.when(F.col("bar_index_start") % 3 == 0, 1).otherwise(-1))), ["n"], ["accuracy", "precision", "recall", "f1"]), f"with {_sql_bars()}, {_LABELS}, v as (select label, case when bar_index_start % 3 = 0 then 1 else -1 end as p from labels where label <> 0), x as (select count(*) as n, avg((label = p)::int) as accuracy, count_if(label = 1 and p = 1) / count_if(p = 1) as precision, count_if(label = 1 and p = 1) / count_if(label = 1) as recall, 2 * count_if(label = 1 and p = 1) / (count_if(p = 1) + count_if(label = 1)) as f1 from v) select {_cols(['n'], ['accuracy', 'precision', 'recall', 'f1'])} from x")
 
 
+def _fold_metrics(spark, d):
+    rows = folds.numbered(_labels(spark, d).withColumnRenamed("event_start", "timestamp"))
+    tests = rows.join(folds.time_series_folds(rows, 4, gap=5).where("role = 'test'"), "row_idx")
+    guessed = tests.withColumn("prediction", F.when(F.col("bar_index_start") % 3 == 0, 1).otherwise(-1))
+    return _out(performance.classification(labeling.decided(guessed), keys=("fold_id",)), ["fold_id", "n"], ["accuracy", "precision", "recall", "f1"])
+
+
+_add(
+    "fold_metrics",
+    _fold_metrics,
+    f"with {_sql_bars()}, {_LABELS}, r as (select *, row_number() over (order by event_start) - 1 as row_idx from labels), t as (select count(*) as n, count(*) // 5 as size from labels), f as (select range::int as fold_id, n - (4 - range) * size as start, size from range(4), t), "
+    "p as (select fold_id, label, case when bar_index_start % 3 = 0 then 1 else -1 end as guess from r, f where row_idx >= start and row_idx < start + size and label <> 0), c as (select fold_id, count(*) as n, avg((label = guess)::int) as accuracy, count(*) filter (label = 1 and guess = 1) as tp, count(*) filter (guess = 1) as np, count(*) filter (label = 1) as ny from p group by 1), "
+    f"x as (select fold_id, n, accuracy, coalesce(tp / nullif(np, 0), 0) as precision, coalesce(tp / nullif(ny, 0), 0) as recall, coalesce(2 * tp / nullif(np + ny, 0), 0) as f1 from c) select {_cols(['fold_id', 'n'], ['accuracy', 'precision', 'recall', 'f1'])} from x",
+)
+
+
 def _hmm(spark, d):
     rows = in_blocks(_bars(spark, d), ft.macro_features, 100)
     columns = ["ret_long", "vol_long", "trend_slope", "trend_strength"]
-    return regimes.regimes(rows, regimes.fit_hmm(rows, columns, 3, 5), "macro")
+    return regimes.regimes(rows, regimes.fit_hmm(rows, columns, 3), "macro")
 
 
 def _forest(spark, d):
     made = _bars(spark, d)
     table = stored(labeling.with_labels(ft.feature_matrix(made), labeling.decided(_labels(spark, d))), "training")
     names = clean.feature_columns(ft.feature_matrix(made))
-    model = forest.fit_forest(table.where("bar_index % 4 <> 0"), names, forest.ForestSpec(10, 5))
+    model = forest.fit_forest(table.where("bar_index % 4 <> 0"), names, forest.ForestSpec())
     scored = forest.predict(model, table.where("bar_index % 4 = 0").na.drop("any", subset=names))
     return scored.select("symbol", "bar_index", "label", "prediction", "probability", forest.confidence().alias("confidence"))
 
