@@ -1,9 +1,11 @@
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from tickweave.llm import quality
 
 
@@ -57,3 +59,36 @@ def test_edges(spark):
     none = spark.createDataFrame([(1, None), (None, 1), (7, 1)], "doc_id long, quality int")
     assert [r.score for r in quality.quality_scores(docs, none).collect()] == [0.5] * 4
     assert quality.quality_scores(docs.limit(0), none).count() == 0
+
+
+def test_learning_equals_a_scalar_loop():
+    rng = np.random.default_rng(6)
+    model, z, n, bias = quality.FtrlLogistic(50), [0.0] * 50, [0.0] * 50, [0.0, 0.0]
+
+    def weight(zi, ni, l1, l2):
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - math.copysign(l1, zi)) / ((quality.BETA + math.sqrt(ni)) / quality.ALPHA + l2)
+
+    for _ in range(300):
+        at = np.sort(rng.choice(50, 8, replace=False))
+        value, label = rng.random(8), int(at.sum() % 2)
+        model.learn(at, value, label)
+        w, b = [weight(z[i], n[i], quality.L1, quality.L2) for i in at], weight(*bias, 0.0, 0.0)
+        error = 1 / (1 + math.exp(-(sum(x * y for x, y in zip(w, value)) + b))) - label
+        for i, x, wi in zip(at, value, w):
+            g = error * x
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * wi
+            n[i] += g * g
+        bias = [bias[0] + error - (math.sqrt(bias[1] + error**2) - math.sqrt(bias[1])) / quality.ALPHA * b, bias[1] + error**2]
+    assert np.allclose(model.z, z) and np.allclose(model.n, n) and np.allclose(model.bias, bias)
+    packed = np.frombuffer(model.packed(), "<f4")
+    assert np.allclose(packed[:-1], [weight(a, b, quality.L1, quality.L2) for a, b in zip(z, n)], atol=1e-6)
+    assert quality.L1 > 0 and (quality.FtrlLogistic.weights(np.array([quality.L1, -quality.L1 / 2]), np.ones(2)) == 0).all()
+
+
+def test_texts_under_one_id_are_chosen_alike(spark):
+    docs, labels = made(spark, 200)
+    more = docs.unionByName(docs.withColumn("text", F.reverse("text")))
+    a, b = (quality.train_quality(x, labels) for x in (more.repartition(3), more.orderBy("text")))
+    assert (a == b).all() and a.any()

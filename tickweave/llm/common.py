@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir); where that is unset, a temporary one in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local_scratch:
         _local_scratch.append("file://" + tempfile.mkdtemp(prefix="tickweave-"))
     return _local_scratch[0]
@@ -53,14 +55,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete a table made by materialize() that nothing will read again."""
-    spark = df.sparkSession
     files = df.inputFiles()
     if files:
-        jvm = spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        drop_folder(df.sparkSession, files[0].rpartition("/")[0])
 
 
 def with_defaults(df: DataFrame, **types: str) -> DataFrame:

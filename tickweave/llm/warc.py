@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, with_defaults
+from .common import drop_folder, materialize, scratch_path, with_defaults
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
@@ -37,7 +37,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """
     rows = with_defaults(pages, page_id="long", url="string", html="string").select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
-    first = rows.where(F.col("n_bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"))
+    first = rows.where(F.col("n_bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    # written, and only payloads that repeat: the join can then deal a payload that many pages share to several tasks
+    first = materialize(first.where("n > 1 and first is not null").select("digest", "first"), "payloads")
     return rows.join(first, "digest", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
 
 
@@ -129,15 +131,15 @@ def head_fields(head: bytes) -> dict[str, str]:
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
 
 
-def _normalise(uri: str, folder: str) -> Iterator[dict]:
-    """Rewrite one file; yields its index."""
+def _normalise(uri: str, folder: str) -> int:
+    """Rewrite one file and write its index beside it, record by record; the number of records."""
     files, at = _open(uri)
     out_files, out_folder = _open(folder)
     name = at.rpartition("/")[2].split(".")[0]
     target = f"{out_folder}/{name}.warc.gz"
     mine = f"{out_folder}/.{name}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
-    offset, index = 0, []
-    with files.open_input_stream(at, compression=None) as raw, out_files.open_output_stream(f"{mine}.gz", compression=None) as out:
+    offset = records = 0
+    with files.open_input_stream(at, compression=None) as raw, out_files.open_output_stream(f"{mine}.gz", compression=None) as out, out_files.open_output_stream(f"{mine}.idx", compression=None) as sidecar:
         source = _Inflated(raw)
         while (head := source.until(b"\r\n\r\n")) is not None:
             fields = head_fields(head)
@@ -146,14 +148,11 @@ def _normalise(uri: str, folder: str) -> Iterator[dict]:
             for piece in source.pieces(int(fields["content-length"])):
                 size += out.write(member.compress(piece))
             size += out.write(member.compress(b"\r\n\r\n") + member.flush())
-            index.append({"archive": f"{folder}/{name}.warc.gz", "offset": offset, "length": size, "record_id": fields["warc-record-id"], "type": fields["warc-type"]})
-            offset += size
-    with out_files.open_output_stream(f"{mine}.idx") as out:
-        for row in index:
-            out.write((json.dumps({k: v for k, v in row.items() if k != "archive"}) + "\n").encode())
+            sidecar.write((json.dumps({"offset": offset, "length": size, "record_id": fields["warc-record-id"], "type": fields["warc-type"]}) + "\n").encode())
+            offset, records = offset + size, records + 1
     out_files.move(f"{mine}.gz", target)
     out_files.move(f"{mine}.idx", f"{target}.idx")
-    yield from index
+    return records
 
 
 _INDEX = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("type", pa.string())])
@@ -170,11 +169,11 @@ def normalise_archives(spark: SparkSession, path: str, out: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                rows = sum(1 for _ in _normalise(uri, out))
-                yield pa.record_batch([pa.array([uri]), pa.array([rows], pa.int64())], names=["path", "records"])
+                yield pa.record_batch([pa.array([uri]), pa.array([_normalise(uri, out)], pa.int64())], names=["path", "records"])
 
     paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path")
-    paths.repartition(max(spark.sparkContext.defaultParallelism, 2), "path").mapInArrow(work, "path string, records long").write.format("noop").mode("overwrite").save()
+    # dealt round, not by hash: as many files to each task
+    paths.repartition(max(spark.sparkContext.defaultParallelism, 2)).mapInArrow(work, "path string, records long").write.format("noop").mode("overwrite").save()
     sidecars = spark.read.schema("offset long, length long, record_id string, type string").option("pathGlobFilter", "*.idx").json(out)
     return sidecars.withColumn("archive", F.regexp_replace(F.input_file_name(), r"\.idx$", "")).select(*_INDEX.names)
 
@@ -216,7 +215,9 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     raw, folder = scratch_path(spark, "warc-raw"), scratch_path(spark, "warc")
     write_archives(pages, raw)
-    records = read_records(normalise_archives(spark, raw, folder))
+    index = normalise_archives(spark, raw, folder)
+    drop_folder(spark, raw)
+    records = read_records(index)
     get = lambda name: F.element_at("head", name)
     response = get("warc-type") == "response"
     return records.select(
