@@ -84,7 +84,7 @@ def test_key_edges_connect_what_chains_connect():
     keys, chains = near.ring(prints)
     order = np.argsort(keys, kind="stable")
     t = np.repeat(np.arange(len(prints)), near.SEGMENTS)[order]
-    a, b = near._key_edges(keys[order][:, None], t, chains[order])
+    a, b = near._key_edges(keys[order], t, chains[order])
     root = near._joined(np.arange(len(prints)), a, b)
     want = list(range(len(prints)))
     for i in range(len(prints)):

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +48,14 @@ def small_batches(spark: SparkSession, rows: int = 2000):
         spark.conf.set(name, before)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    A table of hashes is stored as it is: compression would only take time and buffers outside the heap.
+    """
     path = scratch_path(df.sparkSession, label)
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", "none" if hashes else "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -77,3 +81,4 @@ def slices(batches, rows: int = 1000):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()

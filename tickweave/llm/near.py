@@ -30,6 +30,9 @@ SEGMENTS, CHAIN, BUDGET = 64, 8, 3.5
 #: Fingerprints of one key, and sets of one group, that are compared at once; more are dealt into blocks of about this size.
 KEY_BLOCK, BLOCK = 512, 256
 
+#: A key is a segment's number and its bits.
+_KEY_BITS = 16 + SEGMENTS.bit_length() - 1
+
 _WORDS = np.arange(1, SEGMENTS // 4 + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
 _SPENT = np.floor(BUDGET * np.arange(2, CHAIN + 2))
 
@@ -87,7 +90,7 @@ def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _key_edges(groups: np.ndarray, t: np.ndarray, chains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect, within each group (rows in a row), what chains connect: one for each row at most."""
     n = len(t)
-    ends = np.append(np.flatnonzero((groups[1:] != groups[:-1]).any(axis=1)) + 1, n)
+    ends = np.append(np.flatnonzero(groups[1:] != groups[:-1]) + 1, n)
     end = np.repeat(ends, np.diff(np.append(0, ends)))
     root, place, step = np.arange(n), np.arange(n), 1
     while len(place := place[place + step < end[place]]):
@@ -118,30 +121,30 @@ def _candidates(texts: DataFrame, k: int) -> DataFrame:
             keys, n = np.unique(ring(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SEGMENTS))[0], return_counts=True)
             yield pa.record_batch([pa.array(keys), pa.array(n)], names=["key", "n"])
 
-    once = materialize(texts.mapInArrow(prints, "t long, print binary").dropDuplicates(["t"]), "prints")
+    once = materialize(texts.mapInArrow(prints, "t long, print binary").dropDuplicates(["t"]), "prints", hashes=True)
     full = once.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > KEY_BLOCK)
     full = materialize(full.select("key", F.ceil(F.col("n") / KEY_BLOCK).cast("int").alias("blocks")), "full")
     rows = once.mapInArrow(keyed, "t long, key long, near long, far long").join(full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("t"), F.col("blocks").cast("long")).cast("int"))
-    # a key with many fingerprints: each pair of its blocks is a group
+    # a key with many fingerprints: each pair of its blocks is a group, numbered by key and both blocks
     rows = rows.select("t", "key", "near", "far", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("t", "key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "near", "far")
-    group = ["key", "left", "right"]
+    pair = F.shiftleft(F.least("own", "other").cast("long"), _KEY_BITS).bitwiseOR(F.shiftleft(F.greatest("own", "other").cast("long"), (64 + _KEY_BITS) // 2))
+    rows = rows.select("t", F.col("key").bitwiseOR(pair).alias("group"), "near", "far")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            now = np.column_stack([c.to_numpy() for c in batch.columns])
             now = now if held is None else np.concatenate([held, now])
-            cuts = np.flatnonzero((now[1:, 1:4] != now[:-1, 1:4]).any(axis=1)) + 1
+            cuts = np.flatnonzero(now[1:, 1] != now[:-1, 1]) + 1
             last = int(cuts[-1]) if len(cuts) else 0  # the last group may go on
             held, now = now[last:], now[:last]
             if len(now):
-                yield _edge_batch(*_key_edges(now[:, 1:4], now[:, 0], now[:, 4:]))
+                yield _edge_batch(*_key_edges(now[:, 1], now[:, 0], now[:, 2:]))
         if held is not None and len(held):
-            yield _edge_batch(*_key_edges(held[:, 1:4], held[:, 0], held[:, 4:]))
+            yield _edge_batch(*_key_edges(held[:, 1], held[:, 0], held[:, 2:]))
 
-    found = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(edges, "a long, b long").where("a != b").distinct()
+    found = rows.repartition("group").sortWithinPartitions("group").mapInArrow(edges, "a long, b long").where("a != b").distinct()
     roots = connected_components(found)
     for x in (once, full):
         drop_scratch(x)
@@ -191,7 +194,7 @@ def _verified(texts: DataFrame, candidates: DataFrame, k: int, similarity: float
 
     # written: a join of two bare scans can be dealt anew where one root has many members
     named = materialize(candidates, "candidates")
-    ready = materialize(texts.join(named, "t").select("t", "root", "text").dropDuplicates(["t"]).mapInArrow(sets, "t long, root long, held binary"), "sets")
+    ready = materialize(texts.join(named, "t").select("t", "root", "text").dropDuplicates(["t"]).mapInArrow(sets, "t long, root long, held binary"), "sets", hashes=True)
     first = ready.where("t = root").select("root", F.col("held").alias("lead"))
     leads = materialize(ready.where("t != root").join(first, "root").select("t", "root", "held", "lead").mapInArrow(led, "t long, root long, near boolean"), "leads")
     apart = leads.where("not near").select("t", F.lit(True).alias("apart"))

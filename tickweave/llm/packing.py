@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, with_defaults
+from .common import drop_scratch, materialize, slices, with_defaults
 
 CAPACITY = 2048
 
@@ -40,18 +40,24 @@ _UNCOMMON = re.compile("[^\x00-ɏ‐-‧]")
 
 
 @cache
-def _encoders(json_path: str, ranks_path: str):
-    import base64
+def _slow(json_path: str):
     import os
 
-    import tiktoken
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(json_path)
+
+
+@cache
+def _fast(ranks_path: str):
+    import base64
+
+    import tiktoken
+
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return Tokenizer.from_file(json_path), tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(text: str, json_path: str, ranks_path: str) -> np.ndarray:
@@ -60,11 +66,10 @@ def token_ids(text: str, json_path: str, ranks_path: str) -> np.ndarray:
     tiktoken reads the same vocabulary several times faster; it is used where the text holds neither the special
     token nor uncommon characters, for which ids are the same.
     """
-    slow, fast = _encoders(json_path, ranks_path)
     if _SPECIAL in text or _UNCOMMON.search(text):
-        ids = np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        ids = np.array(_slow(json_path).encode(text, add_special_tokens=False).ids, np.uint32)
     else:
-        ids = fast.encode_to_numpy(text, disallowed_special=())
+        ids = _fast(ranks_path).encode_to_numpy(text, disallowed_special=())
     return np.append(ids, np.uint32(0)).astype("<u4")
 
 
@@ -74,7 +79,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, json_path: str | None =
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for k, text in enumerate(batch.column(1)):
                 ids = token_ids(text.as_py() or "", json_path, ranks_path)

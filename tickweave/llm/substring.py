@@ -157,7 +157,8 @@ def repeated_ranges(docs: DataFrame, length: int = 35) -> DataFrame:
                     names=["doc_id", "mark", "whole", "low", "n", "inner"],
                 )
 
-    kept = materialize(docs.select("doc_id", _text_key().alias("mark"), "text").mapInArrow(records, "doc_id long, mark long, whole long, low long, n long, inner array<long>"), "records")
+    kept = materialize(docs.select("doc_id", _text_key().alias("mark"), "text").mapInArrow(records, "doc_id long, mark long, whole long, low long, n long, inner array<long>"), "records", hashes=True)
+    shared.unpersist()
     classes = kept.groupBy("whole").agg(F.count("*").alias("n"), F.any_value("inner").alias("inner"))
     single = F.when(F.col("n") == 1, F.col("whole"))
     places = classes.select(single.alias("single"), F.posexplode("inner").alias("at", "h"))
