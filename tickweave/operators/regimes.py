@@ -1,14 +1,14 @@
 """Hidden Markov regimes with Gaussian states.
 
-Fitting maximises the likelihood by Baum-Welch. Each iteration is one distributed pass: the sequence is cut into segments of
-SEGMENT rows that are independent given their first state's distribution, each task returns its segments' expected counts,
-and their sums (a few numbers for each pair of states) make the next parameters. Decoding runs per segment too, each
-with rows of context on both sides.
+Fitting maximises the likelihood by Baum-Welch, decoding finds the likeliest path. Both work on segments of SEGMENT rows,
+so that one long symbol is many tasks, and give what one pass over the whole sequence would: each segment first tells how it
+carries any state before it to each state at its end (a matrix), a scan over one matrix for each segment gives what comes
+before and after every segment, and with that the segments are independent. Only sums of expected counts, a few numbers for each
+pair of states, reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stored import stored
 
-#: Rows that one task takes as a sequence, and rows of context when states are decoded.
-SEGMENT, CONTEXT = 50_000, 200
+#: Rows that one task takes at once. Results don't depend on it.
+SEGMENT = 50_000
 
 
 @dataclass
@@ -41,50 +41,118 @@ class GaussianHMM:
             out[:, k] = -0.5 * ((z**2).sum(0) + len(m) * np.log(2 * np.pi)) - np.log(np.diag(root)).sum()
         return out
 
-    def forward_backward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Posterior of each row's state, expected transitions, log likelihood; probabilities are scaled row by row."""
+    def forward_backward(self, x: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Posterior of each row's state, expected transitions, log likelihood; probabilities are scaled row by row.
+
+        before: the states' distribution at the row before the first (none: the sequence begins); after: how likely what
+        follows is from each state of the last row (none: the sequence ends).
+        """
         dense = self.log_density(x)
         top = dense.max(1)
         e = np.exp(dense - top[:, None])
         n, k = e.shape
         alpha, scale, beta = np.empty((n, k)), np.empty(n), np.ones((n, k))
         for t in range(n):
-            a = (self.start if t == 0 else alpha[t - 1] @ self.move) * e[t]
+            a = (alpha[t - 1] @ self.move if t else self.start if before is None else before @ self.move) * e[t]
             scale[t] = a.sum() or 1e-300
             alpha[t] = a / scale[t]
+        if after is not None:
+            beta[-1] = after / max(alpha[-1] @ after, 1e-300)
         for t in range(n - 2, -1, -1):
             beta[t] = self.move @ (e[t + 1] * beta[t + 1]) / scale[t + 1]
         gamma = alpha * beta
         gamma /= gamma.sum(1, keepdims=True)
         pair = self.move * (alpha[:-1].T @ (e[1:] * beta[1:] / scale[1:, None])) if n > 1 else np.zeros((k, k))
+        if before is not None:
+            pair += self.move * np.outer(before, e[0] * beta[0] / scale[0])
         return gamma, pair, float((np.log(scale) + top).sum())
 
-    def viterbi(self, x: np.ndarray) -> np.ndarray:
+    def viterbi(self, x: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+        """The likeliest states; before and after are log scores of what comes before the first row and after the last."""
         dense, move = self.log_density(x), np.log(self.move + 1e-300)
         n, k = dense.shape
-        score, back = np.log(self.start + 1e-300) + dense[0], np.zeros((n, k), int)
+        score = (np.log(self.start + 1e-300) if before is None else (before[:, None] + move).max(0)) + dense[0]
+        back = np.zeros((n, k), int)
         for t in range(1, n):
             step = score[:, None] + move
             back[t] = step.argmax(0)
             score = step.max(0) + dense[t]
         out = np.empty(n, int)
-        out[-1] = score.argmax()
+        out[-1] = (score if after is None else score + after).argmax()
         for t in range(n - 1, 0, -1):
             out[t - 1] = back[t, out[t]]
         return out
 
+    def transfer(self, x: np.ndarray, best: bool) -> np.ndarray:
+        """[i, j]: of all paths (best: of the best one) from state i before these rows to state j at their end, the weight up to a factor, as logarithm."""
+        dense, move = self.log_density(x), np.log(self.move + 1e-300)
+        carry = np.where(np.eye(len(move), dtype=bool), 0.0, -np.inf)
+        for row in dense:
+            step = carry[:, :, None] + move[None, :, :]
+            top = step.max(1)
+            carry = (top if best else top + np.log(np.exp(step - top[:, None, :]).sum(1))) + row
+            carry -= carry.max()
+        return carry
+
+
+def _edges(model: GaussianHMM, segments: DataFrame, best: bool) -> DataFrame:
+    """symbol, _segment, before, after: logarithms, up to a factor, of what the rows outside a segment say of its ends; null at the ends of a symbol."""
+    k, cols = len(model.means), model.columns
+    kind = segments.schema["symbol"].dataType.simpleString()
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_index")
+        x = (pdf[cols].to_numpy(float) - model.center) / model.scale
+        begin = model.log_density(x[:1])[0] + np.log(model.start + 1e-300)  # for a segment that begins the sequence
+        later = model.transfer(x[1:], best) if len(x) > 1 else np.where(np.eye(k, dtype=bool), 0.0, -np.inf)
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[:1].to_numpy(), "_segment": pdf["_segment"].iloc[:1].to_numpy(), "whole": [model.transfer(x, best).ravel()], "begin": [begin], "later": [later.ravel()]})
+
+    def through(vector: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        step = vector[:, None] + matrix
+        top = step.max(0)
+        out = top if best else top + np.log(np.exp(step - top).sum(0))
+        return out - out.max()
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_segment")
+        whole, later = ([np.reshape(m, (k, k)) for m in pdf[c]] for c in ("whole", "later"))
+        before, after, state = [None], [None], through(np.array(pdf["begin"].iloc[0]), later[0])
+        for m in whole[1:]:
+            before.append(state)
+            state = through(state, m)
+        state = np.zeros(k)
+        for m in whole[:0:-1]:
+            state = through(state, m.T)
+            after.append(state)
+        return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "_segment": pdf["_segment"].to_numpy(), "before": before, "after": after[::-1]})
+
+    matrices = segments.groupBy("symbol", "_segment").applyInPandas(carried, f"symbol {kind}, _segment long, whole array<double>, begin array<double>, later array<double>")
+    return matrices.groupBy("symbol").applyInPandas(scan, f"symbol {kind}, _segment long, before array<double>, after array<double>")  # one row for each segment
+
+
+def _with_edges(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    named = edges.withColumnsRenamed({"symbol": "_s", "_segment": "_g"})
+    return rows.join(named, rows["symbol"].eqNullSafe(named["_s"]) & (rows["_segment"] == named["_g"]), "left").drop("_s", "_g")
+
+
+def _side(pdf: pd.DataFrame, column: str) -> np.ndarray | None:
+    value = pdf[column].iloc[0]
+    return None if value is None else np.array(value, float)
+
 
 def _counts(model: GaussianHMM, segments: DataFrame) -> pd.DataFrame:
-    """Sums over all segments of what Baum-Welch needs, from one pass."""
+    """Sums over all segments of what Baum-Welch needs."""
     k, d, cols = len(model.means), len(model.columns), model.columns
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         x = (pdf.sort_values("bar_index")[cols].to_numpy(float) - model.center) / model.scale
-        g, pair, ll = model.forward_backward(x)
-        flat = np.concatenate([[ll, 1.0], g[0], pair.ravel(), g.sum(0), (g.T @ x).ravel(), np.einsum("tk,ti,tj->kij", g, x, x).ravel()])
+        before, after = (_side(pdf, c) for c in ("before", "after"))
+        before = None if before is None else np.exp(before) / np.exp(before).sum()
+        g, pair, ll = model.forward_backward(x, before, None if after is None else np.exp(after))
+        flat = np.concatenate([[ll, 1.0], g[0] * (before is None), pair.ravel(), g.sum(0), (g.T @ x).ravel(), np.einsum("tk,ti,tj->kij", g, x, x).ravel()])
         return pd.DataFrame({"at": np.arange(len(flat)), "value": flat})
 
-    rows = segments.groupBy("symbol", "_segment").applyInPandas(work, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()
+    rows = _with_edges(segments, _edges(model, segments, False)).groupBy("symbol", "_segment").applyInPandas(work, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()
     v = np.array([r["value"] for r in rows])
     cut = np.cumsum([2, k, k * k, k, k * d])
     head, first, pair, weight, sums, squares = np.split(v, cut)
@@ -132,12 +200,15 @@ def regimes(rows: DataFrame, model: GaussianHMM, prefix: str = "macro") -> DataF
         ok = np.isfinite(x).all(1)
         state, proba = np.full(len(pdf), -1), np.zeros((len(pdf), k))
         if ok.any():
-            state[ok], proba[ok] = model.viterbi(x[ok]), model.forward_backward(x[ok])[0]
-        out = pd.DataFrame({"symbol": pdf["symbol"], "bar_index": pdf["bar_index"], f"{prefix}_state": state.astype("int32"), **{n: proba[:, i] for i, n in enumerate(names)}})
-        return out[pdf["_own"].to_numpy()]
-
-    schema = f"symbol string, bar_index long, {prefix}_state int, " + ", ".join(f"{n} double" for n in names)
-    own, at = F.floor(F.col("bar_index") / SEGMENT), F.col("bar_index") % SEGMENT
-    blocks = F.array_compact(F.array(own, F.when(at >= SEGMENT - CONTEXT, own + 1), F.when(at < CONTEXT, own - 1)))
-    spread = rows.select("symbol", "bar_index", *model.columns, F.explode(blocks).alias("_block")).withColumn("_own", F.col("_block") == own)
-    return spread.groupBy("symbol", "_block").applyInPandas(work, schema)
+            before, after, first, last = (_side(pdf, c) for c in ("before", "after", "best_before", "best_after"))
+            before = None if before is None else np.exp(before) / np.exp(before).sum()
+            state[ok], proba[ok] = model.viterbi(x[ok], first, last), model.forward_backward(x[ok], before, None if after is None else np.exp(after))[0]
+        return pd.DataFrame({"symbol": pdf["symbol"], "bar_index": pdf["bar_index"], f"{prefix}_state": state.astype("int32"), **{n: proba[:, i] for i, n in enumerate(names)}})
+
+    kind = rows.schema["symbol"].dataType.simpleString()
+    schema = f"symbol {kind}, bar_index long, {prefix}_state int, " + ", ".join(f"{n} double" for n in names)
+    dealt = stored(rows.select("symbol", "bar_index", *model.columns, F.floor(F.col("bar_index") / SEGMENT).alias("_segment")), "regimes")
+    ready = dealt.na.drop("any", subset=model.columns)
+    best = _edges(model, ready, True).withColumnsRenamed({"before": "best_before", "after": "best_after"})
+    both = _with_edges(_with_edges(dealt, _edges(model, ready, False)), best)
+    return both.groupBy("symbol", "_segment").applyInPandas(work, schema)
