@@ -192,9 +192,10 @@ def _verified(texts: DataFrame, candidates: DataFrame, k: int, similarity: float
             near = [bool(linked([a], [b], similarity)[0, 0]) for a, b in zip(_sets(batch.column(2)), _sets(batch.column(3)), strict=True)]
             yield pa.record_batch([*batch.columns[:2], pa.array(near, pa.bool_())], names=["t", "root", "near"])
 
-    # written: a join of two bare scans can be dealt anew where one root has many members
+    # one text of each kind first, merged before texts are shuffled: a text with many copies fills no task
     named = materialize(candidates, "candidates")
-    ready = materialize(texts.join(named, "t").select("t", "root", "text").dropDuplicates(["t"]).mapInArrow(sets, "t long, root long, held binary"), "sets", hashes=True)
+    ready = materialize(texts.dropDuplicates(["t"]).join(named, "t").select("t", "root", "text").mapInArrow(sets, "t long, root long, held binary"), "sets", hashes=True)
+    # two bare scans: their join can be dealt anew where one root has many members
     first = ready.where("t = root").select("root", F.col("held").alias("lead"))
     leads = materialize(ready.where("t != root").join(first, "root").select("t", "root", "held", "lead").mapInArrow(led, "t long, root long, near boolean"), "leads")
     apart = leads.where("not near").select("t", F.lit(True).alias("apart"))
