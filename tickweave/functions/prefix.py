@@ -16,7 +16,8 @@ def with_prefix(df: DataFrame, sums: dict[str, str] | None = None, index: str |
     # keys without nulls, so that window, totals and join agree on one hash partitioning and the rows move once
     group = [f"_k{i}" for i in range(len(keys))]
     parts = {g: F.coalesce(F.col(k).cast("string"), F.lit("!")) for g, k in zip(group, keys, strict=True)}
-    bucketed = df.withColumns(parts | {"_bucket": F.coalesce(F.date_trunc(bucket, order[0]).cast("string"), F.lit("!"))})
+    # one exchange, read by the totals and by the window: what comes before it runs once
+    bucketed = df.withColumns(parts | {"_bucket": F.coalesce(F.date_trunc(bucket, order[0]).cast("string"), F.lit("!"))}).repartition(*group, "_bucket")
     totals = bucketed.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_t_{a}") for a, c in sums.items()])
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *[F.coalesce(F.sum(f"_t_{a}").over(before), F.lit(0)).alias(f"_b_{a}") for a in sums])
