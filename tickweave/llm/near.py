@@ -179,7 +179,7 @@ def _verified(texts: DataFrame, candidates: DataFrame, k: int, similarity: float
     """(a, b) edges that connect exactly the candidates of one group that links of this similarity connect.
 
     Every member of a group is held against its first one, the root. Only those that aren't linked to it are held against
-    the whole group, which is dealt into blocks; so groups of copies of one text cost in proportion.
+    the whole group, both dealt into blocks, each pair of blocks in a task of its own; so groups of copies of one text cost in proportion.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +200,15 @@ def _verified(texts: DataFrame, candidates: DataFrame, k: int, similarity: float
     leads = materialize(ready.where("t != root").join(first, "root").select("t", "root", "held", "lead").mapInArrow(led, "t long, root long, near boolean"), "leads")
     apart = leads.where("not near").select("t", F.lit(True).alias("apart"))
     sizes = leads.groupBy("root").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("open")).where("open > 0")
-    sizes = materialize(sizes.select("root", F.ceil((F.col("n") + 1) / BLOCK).cast("int").alias("blocks")), "sizes")
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = materialize(sizes.select("root", blocks_of(F.col("n") + 1).alias("blocks"), blocks_of(F.col("open")).alias("turns")), "sizes")
     dealt = ready.join(sizes, "root").join(apart, "t", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("t"), F.col("blocks").cast("long")).cast("int"))
-    # a row stays in its own block; those apart from the root go through every block as well
-    place = F.when(F.col("apart"), F.concat(F.array(F.struct("own", F.lit(False).alias("goes"))), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(x.alias("own"), F.lit(True).alias("goes")))))
-    dealt = dealt.withColumn("x", F.explode(F.coalesce(place, F.array(F.struct("own", F.lit(False).alias("goes"))))))
-    dealt = dealt.select("t", "root", F.col("x.own").alias("block"), F.col("x.goes").alias("goes"), "apart", "held")
+    dealt = dealt.withColumns({k: F.pmod(F.xxhash64("t", F.lit(i)), F.col(f"{k}s").cast("long")).cast("int") for i, k in enumerate(("block", "turn"))})
+    # a row stays in its own block, for every turn; those apart from the root go, in their turn, through every block as well
+    stays = F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda x: F.struct(F.col("block"), x.alias("turn"), F.lit(False).alias("goes")))
+    goes = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(x.alias("block"), F.col("turn"), F.lit(True).alias("goes")))
+    dealt = dealt.withColumn("x", F.explode(F.when(F.col("apart"), F.concat(stays, goes)).otherwise(stays)))
+    dealt = dealt.select("t", "root", F.col("x.block").alias("block"), F.col("x.turn").alias("turn"), F.col("x.goes").alias("goes"), "apart", "held")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, stay, go = None, [], []
@@ -223,17 +225,18 @@ def _verified(texts: DataFrame, candidates: DataFrame, k: int, similarity: float
             go.clear()
 
         for batch in slices(batches, BLOCK):
-            for t, root, block, goes, apart, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, block) != now:
+            for t, root, block, turn, goes, apart, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, block, turn) != now:
                     yield from flush()
                     stay.clear()
-                    now = root, block
+                    now = root, block, turn
                 (go if goes else stay).append((t, apart, np.frombuffer(held, np.uint64)))
                 if len(go) == BLOCK:
                     yield from flush()
         yield from flush()
 
-    crossed = dealt.repartition("root", "block").sortWithinPartitions("root", "block", "goes").mapInArrow(work, "a long, b long")
+    group = ["root", "block", "turn"]
+    crossed = dealt.repartition(*group).sortWithinPartitions(*group, "goes").mapInArrow(work, "a long, b long")
     return leads.where("near").select(F.col("root").alias("a"), F.col("t").alias("b")).unionByName(crossed)
 
 
