@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, layout, licenses, merkle, packing, quality, simhash, substring, urls, warc
+from . import audit, decontaminate, layout, licenses, merkle, packing, quality, simhash, substring, urls, warc
 from .common import table
 
 
@@ -18,8 +18,9 @@ def queries():
         "op8_benchmark_decontamination": lambda spark, d: decontaminate.leak_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op9_license_scan": lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")),
         "op10_url_filter": lambda spark, d: urls.judge_urls(table(spark, d, "pages")),
+        "op12_filter_audit": lambda spark, d: audit.interaction_report(table(spark, d, "documents"), table(spark, d, "labels")),
     }
 
 
 def oracle_sql():
-    return {"op5_warc_archives": warc.oracle(), "op7_substring_dedup": substring.oracle(), "op9_license_scan": licenses.oracle(), "op10_url_filter": urls.oracle()}
+    return {"op5_warc_archives": warc.oracle(), "op7_substring_dedup": substring.oracle(), "op9_license_scan": licenses.oracle(), "op10_url_filter": urls.oracle(), "op12_filter_audit": audit.oracle()}
