@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, decontaminate, layout, licenses, merkle, packing, quality, simhash, substring, urls, warc
+from . import audit, decontaminate, layout, licenses, merkle, packing, quality, runs, simhash, substring, urls, warc
 from .common import table
 
 
@@ -18,6 +18,7 @@ def queries():
         "op8_benchmark_decontamination": lambda spark, d: decontaminate.leak_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op9_license_scan": lambda spark, d: licenses.scan_licenses(table(spark, d, "documents")),
         "op10_url_filter": lambda spark, d: urls.judge_urls(table(spark, d, "pages")),
+        "op11_periodic_runs": lambda spark, d: runs.run_report(table(spark, d, "documents")),
         "op12_filter_audit": lambda spark, d: audit.interaction_report(table(spark, d, "documents"), table(spark, d, "labels")),
     }
 
