@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, decontaminate, layout, licenses, merkle, packing, quality, runs, simhash, substring, urls, warc
+from . import audit, decontaminate, layout, licenses, merkle, minhash, packing, quality, runs, simhash, substring, urls, warc
 from .common import table
 
 
@@ -20,6 +20,7 @@ def queries():
         "op10_url_filter": lambda spark, d: urls.judge_urls(table(spark, d, "pages")),
         "op11_periodic_runs": lambda spark, d: runs.run_report(table(spark, d, "documents")),
         "op12_filter_audit": lambda spark, d: audit.interaction_report(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op13_minhash_near_dedup": lambda spark, d: minhash.near_duplicate_report(table(spark, d, "documents")),
     }
 
 
