@@ -40,7 +40,8 @@ def failure_masks(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = materialize(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text_mask(text).cast("int").alias("mask"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")), "masks", hashes=True)
     # texts that only one id has need no join: their rows meet nothing
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    # written first: a join of two bare scans is dealt anew where one text has many rows
+    firsts = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first"), "firsts", hashes=True)
     met = rows.join(firsts, "digest", "left")
     return met.select("doc_id", "part", F.when(F.col("doc_id") > F.col("first"), F.col("mask") + _REPEAT).otherwise(F.col("mask")).alias("mask"))
 
