@@ -1,19 +1,18 @@
 """Session-aware long-only backtest.
 
 Where a trade entered at a bar would leave is a bounded look ahead and is found for all bars at once. Which entries are taken
-depends on the one position being free: that walk over candidate entries alone passes a symbol's rows in order as a stream.
+depends on the one position being free: a chain through the candidate entries, walked in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chains import Steps, along_chain
 from ..functions.prefix import with_prefix
 from ..functions.search import HALT, NONE, UP, first_reach
 from .session import SessionCalendar
@@ -65,26 +64,20 @@ def candidate_trades(bars: DataFrame, signals: DataFrame, spec: BacktestSpec) ->
     return found.select("symbol", F.col("bar_index").alias("entry_bar"), F.col("timestamp").alias("entry_timestamp"), (F.col("ask_close") + spec.slippage).alias("entry_price"), "exit_bar", "exit_timestamp", (F.col("exit_close") - spec.slippage).alias("exit_price"), reason.alias("reason"))
 
 
-def _take_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries in order, those that find the position free: one search for each that is taken."""
-    symbol, free = object(), -1
-    for batch in batches:
-        symbols, (entry, out) = batch.column("symbol").dictionary_encode(), (batch.column(c).to_numpy() for c in ("entry_bar", "exit_bar"))
-        code = symbols.indices.fill_null(-1).to_numpy()
-        keep, edges = np.zeros(len(code), bool), np.flatnonzero(np.diff(code, prepend=-2, append=-2))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = batch.column("symbol")[a].as_py()
-            if own != symbol:
-                symbol, free = own, -1
-            while (a := a + int(np.searchsorted(entry[a:b], free, "right"))) < b:
-                keep[a], free = True, int(out[a])
-        yield batch.filter(pa.array(keep))
+def _free_steps(max_bars: int):
+    """An entry that is taken holds the position up to its exit; the next one taken lies behind that bar."""
+
+    def steps(block: pa.Table) -> Steps:
+        entry, out = (block[c].to_numpy().astype(float) for c in ("entry_bar", "exit_bar"))
+        return Steps(entry, out + 1, 0.0, entry[0] + max_bars + 1)
+
+    return steps
 
 
 def run_backtest(bars: DataFrame, signals: DataFrame, spec: BacktestSpec) -> DataFrame:
     """The trade log: a position at a time for each symbol; the bar that closes one opens none."""
     candidates = candidate_trades(bars, signals, spec)
-    taken = candidates.repartition("symbol").sortWithinPartitions("symbol", "entry_bar").mapInArrow(_take_free, candidates.schema)
+    taken = along_chain(candidates, "entry_bar", _free_steps(spec.max_bars), ("exit_bar",), 0.0).where("taken").drop("taken", "rank")
     cost = spec.commission * spec.size * (F.col("entry_price") + F.col("exit_price"))
     pnl = (F.col("exit_price") - F.col("entry_price")) * spec.size - cost
     seconds = (F.unix_micros("exit_timestamp") - F.unix_micros("entry_timestamp")) / 1e6

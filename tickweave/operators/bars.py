@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chains import Steps, along_chain
 from ..functions.prefix import with_prefix
 
 KINDS = ("tick", "volume", "dollar", "volume_cum")
@@ -92,42 +92,23 @@ def tick_bars(ticks: DataFrame, spec: BarSpec) -> DataFrame:
     return bars if spec.keep_partial else bars.where(F.col("tick_count") == n)
 
 
-def _reset_index(threshold: float):
-    """Appends bar_index to rows in order: a bar ends with the tick that brings its amount to the threshold, then the sum starts anew.
+def _reset_steps(threshold: float):
+    """A bar ends with the tick that brings its amount to the threshold, then the sum starts anew; missing amounts count as 0."""
 
-    One step for each bar: sums of a stretch of ticks, and a search for where they reach the threshold.
-    """
+    def steps(block: pa.Table) -> Steps:
+        sums = np.cumsum(np.nan_to_num(block["_amount"].combine_chunks().fill_null(0.0).to_numpy(zero_copy_only=False)))
+        return Steps(np.maximum.accumulate(sums), sums + threshold, float(sums[-1]), threshold)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, bar, held, stretch = object(), 0, 0.0, 64
-        for batch in batches:
-            code = batch.column("symbol").dictionary_encode().indices.fill_null(-1).to_numpy()
-            amounts = np.nan_to_num(batch.column("_amount").fill_null(0.0).to_numpy())
-            out, edges = np.empty(len(code), np.int64), np.flatnonzero(np.diff(code, prepend=-2, append=-2))
-            for a, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                own = batch.column("symbol")[a].as_py()
-                if own != symbol:
-                    symbol, bar, held = own, 0, 0.0
-                while a < end:
-                    sums = np.add.accumulate(np.append(held, amounts[a : min(a + stretch, end)]))[1:]
-                    over = sums >= threshold
-                    n = int(over.argmax()) + 1 if over.any() else len(sums)
-                    out[a : a + n] = bar
-                    a, stretch = a + n, max(16, 2 * n)
-                    bar, held = (bar + 1, 0.0) if over[n - 1] else (bar, float(sums[-1]))
-            yield pa.record_batch([*batch.columns, pa.array(out)], names=[*batch.schema.names, "bar_index"])
-
-    return work
+    return steps
 
 
 def reset_bars(ticks: DataFrame, spec: BarSpec) -> DataFrame:
-    """Volume and dollar bars. Where a bar ends depends on where the last one did, so a symbol's ticks pass one task in order, as a stream."""
+    """Volume and dollar bars. Where a bar ends depends on where the last one did: a chain through the ticks, walked in blocks."""
     if not {"bidVolume", "askVolume"} <= set(ticks.columns):
         return tick_bars(ticks, spec)
     v = F.col("bidVolume") + F.col("askVolume") if spec.kind == "volume" else F.col("bidPrice") * F.col("bidVolume") + F.col("askPrice") * F.col("askVolume")
-    ordered = numbered(ticks).withColumn("_amount", v.cast("double")).repartition("symbol").sortWithinPartitions("symbol", "idx")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) + ", bar_index long"
-    return aggregate(ordered.mapInArrow(_reset_index(spec.threshold), schema), spec)
+    walked = along_chain(numbered(ticks).withColumn("_amount", v.cast("double")), "idx", _reset_steps(spec.threshold), ("_amount",), spec.threshold)
+    return aggregate(walked.withColumn("bar_index", F.col("rank")), spec)
 
 
 def cumulative_bars(ticks: DataFrame, spec: BarSpec, column: str | None = None) -> DataFrame:
