@@ -19,6 +19,7 @@ from .operators import backtest, bars, clean, folds, forest, joins, labeling, pe
 from .operators.session import SessionCalendar
 from .schema import dirty_ticks, ticks_from_events
 from .sources import ticks as sources
+from .streaming.bars import replayed_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 CAL = SessionCalendar()
@@ -198,6 +199,8 @@ _add(
     lambda s, d: _bar_out(_bars(s, d, bars.BarSpec("volume_cum", 900))),
     f"with {_sql_ticks()}, c as (select *, sum(bv + av) over (order by ts, seq rows unbounded preceding) as total from ticks), bars as (select symbol, floor(total / 900)::bigint as bar_index, min(ts) as timestamp, {_AGG} from c group by 1, 2) select {_cols(BAR, BAR_SIX, ['timestamp'])} from bars",
 )
+_add("stream_tick_bars", lambda s, d: _bar_out(replayed_bars(_by_type(s, d), TEN)), _ALL["tick_bars_multi"][1])
+_add("stream_volume_bars", lambda s, d: _bar_out(replayed_bars(_ticks(s, d), bars.BarSpec("volume", 900))), _ALL["volume_bars"][1])
 _add("bar_duration", lambda s, d: _out(bars.average_duration(_bars(s, d)), ["symbol"], ["seconds"]), f"with {_sql_bars()} select symbol, (round(((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6) / count(*), 6) + 0::double) as seconds from bars group by 1")
 
 _DETAIL = ["midPrice_first", "midPrice_last", "midPrice_mean", "spread_min", "spread_max"]
