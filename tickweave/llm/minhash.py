@@ -7,16 +7,16 @@ differing symbol at most, so it agrees in one of the chunk's patterns that leave
 symbol. At J = 0.8 a pair lies within the distance with probability 0.9996, at 0.85 with 0.99999; candidates are then held
 against each other by their whole shingle sets, so that what is linked is exact.
 
-Only components are asked for, so no key's members are paired with each other as such. In rounds, one member leads each key, those that
-aren't in its component are held against it, and components grow; keys all of whose members are in one component are done. Where
-that gains little, what is left of each key is compared in blocks: those outside of its leader's component with all that
-are not in their own.
+Only components are asked for, so pairs are never listed. One member leads each key and those that are candidates with it are held against it,
+which joins most copies. Keys all of whose members are in one component are done. In the others, members outside of the leader's component
+are compared by their signatures with all that are not in their own, in blocks of bounded size that return a spanning forest; that gives groups of
+components with candidates between them. Within a group whole sets are compared in the same way.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_scratch, materialize, slices, with_defaults
 from .graph import connected_components
+from .near import _joined as joined
+from .near import linked
 from .tokens import WORDS, U, byte_values, mix, tokens, windows
 
 #: Symbols of a signature, chunks on which keys are made, differing symbols that a chunk may have.
@@ -33,12 +35,9 @@ SYMBOLS, CHUNKS, ERRORS = 64, 12, 1
 #: Pigeonhole: of so many differing symbols, some chunk has ERRORS at most.
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
 
-#: Members of a key that are compared at once.
+#: Members of a key or group that are compared at once.
 BLOCK = 256
 
-#: A round of leaders is worth another if it leaves less than this share of the open rows.
-WORTH = 0.5
-
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 _PLACES = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
 _EDGES = [SYMBOLS * i // CHUNKS for i in range(CHUNKS + 1)]
@@ -71,14 +70,6 @@ def patterns(prints: np.ndarray) -> np.ndarray:
     return mix(keys + _PLACES)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 times the common elements are at least percent times all elements of two sets."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    common = len(a) + len(b) - len(np.union1d(a, b))
-    return 100 * common >= percent * (len(a) + len(b) - common)
-
-
 def _prints(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SYMBOLS)
 
@@ -159,85 +150,87 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
-            near = [linked(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            near = [bool(linked([np.frombuffer(a.as_py(), np.uint64)], [np.frombuffer(b.as_py(), np.uint64)], percent / 100)[0, 0]) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.record_batch([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     return _with_both(pairs, sets, "held").mapInArrow(work, "a long, b long")
 
 
-def _across(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct (a, b) within MAX_DISTANCE of each other among each key's members of unlike components, in blocks.
+def _across(rows: DataFrame, by: str, payload: str, close: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
+    """Distinct (a, b): components to be joined, as some of their members of one `by` are close.
 
-    rows has key, c, root, lead_root, n and open (members of the key, and those not of the leader's component). All members stay in a block of
-    their own; those that are open go through every block as well, in turns of bounded size.
+    rows has by, c, root and payload. Members stay in a block of their own; those outside of the component that the least of
+    their hashes names go through every block as well, in turns. A block and a turn give a spanning forest of the components that meet in them.
     """
+    counts = rows.groupBy(by).agg(F.count("*").alias("n"), F.min_by("root", F.xxhash64("c")).alias("lead_root"))
+    counts = rows.join(counts, by).groupBy(by, "n", "lead_root").agg(F.count_if(F.col("root") != F.col("lead_root")).alias("open")).where("open > 0")
     blocks_of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    dealt = rows.join(classes.select("c", "print"), "c").withColumns({"blocks": blocks_of("n"), "turns": blocks_of("open")})
+    counts = materialize(counts.select(by, "lead_root", blocks_of("n").alias("blocks"), blocks_of("open").alias("turns")), "counts")
+    dealt = rows.join(counts, by)
     dealt = dealt.withColumns({k: F.pmod(F.xxhash64("c", F.lit(i)), F.col(f"{k}s").cast("long")).cast("int") for i, k in enumerate(("block", "turn"))})
     stays = F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda x: F.struct(F.col("block"), x.alias("turn"), F.lit(False).alias("goes")))
     goes = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(x.alias("block"), F.col("turn"), F.lit(True).alias("goes")))
     dealt = dealt.withColumn("x", F.explode(F.when(F.col("root") != F.col("lead_root"), F.concat(stays, goes)).otherwise(stays)))
-    dealt = dealt.select("key", F.col("x.block").alias("block"), F.col("x.turn").alias("turn"), F.col("x.goes").alias("goes"), "c", "root", "print")
+    dealt = dealt.select(by, F.col("x.block").alias("block"), F.col("x.turn").alias("turn"), F.col("x.goes").alias("goes"), "root", payload)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, stay, go = None, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if stay and go:
-                (a, ra, pa_), (b, rb, pb) = ((np.array([r[0] for r in side]), np.array([r[1] for r in side]), np.frombuffer(b"".join(r[2] for r in side), np.uint8).reshape(-1, SYMBOLS)) for side in (stay, go))
-                for i in range(len(b)):
-                    near = np.flatnonzero(((pa_ != pb[i]).sum(axis=1) <= MAX_DISTANCE) & (ra != rb[i]))
-                    if len(near):
-                        yield pa.record_batch([pa.array(np.minimum(a[near], b[i])), pa.array(np.maximum(a[near], b[i]))], names=["a", "b"])
+                nodes, of = np.unique(np.array([r for r, _ in stay] + [r for r, _ in go]), return_inverse=True)
+                i, j = np.nonzero(close([p for _, p in go], [p for _, p in stay]) & (of[len(stay) :, None] != of[None, : len(stay)]))
+                label = joined(np.arange(len(nodes)), of[len(stay) + i], of[j])
+                member = np.flatnonzero(label != np.arange(len(nodes)))
+                yield pa.record_batch([pa.array(nodes[label[member]]), pa.array(nodes[member])], names=["a", "b"])
             go.clear()
 
         for batch in slices(batches, BLOCK):
-            for key, block, turn, goes, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, block, turn) != now:
+            for place, block, turn, goes, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (place, block, turn) != now:
                     yield from flush()
                     stay.clear()
-                    now = key, block, turn
+                    now = place, block, turn
                 (go if goes else stay).append(own)
                 if len(go) == BLOCK:
                     yield from flush()
         yield from flush()
 
-    group = ["key", "block", "turn"]
+    group = [by, "block", "turn"]
     return dealt.repartition(*group).sortWithinPartitions(*group, "goes").mapInArrow(work, "a long, b long").distinct()
 
 
+def _prints_close(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, SYMBOLS) for x in (left, right))
+    return np.stack([(x != b).sum(axis=1) <= MAX_DISTANCE for x in a])
+
+
 def class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, root) of the classes that links connect with others; classes has c, key, text_hash and print."""
     members = materialize(_members(classes), "members", hashes=True)
     sets = materialize(_sets(docs, classes, members, shingle), "sets", hashes=True)
-    rows, links, roots, before, turn = members, None, None, None, 0
-    while True:
-        if roots is not None:
-            rows = rows.select("key", "c").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        else:
-            rows = rows.withColumn("root", F.col("c"))
-        leads = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("draw"), F.col("c"), F.col("root"))).alias("x")).where("low < high")
-        open_rows = materialize(rows.join(leads.select("key", F.col("x.c").alias("lead"), F.col("x.root").alias("lead_root")), "key"), "open", hashes=True)
-        drop_scratch(members)
-        members = open_rows
-        left = open_rows.count()
-        if not left:
-            break
-        rest = before is not None and left >= WORTH * before
-        if rest:
-            counts = open_rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("lead_root")).alias("open"))
-            pairs = _across(open_rows.join(counts, "key"), classes)
-        else:
-            far = open_rows.where("root != lead_root").select(F.least("lead", "c").alias("a"), F.greatest("lead", "c").alias("b")).distinct()
-            pairs = _close(far, classes)
-        found = materialize(_confirmed(materialize(pairs, "close", hashes=True), sets, percent), "links", hashes=True)
-        links = found if links is None else links.unionByName(found)
-        roots = connected_components(links)
-        if rest:
-            break
-        rows, before, turn = open_rows, left, turn + 1
-    drop_scratch(sets)
-    return connected_components(classes.where("false").select(F.col("c").alias("a"), F.col("c").alias("b"))) if roots is None else roots
+    leads = members.groupBy("key").agg(F.min_by("c", F.xxhash64("c")).alias("a"))
+    pairs = members.join(leads, "key").where("a != c").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
+    links = materialize(_confirmed(materialize(_close(pairs, classes), "close", hashes=True), sets, percent), "links", hashes=True)
+
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+
+    now = materialize(rooted(members, connected_components(links)), "rooted", hashes=True)
+    unlike = materialize(now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "unlike", hashes=True)
+    open_rows = materialize(now.join(unlike, "key").join(classes.select("c", "print"), "c"), "open", hashes=True)
+    groups = connected_components(_across(open_rows, "key", "print", _prints_close))
+    # every pair in question has both its members in open rows of one key
+    grouped = open_rows.select("c", "root").distinct().join(groups.select(F.col("node").alias("root"), F.col("root").alias("group")), "root").join(sets, "c")
+
+    def similar(left: list[bytes], right: list[bytes]) -> np.ndarray:
+        return linked(*([np.frombuffer(x, np.uint64) for x in side] for side in (left, right)), percent / 100)
+
+    more = materialize(_across(materialize(grouped, "grouped", hashes=True), "group", "held", similar), "more", hashes=True)
+    roots = connected_components(links.unionByName(more))
+    for x in (members, sets, now, open_rows):
+        drop_scratch(x)
+    return roots
 
 
 def minhash_components(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
