@@ -2,6 +2,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from tickweave.functions import features as ft
 from tickweave.functions.windows import Frame, in_blocks
 from tickweave.operators import bars, validate
@@ -71,9 +72,34 @@ def test_features_never_look_ahead(made):
     cut = ft.feature_matrix(made.where("bar_index < 120")).orderBy("bar_index").toPandas()
     pd.testing.assert_frame_equal(whole, cut)
     assert validate.looks_ahead(ft.feature_matrix(made)) == []
-    f = Frame()
-    assert validate.looks_ahead(made.withColumn("x", ft.F.lead("bid_close").over(f.ordered)))
-    assert validate.looks_ahead(made.withColumn("x", ft.F.max("bid_close").over(f.rows(1, 5))))
+
+
+def test_what_looks_ahead_is_found(made):
+    F, f = ft.F, Frame()
+    x, w = F.col("bid_close"), f.ordered
+    lags = [F.lag(x, n).over(w).alias(f"lag_{n}") for n in range(1, 40)]
+    ahead = {
+        "lead": F.lead(x).over(w),
+        "rows": F.max(x).over(f.rows(1, 5)),
+        "range": F.avg(x).over(w.rangeBetween(0, 5)),
+        "back": F.lag(x, -2).over(w),
+        "end": F.nth_value(x, 2).over(f.rows(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "all": F.sum(x).over(Window.partitionBy("symbol")),
+        "reversed": F.lag(x).over(Window.partitionBy("symbol").orderBy(F.desc("bar_index"))),
+        "share": F.percent_rank().over(w),
+        "time": F.expr("sum(bid_close) over (partition by symbol order by timestamp range between current row and interval 5 seconds following)"),
+    }
+    for name, column in ahead.items():
+        assert [t.split(":")[0] for t in validate.looks_ahead(made.select(*lags, column.alias(name)))] == [name]
+        nested = made.withColumn("t", x + column).select(*lags, "t", F.avg("t").over(f.roll(3)).alias("smooth"))
+        assert len(validate.looks_ahead(nested)) == 1
+    fine = [x + n + F.avg(x).over(f.rows(-n, 0)) for n in range(100)] + [F.sum(x).over(w), F.row_number().over(w), F.rank().over(w), F.avg(x).over(w.rangeBetween(-5, 0)), F.expr("sum(bid_close) over (partition by symbol order by timestamp range between interval 5 seconds preceding and current row)")]
+    assert validate.looks_ahead(made.select(*lags, *[c.alias(f"c{i}") for i, c in enumerate(fine)])) == []
+    planted = ft.feature_matrix(made.withColumn("bid_close", F.coalesce(F.lead(x).over(w), x)))
+    assert len(validate.looks_ahead(planted)) == 1
+    made.createOrReplaceTempView("made_bars")
+    below = made.sparkSession.sql("select * from made_bars where bid_close > (select avg(n) from (select lead(bid_close) over (partition by symbol order by bar_index) as n from made_bars))")
+    assert [t.split(":")[0] for t in validate.looks_ahead(below)] == ["n"]
 
 
 def test_feature_report(spark):

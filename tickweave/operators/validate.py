@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -96,9 +98,88 @@ def temporal_safety(rows: DataFrame) -> DataFrame:
     return joined.withColumn("is_safe", (F.col("n_repeated") == 0) & (F.col("n_backward") == 0))
 
 
+#: Window functions whose value depends on how many rows a partition has.
+_WHOLE = ("NTile", "PercentRank", "CumeDist")
+
+
+class _Node:
+    """A node of a plan or expression, from Spark's JSON of it: class name, fields, children."""
+
+    def __init__(self, fields: dict):
+        self.name, self.fields, self.children = fields["class"].rpartition(".")[2].rstrip("$"), fields, []
+
+
+def _trees(value) -> Iterator[_Node]:
+    """The trees in a JSON value. A tree is a list of its nodes, each before its children; fields hold further trees."""
+    if isinstance(value, dict):
+        for part in value.values():
+            yield from _trees(part)
+    elif isinstance(value, list) and value and all(isinstance(x, dict) and "num-children" in x for x in value):
+        nodes = [_Node(x) for x in value]
+        open_: list[tuple[_Node, int]] = []
+        for node in nodes:
+            while open_ and len(open_[-1][0].children) == open_[-1][1]:
+                open_.pop()
+            if open_:
+                open_[-1][0].children.append(node)
+            open_.append((node, node.fields["num-children"]))
+        yield nodes[0]
+        for node in nodes:
+            yield from _trees(node.fields)
+    elif isinstance(value, list):
+        for part in value:
+            yield from _trees(part)
+
+
+def _sign(bound: _Node) -> float:
+    """Of a frame's bound: below 0 for rows before the current one, above 0 for rows after it or where that can't be told."""
+    if bound.name in ("CurrentRow", "UnboundedPreceding", "UnboundedFollowing"):
+        return ("UnboundedPreceding", "CurrentRow", "UnboundedFollowing").index(bound.name) - 1.0
+    if bound.name == "UnaryMinus":
+        return -_sign(bound.children[0])
+    if bound.name == "Cast":
+        return _sign(bound.children[0])
+    text = str(bound.fields.get("value", ""))
+    numbers = re.findall(r"-?\d+(?:\.\d+)?", text)
+    if bound.name != "Literal" or not numbers:
+        return 1.0
+    return -1.0 if text.lstrip().startswith(("-", "INTERVAL '-")) else float(any(float(x) for x in numbers))
+
+
+def _ahead(window: _Node) -> str | None:
+    """What of a window expression reads rows after its own, if anything."""
+    function, spec = window.children
+    name = function.children[0].name if function.name == "AggregateExpression" else function.name
+    if name in _WHOLE:
+        return f"{name} of the whole partition"
+    *keys, frame = spec.children
+    order = [k for k in keys if k.name == "SortOrder"]
+    if frame.name != "SpecifiedWindowFrame":
+        return f"{name} over {frame.name}"
+    low, high = (_sign(b) for b in frame.children)
+    back = bool(order) and "Descending" in str(order[0].fields.get("direction"))
+    if (low < 0 if back else high > 0) or (not order and (low < 0 or high > 0)):
+        return f"{name} over a frame that reaches ahead"
+    return None
+
+
 def looks_ahead(df: DataFrame) -> list[str]:
-    """Window expressions of the plan that read rows after their own: `lead`, or a frame that ends beyond the current row."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    found = re.findall(r"lead\([^)]*\)|specifiedwindowframe\(RowFrame, [^,]+, (?:[1-9]\d*|unboundedfollowing\$\(\))\)", plan)
-    negative = re.findall(r"lag\([^,]+, [1-9]\d*,", plan)  # lag is stored as a negative offset; a positive one looks ahead
-    return found + negative
+    """What in the analysed plan reads rows after their own, as `column: what` (a window inside an expression has a name of the analyser's): windows with a bound ahead, be it of rows or of a range (`lead` and a
+    negative `lag` are such), over descending order with a bound behind, without an order, or with a value that depends on the whole partition.
+
+    All windows of the plan are looked at, those below other operators and in subqueries too. What Python functions, joins and
+    tables read from files do is not seen.
+    """
+    found = []
+
+    def walk(node: _Node, column: str) -> None:
+        if node.name == "Alias":
+            column = node.fields.get("name", column)
+        if node.name == "WindowExpression" and (what := _ahead(node)):
+            found.append(f"{column}: {what}")
+        for child in node.children:
+            walk(child, column)
+
+    for tree in _trees(json.loads(df._jdf.queryExecution().analyzed().toJSON())):
+        walk(tree, "?")
+    return found
