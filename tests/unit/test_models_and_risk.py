@@ -1,3 +1,6 @@
+import time
+import itertools
+import collections
 import dataclasses
 import hashlib
 import math
@@ -49,11 +52,78 @@ def test_simulations_equal_a_loop(spark):
     assert [tuple(r) for r in empty] == [(i, 100.0, 0.0, False, False) for i in range(3)]
 
 
-def test_resamples_weigh_like_poisson(spark):
-    drawn = spark.range(400).withColumnRenamed("id", "place").crossJoin(draws.resamples(spark, 200, 7)).select("place", "k", draws.poisson_weight(F.col("place")).alias("w"))
-    mean, var = drawn.agg(F.avg("w"), F.var_pop("w")).first()
-    sums = [r[0] for r in drawn.groupBy("k").agg(F.sum("w")).select("sum(w)").collect()]
-    assert abs(mean - 1) < 0.02 and abs(var - 1) < 0.03 and abs(np.std(sums) - 20) < 4
+def coefficients(spark, n, seed=7):
+    return np.array([tuple(r)[1:] for r in draws.resamples(spark, n, seed).orderBy("k").collect()], np.int64)
+
+
+@pytest.mark.parametrize("n", [1, 3, 40, 1000, 10**7])
+def test_weights_of_many_rows_are_poisson(spark, n):
+    w = draws.poisson_weights(coefficients(spark, 200), np.arange(400, dtype=np.int64) * n, n)
+    assert abs(w.mean() / n - 1) < 5 / math.sqrt(n * w.size) and abs(w.var() / n - 1) < 0.03
+    assert abs(np.std(w.sum(axis=0)) / math.sqrt(400 * n) - 1) < 0.2
+
+
+def test_larger_means_are_drawn_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(draws, "LARGEST_MEAN", 8)
+    w = draws.poisson_weights(coefficients(spark, 300), np.arange(300, dtype=np.int64) * 21, 21)
+    assert abs(w.mean() - 21) < 0.1 and abs(w.var() - 21) < 0.5
+    monkeypatch.undo()
+    low, shares = draws.poisson_table(5)
+    assert low == 0 and np.allclose(shares[:9], np.cumsum([math.exp(-5) * 5**k / math.factorial(k) for k in range(9)]), atol=1e-14)
+
+
+def weighted_statistics(spark, values, n, seed, name):
+    """The statistic of each resample, from a list of each value with its weights."""
+    known = np.unique(values)
+    before = np.array([sum(v < x for v in values) for x in known], np.int64)
+    many = [values.count(x) for x in known]
+    w = np.concatenate([draws.poisson_weights(coefficients(spark, n, seed), before[i : i + 1], m) for i, m in enumerate(many)])
+    out = []
+    for k in range(n):
+        sample = np.repeat(known, w[:, k])
+        out.append({"mean": np.mean, "median": np.median, "sharpe": lambda x: np.mean(x) / np.std(x) * math.sqrt(252)}[name](sample))
+    return out
+
+
+@pytest.mark.parametrize("name", ["mean", "median", "sharpe"])
+def test_statistics_of_resamples(spark, name):
+    rng = random.Random(4)
+    values = [float(rng.randrange(-3, 9)) for _ in range(150)] + [round(rng.gauss(0, 2), 3) for _ in range(60)]
+    got = stats.bootstrap_ci(log(spark, values), n_bootstrap=150, seed=7, statistic=name).first()
+    each = weighted_statistics(spark, values, 150, 7, name)
+    assert np.isclose(got.lower, np.quantile(each, 0.025)) and np.isclose(got.upper, np.quantile(each, 0.975))
+    assert np.isclose(got[name], {"mean": np.mean, "median": np.median, "sharpe": lambda x: np.mean(x) / np.std(x) * math.sqrt(252)}[name](values))
+    none = stats.bootstrap_ci(log(spark, values).limit(0), statistic=name).first()
+    assert none.lower is None and none[name] == (0.0 if name == "mean" else None)
+
+
+def test_two_values_in_many_rows(spark):
+    df = spark.range(10_000_000).select(F.when(F.col("id") % 4 == 0, 1.0).otherwise(-1.0).alias("pnl"))
+    start = time.time()
+    got = stats.bootstrap_ci(df, n_bootstrap=1000).first()
+    assert time.time() - start < 60
+    assert got.mean == -0.5 and abs((got.upper - got.lower) / (2 * 1.96 * math.sqrt(0.75 / 1e7)) - 1) < 0.1
+    with pytest.raises(ValueError):
+        stats.bootstrap_ci(df, statistic="mode")
+
+
+def test_exact_u_shares_against_enumeration():
+    for n1, n2 in ((1, 1), (2, 3), (4, 4), (3, 8), (8, 3), (5, 6)):
+        counts = collections.Counter(sum(1 for i in chosen for j in range(n1 + n2) if j not in chosen and j < i) for chosen in itertools.combinations(range(n1 + n2), n1))
+        want = [sum(c for u, c in counts.items() if u <= k) / math.comb(n1 + n2, n1) for k in range(n1 * n2 + 1)]
+        assert np.allclose(stats.u_shares(n1, n2), want, atol=1e-12)
+
+
+def test_small_samples_have_exact_p_values(spark):
+    a, b = [1.1, 2.5, 3.7, 4.2, 0.3], [0.5, 1.9, 2.2, 0.1, 0.2, 0.7, 0.25]
+    u = sum(x > y for x in a for y in b)
+    counts = collections.Counter(sum(1 for i in chosen for j in range(12) if j not in chosen and j < i) for chosen in itertools.combinations(range(12), 5))
+    upper, lower = (sum(c for k, c in counts.items() if f(k)) / math.comb(12, 5) for f in (lambda k: k >= u, lambda k: k <= u))
+    got = {alt: stats.mann_whitney(log(spark, a), log(spark, b), alternative=alt) for alt in stats.ALTERNATIVES}
+    assert got["greater"]["u"] == u and np.isclose(got["greater"]["p_value"], upper) and np.isclose(got["less"]["p_value"], lower)
+    assert np.isclose(got["two-sided"]["p_value"], min(1, 2 * min(upper, lower)))
+    tied = stats.mann_whitney(log(spark, a), log(spark, [1.1, *b]))
+    assert tied["method"] == "normal" and got["less"]["method"] == "exact"
 
 
 def test_value_places(spark, monkeypatch):

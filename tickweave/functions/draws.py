@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A prime: products of two numbers below it fit 63 bits.
 PRIME = 2_147_483_647
 
-#: P(Poisson(1) <= k) for k = 0, 1, ...; the rest is below 1e-9.
-_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892)
-
-#: Hashes up to these values give a weight of 0, 1, ...
-POISSON_STEPS = tuple(int(p * PRIME) for p in _POISSON)
+#: Poisson draws of a larger mean are sums of draws of this mean and of the rest.
+LARGEST_MEAN = 1 << 32
 
 
 def draw(*keys: Column | str | int) -> Column:
@@ -27,10 +27,31 @@ def resamples(spark, n: int, seed: int) -> DataFrame:
     return spark.range(n).select(k.alias("k"), *[(draw(k, j, seed) % PRIME).alias(f"c{j}") for j in range(4)])
 
 
-def poisson_weight(place: Column) -> Column:
-    """How often a resample of resamples() holds the row with this number, Poisson distributed with mean 1."""
-    x = place % PRIME
-    h = F.lit(0).cast("long")
+def polynomial(coefficients: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of resamples (rows c0 .. c3) at places: a row for each place, numbers below PRIME."""
+    x, h = (place % PRIME)[:, None], np.zeros((len(place), len(coefficients)), np.int64)
     for j in (3, 2, 1, 0):
-        h = (h * x + F.col(f"c{j}")) % PRIME
-    return sum(((h > step).cast("int") for step in POISSON_STEPS), F.lit(0))
+        h = (h * x + coefficients[:, j]) % PRIME
+    return h
+
+
+@lru_cache(64)
+def poisson_table(mean: int) -> tuple[int, np.ndarray]:
+    """(lowest, shares): P(Poisson(mean) <= lowest + i), over all that lies within ten deviations."""
+    wide = 10 * mean**0.5 + 30
+    low, high = max(0, int(mean - wide)), int(mean + wide)
+    steps = np.concatenate([[0.0], np.log(mean) - np.log(np.arange(low + 1, high + 1, dtype=np.float64))])
+    logs = np.cumsum(steps)
+    shares = np.cumsum(np.exp(logs - logs.max()))
+    return low, shares / shares[-1]
+
+
+def poisson_weights(coefficients: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """How often each resample holds each of several values that n rows have each: Poisson(n) draws by inversion, one for a value and
+    resample. place is the number of the first of a value's rows among all, in order of values."""
+    out, part = np.zeros((len(place), len(coefficients)), np.int64), 0
+    while n > 0:  # n independent draws of mean 1 add up to one of mean n
+        low, shares = poisson_table(min(n, LARGEST_MEAN))
+        out += low + np.searchsorted(shares, (polynomial(coefficients, place + part) + 0.5) / PRIME)
+        n, part = n - LARGEST_MEAN, part + 1
+    return out

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.search import DOWN, NONE, UP, first_reach
+from ..functions.stored import stored
 from ..functions.windows import Frame, in_blocks
 from .bars import average_duration
 from .session import SessionCalendar
@@ -70,7 +72,8 @@ def suggest_distances(bars: DataFrame, horizon: int, tick_size: float, tp_quanti
     A tick is tick_size, or a tenth of pip_size where that is given. legacy takes a tick_size of 1e-4 or more for a pip:
     ticks are counted in tenths of it, but priced at tick_size each.
     """
-    q = excursions(bars, horizon).groupBy("symbol").agg(F.percentile("mfe", F.lit(tp_quantile)).alias("mfe_q"), F.percentile("mae", F.lit(tp_quantile if sl_quantile is None else sl_quantile)).alias("mae_q"))
+    reach = stored(excursions(bars, horizon).select("symbol", "mfe", "mae"), "excursions")  # read by several passes
+    q = exact_quantiles(reach, {"mfe_q": ("mfe", tp_quantile), "mae_q": ("mae", tp_quantile if sl_quantile is None else sl_quantile)}, ("symbol",))
     price = tick_size if pip_size is None else pip_size / 10
     unit = price / 10 if legacy and pip_size is None and tick_size >= 1e-4 else price
     ticks = lambda c: F.coalesce(F.greatest(F.lit(LEAST_TICKS), (c / unit).cast("int")), F.lit(default_ticks))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import features as ft
-from .functions.draws import POISSON_STEPS, PRIME
+from .functions.draws import PRIME
 from .functions.stored import scratch_path, stored
 from .functions.windows import in_blocks
 from .operators import backtest, bars, clean, folds, forest, joins, labeling, performance, regimes, risk, signals, stats, validate
@@ -496,13 +496,24 @@ _add(
     f"x as (select avg((c <= 90)::int) as prob_ruin, avg((c >= 105)::int) as prob_target, avg(c) as mean_final_capital, avg(dd) as mean_max_dd from e) select {_cols([], RISK)} from x",
 )
 _add("prop_firm", lambda s, d: risk.prop_firm(risk.monte_carlo(_trades(s, d), 1000, 100, 100.0)).select("viable"), _ALL["monte_carlo"][1].rsplit(" select ", 1)[0] + " select prob_ruin < 0.05 and prob_target > 0.3 as viable from x")
-_WEIGHT = " + ".join(f"(h > {step})::int" for step in POISSON_STEPS)
-_add(
-    "bootstrap_ci",
-    lambda s, d: _out(stats.bootstrap_ci(_labels(s, d)), [], ["lower", "upper", "mean"]),
-    f"with {_sql_bars()}, {_LABELS}, r as (select pnl, row_number() over (order by pnl) - 1 as i from labels), rs as (select range as k, " + ", ".join(f"{_draw('range', j, 42)} % {PRIME} as c{j}" for j in range(4)) + f" from range(1000)), h as (select k, pnl, ((((c3 * i + c2) % {PRIME}) * i + c1) % {PRIME} * i + c0) % {PRIME} as h from r, rs), "
-    f"w as (select k, pnl, {_WEIGHT} as w from h), m as (select sum(w * pnl) / sum(w) as m from w group by k), x as (select quantile_cont(m, 0.025) as lower, quantile_cont(m, 0.975) as upper, (select avg(pnl) from labels) as mean from m) select {_cols([], ['lower', 'upper', 'mean'])} from x",
+# a value's weight is the number of Poisson(n) shares below its draw
+_WEIGHED = (
+    f"v as (select pnl as x, count(*) as n, sum(count(*)) over (order by pnl) - count(*) as i from labels group by pnl), rs as (select range as k, " + ", ".join(f"{_draw('range', j, 42)} % {PRIME} as c{j}" for j in range(4)) + f" from range(1000)), "
+    "cdf as (select n, list(c order by j) as cs from (select n, j, sum(p) over (partition by n order by j) as c from (select n, j.range as j, exp(j.range * ln(n) - n - lgamma(j.range + 1)) as p from (select distinct n from v), range(0, 2000) j where j.range <= n + 10 * sqrt(n) + 30)) group by n), "
+    f"h as (select k, x, n, ((((c3 * i + c2) % {PRIME}) * i + c1) % {PRIME} * i + c0) % {PRIME} as h from v, rs), w as materialized (select k, x, len(list_filter(cs, lambda c: c < (h + 0.5) / {PRIME})) as w from h join cdf using (n))"
 )
+_BOUNDS = "x as (select quantile_cont(m, 0.025) as lower, quantile_cont(m, 0.975) as upper, (select {whole} from labels) as {name} from m)"
+_SHARPE = "case when stddev_pop(pnl) > 0 then avg(pnl) / stddev_pop(pnl) * sqrt(252) end"
+for _name, _m, _whole in (
+    ("mean", "select sum(w * x) / sum(w) as m from w group by k", "avg(pnl)"),
+    ("sharpe", "select sum(w * x) / sum(w) / sqrt(sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2)) * sqrt(252) as m from w group by k", _SHARPE),
+    ("median", "select (max(case when upto - w <= floor((t - 1) / 2) and floor((t - 1) / 2) < upto then x end) + max(case when upto - w <= ceil((t - 1) / 2) and ceil((t - 1) / 2) < upto then x end)) / 2 as m from (select *, sum(w) over (partition by k order by x) as upto, sum(w) over (partition by k) as t from w) group by k", "median(pnl)"),
+):
+    _add(
+        "bootstrap_ci" if _name == "mean" else f"bootstrap_{_name}",
+        lambda s, d, name=_name: _out(stats.bootstrap_ci(_labels(s, d), statistic=name), [], ["lower", "upper", name]),
+        f"with {_sql_bars()}, {_LABELS}, {_WEIGHED}, m as ({_m}), {_BOUNDS.format(whole=_whole, name=_name)} select {_cols([], ['lower', 'upper', _name])} from x",
+    )
 
 
 def queries() -> dict[str, Query]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.prefix import with_prefix
+from ..functions.quantiles import exact_quantiles
 from ..operators.clean import cast_timestamp
 from ..operators.validate import SchemaReport, schema_report
 from ..schema import nan_to_null
@@ -101,7 +102,8 @@ def profile(ticks: DataFrame) -> DataFrame:
 
 def spread_profile(ticks: DataFrame) -> DataFrame:
     s = F.col("askPrice") - F.col("bidPrice")
-    return ticks.agg(F.count(s).alias("n"), F.min(s).alias("low"), F.max(s).alias("high"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.count_if(s == 0).alias("n_zero"))
+    rows = ticks.agg(F.count(s).alias("n"), F.min(s).alias("low"), F.max(s).alias("high"), F.avg(s).alias("mean"), F.count_if(s == 0).alias("n_zero"))
+    return rows.join(F.broadcast(exact_quantiles(ticks, {"median": (s, 0.5)}))).select("n", "low", "high", "mean", "median", "n_zero")  # one row each
 
 
 def synthetic_ticks(spark: SparkSession, n: int, seed: int = 42, symbol: str = "SYN", start: str = "2024-01-01 00:00:00") -> DataFrame:
