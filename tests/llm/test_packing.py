@@ -25,7 +25,7 @@ def test_ids_equal_those_of_tokenizers():
 def test_evolution_keeps_every_item_and_never_gets_worse():
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 1500, 400)
-    first = packing._random_packing(rng, lengths, 2048)
+    first = packing._packing(rng.permutation(len(lengths)), lengths, 2048)
     out = packing.evolve(lengths, [first], 1, 2048, generations=30)
     for m in [*out, packing.crossover(rng, out[0], first, lengths, 2048)]:
         assert (m >= 0).all() and np.bincount(m, lengths).max() <= 2048
@@ -69,15 +69,39 @@ def test_small_packings_are_optimal():
         assert islands(lengths, 100, 1000 * seed)[1] == fewest_bins(lengths.tolist(), 100)
 
 
-def test_crossovers_do_the_work(monkeypatch):
-    lengths = np.random.default_rng(8).integers(20, 1400, 2000)
-    least = -(-int(lengths.sum()) // 2048)
-    start, end = islands(lengths, 2048, 1)
-    assert start >= least + 5 and end <= least + 1
-    calls = []
-    monkeypatch.setattr(packing, "crossover", lambda rng, mother, *rest: calls.append(1) or mother)
-    assert islands(lengths, 2048, 1) == (start, start)
-    assert len(calls) == packing.ISLANDS * packing.EPOCHS * packing.GENERATIONS
+def plain(lengths, capacity=2048):
+    return int(packing.best_fit_decreasing(lengths, capacity).max()) + 1
+
+
+def test_never_worse_than_best_fit_decreasing_and_better_by_injection(monkeypatch):
+    draw = np.random.default_rng(0).integers
+    sets = {"even": draw(600, 1101, 3000), "wide": draw(300, 1501, 3000), "any": draw(20, 1400, 2000), "small": draw(1, 40, 500)}
+    saved = {name: plain(x) - islands(x, 2048, 1)[1] for name, x in sets.items()}
+    assert min(saved.values()) >= 0 and saved["even"] >= 10
+    moved = []
+
+    def nothing_injected(rng, mother, father, lengths, capacity):
+        moved.append(1)
+        return mother  # without an injected bin nothing is displaced
+
+    monkeypatch.setattr(packing, "crossover", nothing_injected)
+    assert islands(sets["even"], 2048, 1)[1] == plain(sets["even"])
+    assert len(moved) == packing.ISLANDS * packing.EPOCHS * packing.GENERATIONS
+
+
+def test_a_crossover_injects_whole_bins_and_displaces_only_what_meets_them():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(100, 1000, 300)
+    mother, father = (packing._packing(rng.permutation(300), lengths, 2048) for _ in "ab")
+    child = packing.crossover(rng, mother, father, lengths, 2048)
+    groups = lambda m: {frozenset(np.flatnonzero(m == b).tolist()) for b in range(m.max() + 1)}
+    well = {frozenset(np.flatnonzero(father == b).tolist()) for b in np.flatnonzero(packing._well_filled(father, lengths))}
+    injected = well & groups(child)
+    assert len(injected) >= len(well) / 2
+    items = frozenset().union(*injected)
+    # bins of mother that no injected item met are whole; best fit may have added to them
+    whole = [g for g in groups(mother) if not g & items]
+    assert whole and all(any(g <= c for c in groups(child)) for g in whole)
 
 
 def test_packing_round_trip(spark, monkeypatch):
