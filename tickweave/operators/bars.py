@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chains import Steps, along_chain
 from ..functions.prefix import with_prefix
+from ..functions.scans import affine_scan
+from ..functions.windows import spread_blocks
 
 KINDS = ("tick", "volume", "dollar", "volume_cum")
 
@@ -122,6 +124,21 @@ def build_bars(ticks: DataFrame, spec: BarSpec) -> DataFrame:
     return {"tick": tick_bars, "volume": reset_bars, "dollar": reset_bars, "volume_cum": cumulative_bars}[spec.kind](ticks, spec)
 
 
+def heikin_ashi(bars: DataFrame, side: str = "bid", size: int | None = None) -> DataFrame:
+    """bars with ha_open, ha_high, ha_low, ha_close of a side's prices (side None: columns without a prefix).
+
+    The close is the mean of a bar's four prices; the open is the middle of the last Heikin-Ashi bar's open and close, at first of the bar's own;
+    high and low reach to both. A symbol's bars are needed in order, in blocks of `size` that don't change the result.
+    """
+    o, h, low, c = (F.col(f"{side}_{x}" if side else x) for x in ("open", "high", "low", "close"))
+    by = Window.partitionBy("symbol", "_block").orderBy("bar_index")
+    # the close before a bar lies in its own block, or in the margin of one row that is copied to it
+    spread = spread_blocks(bars.withColumn("ha_close", (o + h + low + c) / 4), 1, 0, size)
+    before = spread.withColumn("_before", F.lag("ha_close").over(by)).where("_own").drop("_own", "_block")
+    opened = affine_scan(before, "bar_index", F.lit(0.5), F.coalesce(F.col("_before") / 2, (o + c) / 2), "ha_open", size).drop("_before")
+    return opened.withColumns({"ha_high": F.greatest(h, "ha_open", "ha_close"), "ha_low": F.least(low, "ha_open", "ha_close")})
+
+
 def average_duration(bars: DataFrame) -> DataFrame:
     """symbol, seconds: (last - first timestamp) / number of bars; 60 where there is one bar."""
     span = (F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))) / 1e6

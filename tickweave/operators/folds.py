@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import sys
 from itertools import combinations
 from math import comb
 
@@ -49,12 +50,30 @@ def n_combinations(n_groups: int, n_test: int, limit: int | None = None) -> int:
     return min(comb(n_groups, n_test), limit or comb(n_groups, n_test))
 
 
+def combination_at(place: int, n_groups: int, n_test: int) -> tuple[int, ...]:
+    """The choice of n_test of n_groups at this place in lexicographic order."""
+    out, group = [], 0
+    for left in range(n_test, 0, -1):
+        while place >= (after := comb(n_groups - group - 1, left - 1)):  # choices that begin with this group
+            place, group = place - after, group + 1
+        out.append(group)
+        group += 1
+    return tuple(out)
+
+
 def cpcv_combinations(n_groups: int, n_test: int, limit: int | None = None, seed: int = 42) -> list[tuple[int, ...]]:
-    """Every choice of n_test groups, or a seeded sample of them in order."""
-    every = list(combinations(range(n_groups), n_test))
-    if limit and limit < len(every):
-        every = [every[i] for i in sorted(random.Random(seed).sample(range(len(every)), limit))]
-    return every
+    """Every choice of n_test groups, or a seeded sample of them in order; a sample is made from drawn places, without listing all."""
+    total = comb(n_groups, n_test)
+    if not limit or limit >= total:
+        return list(combinations(range(n_groups), n_test))
+    rng = random.Random(seed)
+    if total <= sys.maxsize:
+        places = rng.sample(range(total), limit)
+    else:
+        places = set()
+        while len(places) < limit:
+            places.add(rng.randrange(total))
+    return [combination_at(i, n_groups, n_test) for i in sorted(places)]
 
 
 def cpcv_folds(rows: DataFrame, n_groups: int, n_test: int, embargo: int = 0, limit: int | None = None, purge: str = "envelope", seed: int = 42) -> DataFrame:

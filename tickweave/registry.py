@@ -203,6 +203,15 @@ _add("stream_tick_bars", lambda s, d: _bar_out(replayed_bars(_by_type(s, d), TEN
 _add("stream_volume_bars", lambda s, d: _bar_out(replayed_bars(_ticks(s, d), bars.BarSpec("volume", 900))), _ALL["volume_bars"][1])
 _add("bar_duration", lambda s, d: _out(bars.average_duration(_bars(s, d)), ["symbol"], ["seconds"]), f"with {_sql_bars()} select symbol, (round(((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6) / count(*), 6) + 0::double) as seconds from bars group by 1")
 
+_HA = ["ha_open", "ha_high", "ha_low", "ha_close"]
+_add(
+    "heikin_ashi_bars",
+    lambda s, d: _out(bars.heikin_ashi(_bars(s, d)), ["symbol", "bar_index"], _HA),
+    f"with recursive {_sql_bars()}, c as materialized (select symbol, bar_index, bid_open as o, bid_high as h, bid_low as l, (bid_open + bid_high + bid_low + bid_close) / 4 as ha_close, (bid_open + bid_close) / 2 as first from bars), "
+    "walk as (select bar_index, first as ha_open, ha_close from c where bar_index = 0 union all select c.bar_index, (w.ha_open + w.ha_close) / 2, c.ha_close from walk w join c on c.bar_index = w.bar_index + 1), "
+    f"x as (select symbol, bar_index, w.ha_open, w.ha_close, greatest(h, w.ha_open, w.ha_close) as ha_high, least(l, w.ha_open, w.ha_close) as ha_low from walk w join c using (bar_index)) select {_cols(['symbol', 'bar_index'], _HA)} from x",
+)
+
 _DETAIL = ["midPrice_first", "midPrice_last", "midPrice_mean", "spread_min", "spread_max"]
 _add(
     "legacy_bid_ask_bars",
@@ -450,6 +459,27 @@ def _two(spark, d):
 
 _add("t_test_stat", lambda s, d: _out(stats.t_statistic(*_two(s, d)), ["n1", "n2", "df"], ["mean1", "mean2", "t"]), f"with {_sql_bars()}, {_LABELS}, x as (select count(*) filter (m) as n1, count(*) filter (not m) as n2, avg(pnl) filter (m) as mean1, avg(pnl) filter (not m) as mean2, var_samp(pnl) filter (m) as v1, var_samp(pnl) filter (not m) as v2 from (select pnl, bar_index_start % 2 = 0 as m from labels)), y as (select *, n1 + n2 - 2 as df, (mean1 - mean2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) as t from x) select {_cols(['n1', 'n2', 'df'], ['mean1', 'mean2', 't'])} from y")
 _add("mann_whitney_u", lambda s, d: _out(stats.mann_whitney_statistic(*_two(s, d)), ["n1", "n2"], ["u", "median1", "median2"]), f"with {_sql_bars()}, {_LABELS}, v as (select pnl, bar_index_start % 2 = 0 as m from labels), r as (select m, pnl, rank() over (order by pnl) + (count(*) over (partition by pnl) - 1) / 2.0 as rk from v), x as (select count(*) filter (m) as n1, count(*) filter (not m) as n2, sum(rk) filter (m) - count(*) filter (m) * (count(*) filter (m) + 1) / 2.0 as u, median(pnl) filter (m) as median1, median(pnl) filter (not m) as median2 from r) select {_cols(['n1', 'n2'], ['u', 'median1', 'median2'])} from x")
+
+
+def _exact_u(spark, d):
+    """Mean pnl by the weekday of a label's start against mean pnl by its hour: few values from all labels."""
+    labels = stored(_labels(spark, d), "labels")
+    one, other = (labels.groupBy(F.date_format("event_start", k)).agg(F.avg("pnl").alias("pnl")) for k in ("E", "H"))
+    got = {k: stats.mann_whitney(one, other, alternative=k) for k in stats.ALTERNATIVES}
+    rows = [(k, v["u"], v["p_value"], v["method"]) for k, v in got.items()]
+    return _out(spark.createDataFrame(rows, "alternative string, u double, p_value double, method string"), ["alternative", "method"], ["u", "p_value"])
+
+
+_add(
+    "mann_whitney_exact",
+    _exact_u,
+    f"with recursive {_sql_bars()}, {_LABELS}, v as materialized (select true as m, avg(pnl) as x from labels group by isodow(event_start) union all select false, avg(pnl) from labels group by hour(event_start)), "
+    "n as (select count(*) filter (m) as n1, count(*) filter (not m) as n2, count(*) > count(distinct x) as tied from v), o as (select sum((a.x > b.x)::int + 0.5 * (a.x = b.x)::int) as u from v a, v b where a.m and not b.m), "
+    # ways(i, k, u): how many orders of k of the first sample among i values have U = u
+    "ways as (select 0 as i, 0 as k, 0 as u, 1::double as c union all select i, k, u, sum(c) from (select i + 1 as i, k, u, c from ways, n where i < n1 + n2 union all select i + 1, k + 1, u + i - k, c from ways, n where i < n1 + n2 and k < n1) group by i, k, u), "
+    "s as (select w.u, c / sum(c) over () as p from ways w, n where i = n1 + n2 and k = n1), t as (select sum(p) filter (s.u >= o.u) as upper, sum(p) filter (s.u <= o.u) as lower, any_value(o.u) as u from s, o), "
+    f"x as (select unnest(['two-sided', 'greater', 'less']) as alternative, case when tied then 'normal' else 'exact' end as method, u, unnest([least(1, 2 * least(upper, lower)), upper, lower]) as p_value from t, n) select {_cols(['alternative', 'method'], ['u', 'p_value'])} from x",
+)
 _add("classification_metrics", lambda s, d: _out(performance.classification(labeling.decided(_labels(s, d)).withColumn("prediction", F.when(F.col("bar_index_start") % 3 == 0, 1).otherwise(-1))), ["n"], ["accuracy", "precision", "recall", "f1"]), f"with {_sql_bars()}, {_LABELS}, v as (select label, case when bar_index_start % 3 = 0 then 1 else -1 end as p from labels where label <> 0), x as (select count(*) as n, avg((label = p)::int) as accuracy, count_if(label = 1 and p = 1) / count_if(p = 1) as precision, count_if(label = 1 and p = 1) / count_if(label = 1) as recall, 2 * count_if(label = 1 and p = 1) / (count_if(p = 1) + count_if(label = 1)) as f1 from v) select {_cols(['n'], ['accuracy', 'precision', 'recall', 'f1'])} from x")
 
 
