@@ -5,8 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tickweave.functions import search, windows
-from tickweave.operators import backtest, bars, folds, validate
+from tickweave.functions import chains, search, windows
+from tickweave.operators import bars, folds, validate
 
 from .test_bars import START
 
@@ -53,35 +53,17 @@ def test_first_reach_matches_a_loop(spark, monkeypatch, seed, block):
 
 @pytest.mark.parametrize("threshold", [0.3, 1.0, 7.7, 1e9])
 def test_reset_bars_equal_a_loop_over_ticks(threshold):
-    rng = np.random.default_rng(3)
-    amounts = rng.choice([0.1, 0.2, 0.7, 0.0, np.nan, 2.5], 3000)
-    symbols = np.sort(rng.choice(["A", "B", "C"], 3000)).tolist()
-    want, now, bar, held = [], object(), 0, 0.0
-    for s, x in zip(symbols, amounts.tolist()):
-        if s != now:
-            now, bar, held = s, 0, 0.0
+    """Sums of tenths, where rounding decides whether a threshold is met."""
+    amounts = np.random.default_rng(3).choice([0.1, 0.2, 0.7, 0.0, np.nan, 2.5], 3000)
+    want, bar, held = [], 0, 0.0
+    for x in amounts.tolist():
         want.append(bar)
         held += 0.0 if x != x else x
         if held >= threshold:
             bar, held = bar + 1, 0.0
-    for size in (1, 17, 3000):
-        batches = [pa.record_batch([pa.array(symbols[a : a + size]), pa.array(amounts[a : a + size], from_pandas=True)], names=["symbol", "_amount"]) for a in range(0, 3000, size)]
-        assert [x for b in bars._reset_index(threshold)(iter(batches)) for x in b.column("bar_index").to_pylist()] == want
-
-
-def test_free_entries_equal_a_loop():
-    rng = random.Random(4)
-    rows = [(s, e, e + rng.randrange(1, 30)) for s in ("A", "B", None) for e in sorted(rng.sample(range(500), 120))]
-    want, now, free = [], object(), -1
-    for s, entry, out in rows:
-        if s != now:
-            now, free = s, -1
-        if entry > free:
-            want.append((s, entry))
-            free = out
-    for size in (1, 50, 360):
-        batches = [pa.RecordBatch.from_pylist([dict(zip(("symbol", "entry_bar", "exit_bar"), r)) for r in rows[a : a + size]], pa.schema([("symbol", pa.string()), ("entry_bar", pa.int64()), ("exit_bar", pa.int64())])) for a in range(0, len(rows), size)]
-        assert [(r["symbol"], r["entry_bar"]) for b in backtest._take_free(iter(batches)) for r in b.to_pylist()] == want
+    steps = bars._reset_steps(threshold)(pa.table({"_amount": amounts}))
+    taken = np.isin(np.arange(3000), chains.taken_rows(steps, threshold))
+    assert (np.cumsum(taken) - taken).tolist() == want
 
 
 def test_temporal_safety_across_blocks(spark, monkeypatch):

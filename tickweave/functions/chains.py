@@ -22,13 +22,18 @@ BLOCK = 65_536
 
 
 class Steps(NamedTuple):
-    """Of a block's rows in order: level, the state after taking each, how much lower states are for the next block, and the highest state
-    that a chain may come with."""
+    """Of a block's rows in order: level, the state after taking each, how much lower states are for the next block, the highest state
+    that a chain may come with, and the row taken after each, where levels don't say it exactly (their number: none in this block)."""
 
     level: np.ndarray
     after: np.ndarray
     shift: float
     highest: float = np.inf
+    jump: np.ndarray | None = None
+
+    @property
+    def jumps(self) -> np.ndarray:
+        return np.searchsorted(self.level, self.after) if self.jump is None else self.jump
 
 
 class Pieces(NamedTuple):
@@ -42,7 +47,7 @@ class Pieces(NamedTuple):
 def pieces(steps: Steps) -> Pieces:
     """What a block does to every state up to the highest."""
     n, level = len(steps.level), steps.level
-    jump = np.append(np.searchsorted(level, steps.after), n)
+    jump = np.append(steps.jumps, n)
     last, count = np.where(jump < n, jump, np.arange(n + 1)), (jump < n).astype(np.int64)
     while True:  # where the chain from each row ends within the block, by doubling
         further = last[last]
@@ -60,7 +65,7 @@ def pieces(steps: Steps) -> Pieces:
 def taken_rows(steps: Steps, state: float) -> np.ndarray:
     """The rows that a chain takes which enters the block in this state."""
     out, at, n = [], int(np.searchsorted(steps.level, state)), len(steps.level)
-    jump = np.searchsorted(steps.level, steps.after).tolist()
+    jump = steps.jumps.tolist()
     while at < n:
         out.append(at)
         at = jump[at]

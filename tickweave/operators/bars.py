@@ -94,18 +94,41 @@ def tick_bars(ticks: DataFrame, spec: BarSpec) -> DataFrame:
     return bars if spec.keep_partial else bars.where(F.col("tick_count") == n)
 
 
+def _ends(amounts: np.ndarray, sums: np.ndarray, threshold: float) -> np.ndarray:
+    """For each tick, the one that ends the bar which begins behind it; the number of ticks where none does.
+
+    Found in running sums. Where those come so near to the threshold that rounding decides, the bar's own sum is taken.
+    """
+    n, level = len(sums), np.maximum.accumulate(sums)
+    out = np.searchsorted(level, sums + threshold)
+    rounding = 4.0 * n * np.finfo(float).eps * (abs(sums).max() + threshold)
+    gap = np.minimum(abs(level[np.minimum(out, n - 1)] - sums - threshold), abs(level[np.maximum(out - 1, 0)] - sums - threshold))
+    for i in np.flatnonzero(gap <= rounding).tolist():
+        stop = int(out[i]) + 2
+        while True:
+            reached = np.add.accumulate(amounts[i + 1 : stop]) >= threshold
+            if reached.any() or stop >= n:
+                break
+            stop += stop - i
+        out[i] = i + 1 + int(reached.argmax()) if reached.any() else n
+    return out
+
+
 def _reset_steps(threshold: float):
     """A bar ends with the tick that brings its amount to the threshold, then the sum starts anew; missing amounts count as 0."""
 
     def steps(block: pa.Table) -> Steps:
-        sums = np.cumsum(np.nan_to_num(block["_amount"].combine_chunks().fill_null(0.0).to_numpy(zero_copy_only=False)))
-        return Steps(np.maximum.accumulate(sums), sums + threshold, float(sums[-1]), threshold)
+        amounts = np.nan_to_num(block["_amount"].combine_chunks().fill_null(0.0).to_numpy(zero_copy_only=False))
+        sums = np.cumsum(amounts)
+        return Steps(np.maximum.accumulate(sums), sums + threshold, float(sums[-1]), threshold, _ends(amounts, sums, threshold))
 
     return steps
 
 
 def reset_bars(ticks: DataFrame, spec: BarSpec) -> DataFrame:
-    """Volume and dollar bars. Where a bar ends depends on where the last one did: a chain through the ticks, walked in blocks."""
+    """Volume and dollar bars. Where a bar ends depends on where the last one did: a chain through the ticks, walked in blocks.
+
+    A bar's sum is added up tick by tick, as a loop would; a bar that lies in two blocks adds up the sums of both parts."""
     if not {"bidVolume", "askVolume"} <= set(ticks.columns):
         return tick_bars(ticks, spec)
     v = F.col("bidVolume") + F.col("askVolume") if spec.kind == "volume" else F.col("bidPrice") * F.col("bidVolume") + F.col("askPrice") * F.col("askVolume")

@@ -1,4 +1,4 @@
-"""Cross-validation folds as tables (fold_id, row_idx, role), role being train or test."""
+"""Cross-validation folds as ranges of rows (fold_id, role, first, last), role being train or test, spelled out as (fold_id, row_idx, role) where rows are asked for."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import sys
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import with_prefix
@@ -20,18 +20,30 @@ def numbered(rows: DataFrame, order: tuple[str, ...] = ("timestamp",), ties: tup
     return with_prefix(rows.withColumn("_all", F.lit(0)), index="row_idx", keys=("_all",), order=by).drop("_all")
 
 
+#: Rows that one array holds when ranges are spelled out.
+STRETCH = 65_536
+
+
+def rows_of(ranges: DataFrame) -> DataFrame:
+    """(fold_id, row_idx, role) of ranges (fold_id, role, first, last); a long range becomes many tasks' rows, not one array."""
+    starts = ranges.select("fold_id", "role", "last", F.explode(F.sequence("first", "last", F.lit(STRETCH).cast("long"))).alias("first"))
+    return starts.select("fold_id", F.explode(F.sequence("first", F.least("last", F.col("first") + STRETCH - 1))).alias("row_idx"), "role")
+
+
+def time_series_ranges(spark: SparkSession, total: int, n_splits: int, test_size: int | None = None, gap: int = 0) -> DataFrame:
+    """(fold_id, role, first, last): of rows numbered from 0, tests are the last n_splits blocks of test_size in order; what comes before a
+    block, but for a gap, trains it."""
+    size = test_size or total // (n_splits + 1)
+    starts = [total - (n_splits - i) * size for i in range(n_splits)]
+    if size < 1 or starts[0] - gap <= 0:
+        raise ValueError(f"too few rows for {n_splits} splits: {total}")
+    parts = [(i, role, a, b) for i, at in enumerate(starts) for role, a, b in (("train", 0, at - gap - 1), ("test", at, at + size - 1))]
+    return spark.createDataFrame(parts, "fold_id int, role string, first long, last long")
+
+
 def time_series_folds(rows: DataFrame, n_splits: int, test_size: int | None = None, gap: int = 0) -> DataFrame:
-    """Tests are the last n_splits blocks of test_size rows in order; what comes before a block, but for a gap, trains it."""
-    rows = stored(rows.select("row_idx"), "rows")
-    total = rows.agg(F.count("*").alias("total"))
-    size = F.lit(test_size) if test_size else F.floor(F.col("total") / (n_splits + 1))
-    folds = rows.sparkSession.range(n_splits).select(F.col("id").cast("int").alias("fold_id")).join(F.broadcast(total))  # n_splits rows, one row
-    folds = folds.withColumn("size", size.cast("long")).withColumn("start", F.col("total") - (n_splits - F.col("fold_id")) * F.col("size"))
-    if (short := folds.where(f"start - {gap} <= 0 OR size < 1").first()) is not None:
-        raise ValueError(f"too few rows for {n_splits} splits: {short['total']}")
-    at = F.col("row_idx")
-    role = F.when((at >= F.col("start")) & (at < F.col("start") + F.col("size")), "test").when(at < F.col("start") - gap, "train")
-    return rows.select("row_idx").join(F.broadcast(folds)).select("fold_id", "row_idx", role.alias("role")).where("role IS NOT NULL")
+    """time_series_ranges() of so many rows, spelled out."""
+    return rows_of(time_series_ranges(rows.sparkSession, rows.count(), n_splits, test_size, gap))
 
 
 def group_of(row_idx, total, n_groups: int):
@@ -76,36 +88,97 @@ def cpcv_combinations(n_groups: int, n_test: int, limit: int | None = None, seed
     return [combination_at(i, n_groups, n_test) for i in sorted(places)]
 
 
-def cpcv_folds(rows: DataFrame, n_groups: int, n_test: int, embargo: int = 0, limit: int | None = None, purge: str = "envelope", seed: int = 42) -> DataFrame:
-    """Combinatorial purged folds of rows (row_idx, start_idx, end_idx).
+def group_ranges(total: int, n_groups: int) -> list[tuple[int, int]]:
+    """First and last row of each block of group_of(); of those that have rows."""
+    small, more = divmod(total, n_groups)
+    firsts = [i * small + min(i, more) for i in range(n_groups + 1)]
+    return [(a, b - 1) for a, b in zip(firsts, firsts[1:], strict=False) if b > a]
+
+
+def _outside(taken: list[tuple[int, int]], total: int) -> list[tuple[int, int]]:
+    """What ranges of rows leave of 0 .. total - 1."""
+    out, at = [], 0
+    for first, last in sorted(taken):
+        if first > at:
+            out.append((at, min(first, total) - 1))
+        at = max(at, last + 1)
+    return [*out, (at, total - 1)] if at < total else out
 
-    Train rows within `embargo` rows after a run of test rows are left out, then those whose [start_idx, end_idx] meets the
-    labels of the test rows: one envelope over all of them, or (`per_run`) one for each run. Folds without a train or a test
-    row are left out.
+
+def _runs(groups: tuple[int, ...]) -> list[list[int]]:
+    """Neighbouring groups together."""
+    out: list[list[int]] = []
+    for g in groups:
+        if out and out[-1][-1] == g - 1:
+            out[-1].append(g)
+        else:
+            out.append([g])
+    return out
+
+
+def _require_order(rows: DataFrame) -> None:
+    blocked = rows.select("row_idx", "start_idx", F.floor(F.col("row_idx") / STRETCH).alias("_block"))
+    back = blocked.withColumn("back", F.lag("start_idx").over(Window.partitionBy("_block").orderBy("row_idx")) > F.col("start_idx"))
+    edges = back.groupBy("_block").agg(F.max("back").alias("back"), F.min_by("start_idx", "row_idx").alias("first"), F.max_by("start_idx", "row_idx").alias("last"))
+    over = F.lag("last").over(Window.orderBy("_block")) > F.col("first")  # a row for each block
+    if not edges.withColumn("over", over).where("back or over").isEmpty():
+        raise ValueError("rows must be numbered in order of start_idx")
+
+
+def cpcv_ranges(rows: DataFrame, n_groups: int, n_test: int, embargo: int = 0, limit: int | None = None, purge: str = "envelope", seed: int = 42) -> DataFrame:
+    """(fold_id, role, first, last): combinatorial purged folds of rows (row_idx from 0, start_idx, end_idx) as ranges of row_idx.
+
+    Train rows within `embargo` rows after a run of test rows are left out, then those whose [start_idx, end_idx] meets the labels of the
+    test rows: one envelope over all of them, or (`per_run`) one for each run. Folds without a train or a test row are left out. Rows
+    are numbered in order of start_idx, so that those that start within a span are a range; only rows that start before a
+    span and reach into it are looked for one by one. Without those the table has a few ranges for each fold, however many rows there are.
     """
     if purge not in ("envelope", "per_run"):
         raise ValueError(f"unknown purge: {purge}")
     spark = rows.sparkSession
-    choices = cpcv_combinations(n_groups, n_test, limit, seed)
-    folds = spark.createDataFrame([(i, list(c)) for i, c in enumerate(choices)], "fold_id int, groups array<int>")
-    # read by three jobs: the groups' edges, the roles, and which folds are whole
-    grouped = stored(cpcv_groups(stored(rows.select("row_idx", "start_idx", "end_idx"), "rows"), n_groups), "groups")
-    edges = grouped.groupBy("group_id").agg(F.max("row_idx").alias("last"), F.min("start_idx").alias("low"), F.max("end_idx").alias("high"))
-    # one row for each fold and test group; a run ends with a group whose successor isn't a test group
-    tests = folds.select("fold_id", "groups", F.explode("groups").alias("group_id")).join(F.broadcast(edges), "group_id")
-    tests = tests.withColumn("ends", ~F.array_contains("groups", F.col("group_id") + 1))
-    if purge == "per_run":
-        w = Window.partitionBy("fold_id").orderBy("group_id")
-        tests = tests.withColumn("run", F.coalesce(F.sum(F.col("ends").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    else:
-        tests = tests.withColumn("run", F.lit(0))
-    runs = tests.groupBy("fold_id", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.when(F.col("ends"), F.col("last"))).alias("lasts"))
-    spans = runs.groupBy("fold_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"), F.flatten(F.collect_list("lasts")).alias("lasts"))
-    plan = folds.join(spans, "fold_id")
-    dealt = grouped.join(F.broadcast(plan))  # a row for each row and fold, which is what a fold table holds
-    is_test = F.array_contains("groups", F.col("group_id"))
-    held = F.exists("lasts", lambda q: (F.col("row_idx") > q) & (F.col("row_idx") <= q + embargo))
-    meets = F.exists("spans", lambda s: (F.col("end_idx") >= s["low"]) & (F.col("start_idx") <= s["high"]))
-    roles = dealt.select("fold_id", "row_idx", F.when(is_test, "test").when(~held & ~meets, "train").alias("role")).where("role IS NOT NULL")
-    whole = roles.groupBy("fold_id").agg(F.count_distinct("role").alias("n")).where("n = 2")
-    return roles.join(F.broadcast(whole.select("fold_id")), "fold_id", "left_semi")
+    rows = stored(rows.select("row_idx", "start_idx", "end_idx"), "rows")
+    _require_order(rows)
+    total, kinds = rows.count(), dict(rows.dtypes)
+    groups = group_ranges(total, n_groups)
+    grouped = rows.withColumn("group_id", group_of(F.col("row_idx"), F.lit(total), n_groups))
+    spans = {r["group_id"]: (r["low"], r["high"]) for r in grouped.groupBy("group_id").agg(F.min("start_idx").alias("low"), F.max("end_idx").alias("high")).collect()}  # n_groups rows
+    counted = rows.agg(*[F.count_if(F.col("start_idx") < F.lit(low)).alias(f"before_{g}") for g, (low, _) in spans.items()], *[F.count_if(F.col("start_idx") <= F.lit(high)).alias(f"upto_{g}") for g, (_, high) in spans.items()]).first() if groups else {}
+
+    def held(choice: tuple[int, ...]) -> tuple[list, list, list[int]]:
+        """(test ranges, all ranges that are no train rows, the groups whose start other labels may reach over)."""
+        runs = _runs(tuple(g for g in choice if g < len(groups)))
+        tests = [(groups[r[0]][0], groups[r[-1]][1]) for r in runs]
+        taken, lows = [(a, b + embargo) for a, b in tests], []
+        for span in runs if purge == "per_run" else [[g for r in runs for g in r]] if runs else []:
+            first, last = min(span, key=lambda g: spans[g][0]), max(span, key=lambda g: spans[g][1])
+            taken.append((counted[f"before_{first}"], counted[f"upto_{last}"] - 1))
+            lows.append(first)
+        return tests, taken, lows
+
+    tests, trains, reach = [], [], []
+    for fold, choice in enumerate(cpcv_combinations(n_groups, n_test, limit, seed)):
+        own, taken, lows = held(choice)
+        tests += [(fold, "test", a, b) for a, b in own]
+        trains += [(fold, a, b) for a, b in _outside(taken, total)]
+        reach += [(fold, g) for g in lows]
+    # rows that start before a group and reach into it, in stretches
+    starts = F.array(*[F.struct(F.lit(g).alias("group_id"), F.lit(low).cast(kinds["start_idx"]).alias("low")) for g, (low, _) in spans.items()]) if spans else F.array().cast(f"array<struct<group_id int, low {kinds['start_idx']}>>")
+    into = rows.select("row_idx", F.explode(F.filter(starts, lambda x: (F.col("start_idx") < x["low"]) & (F.col("end_idx") >= x["low"]))).alias("x")).select("row_idx", "x.group_id")
+    stretch = F.col("row_idx") - F.row_number().over(Window.partitionBy("group_id", F.floor(F.col("row_idx") / STRETCH)).orderBy("row_idx"))
+    into = into.withColumns({"_s": stretch, "_b": F.floor(F.col("row_idx") / STRETCH)}).groupBy("group_id", "_b", "_s").agg(F.min("row_idx").alias("first"), F.max("row_idx").alias("last"))
+    gone = into.join(F.broadcast(spark.createDataFrame(reach, "fold_id int, group_id int")), "group_id")  # one row for each fold and span
+    steps = lambda df, t, x: df.select("fold_id", F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("d")), F.struct((F.col("last") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e")).select("fold_id", "e.at", (F.col("e.d") * t).alias("t"), (F.col("e.d") * x).alias("x"))
+    edges = steps(spark.createDataFrame(trains, "fold_id int, first long, last long"), 1, 0).unionByName(steps(gone, 0, 1)).groupBy("fold_id", "at").agg(F.sum("t").alias("t"), F.sum("x").alias("x"))
+    by = Window.partitionBy("fold_id").orderBy("at")
+    kept = edges.select("fold_id", F.col("at").alias("first"), (F.lead("at").over(by) - 1).alias("last"), ((F.sum("t").over(by) > 0) & (F.sum("x").over(by) == 0)).alias("kept")).where("kept")
+    new = F.coalesce((F.col("first") != F.lag("last").over(Window.partitionBy("fold_id").orderBy("first")) + 1).cast("int"), F.lit(1))
+    merged = kept.withColumn("_new", new).withColumn("_range", F.sum("_new").over(Window.partitionBy("fold_id").orderBy("first"))).groupBy("fold_id", "_range").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    train = stored(merged.select("fold_id", F.lit("train").alias("role"), "first", "last"), "train")
+    test = spark.createDataFrame(tests, "fold_id int, role string, first long, last long")
+    both = train.select("fold_id").distinct().join(F.broadcast(test.select("fold_id").distinct()), "fold_id")  # a row for each fold
+    return train.unionByName(test).join(F.broadcast(both), "fold_id", "left_semi")
+
+
+def cpcv_folds(rows: DataFrame, n_groups: int, n_test: int, embargo: int = 0, limit: int | None = None, purge: str = "envelope", seed: int = 42) -> DataFrame:
+    """cpcv_ranges(), spelled out: a row for each row and fold."""
+    return rows_of(cpcv_ranges(rows, n_groups, n_test, embargo, limit, purge, seed))

@@ -416,6 +416,11 @@ _ROWS = "r as (select row_number() over (order by timestamp, symbol, bar_index)
 _add("tscv_folds_multi", lambda s, d: folds.time_series_folds(_timed(s, d), 4, gap=5), f"with {_sql_bars(symbol='event_type')}, {_ROWS}, t as (select count(*) as n, count(*) // 5 as size from r), f as (select range::int as fold_id, n - (4 - range) * size as start, size from range(4), t), x as (select fold_id, row_idx, case when row_idx >= start and row_idx < start + size then 'test' when row_idx < start - 5 then 'train' end as role from r, f) select * from x where role is not null")
 _add("cpcv_folds_multi", lambda s, d: folds.cpcv_folds(_timed(s, d), 6, 2, 10), f"with {_sql_bars(symbol='event_type')}, {_ROWS}, g as (select *, (ntile(6) over (order by row_idx) - 1)::int as group_id from r), {_COMBOS}" + _FOLD.replace("{spans}", "span as (select fold_id, min(start_idx) as low, max(end_idx) as high from test group by 1)"))
 
+_RANGES = "f as ({roles}), i as (select *, row_idx - row_number() over (partition by fold_id, role order by row_idx) as stretch from f) select fold_id, role, min(row_idx) as first, max(row_idx) as last from i group by fold_id, role, stretch"
+for _name, _make, _of in (("cpcv_ranges", _intervals, "cpcv_folds"), ("cpcv_ranges_multi", _timed, "cpcv_folds_multi")):
+    _head, _, _roles = _ALL[_of][1].rpartition("select fold_id, row_idx, role from")
+    _add(_name, lambda s, d, make=_make: folds.cpcv_ranges(make(s, d), 6, 2, 10), f"{_head.rstrip()}, " + _RANGES.format(roles=f"select fold_id, row_idx, role from{_roles}"))
+
 # Signals, backtest, performance -------------------------------------------------------------------------------------
 
 _sig = lambda df: df.select("symbol", "bar_index", "prediction", "probability", "meta_decision")
