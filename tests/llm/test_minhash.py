@@ -49,6 +49,7 @@ def got(spark, rows, parts=5):
 @pytest.mark.parametrize("block", [7, 256])
 def test_components_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "KEY_BLOCK", block)
     odd = [None, "", " \n\t", "word", "WORD", "word word", "word word word", "Ärger é", "ärger é", "a b c d e f", "a b c d e f g", "A  B\x0bC D E F", "a\x85b"]
     rows = [(i + 1, t, 1, "clash", i, 2) for i, t in enumerate(made(3) + odd)]
     rows += [(None, rows[0][1], 1, "", 0, 0), (None, "only here", 1, "", 0, 0), (None, "ONLY here", 1, "", 0, 0), (None, None, 0, "", 0, 0), rows[5], (5, "another text of one id", 0, "", 0, 0), (-9, rows[200][1], 0, "", 0, 0)]

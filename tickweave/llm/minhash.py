@@ -35,8 +35,8 @@ SYMBOLS, CHUNKS, ERRORS = 64, 12, 1
 #: Pigeonhole: of so many differing symbols, some chunk has ERRORS at most.
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
 
-#: Members of a key or group that are compared at once.
-BLOCK = 256
+#: Members of a key of which signatures, and of a group of which sets, are compared at once.
+KEY_BLOCK, BLOCK = 1024, 256
 
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 _PLACES = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
@@ -156,16 +156,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _with_both(pairs, sets, "held").mapInArrow(work, "a long, b long")
 
 
-def _across(rows: DataFrame, by: str, payload: str, close: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
+def _across(rows: DataFrame, by: str, payload: str, size: int, close: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
     """Distinct (a, b): components to be joined, as some of their members of one `by` are close.
 
-    rows has by, c, root and payload. Members stay in a block of their own; those outside of the component that the least of
-    their hashes names go through every block as well, in turns. A block and a turn give a spanning forest of the components that meet in them.
+    rows has by, c, root and payload. Members stay in a block of their own; those outside of the component that most are in
+    go through every block as well, in turns. A block and a turn, of `size` rows or so, give a spanning forest of the components that meet in them.
     """
-    counts = rows.groupBy(by).agg(F.count("*").alias("n"), F.min_by("root", F.xxhash64("c")).alias("lead_root"))
-    counts = rows.join(counts, by).groupBy(by, "n", "lead_root").agg(F.count_if(F.col("root") != F.col("lead_root")).alias("open")).where("open > 0")
-    blocks_of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    counts = materialize(counts.select(by, "lead_root", blocks_of("n").alias("blocks"), blocks_of("open").alias("turns")), "counts")
+    sizes = rows.groupBy(by, "root").agg(F.count("*").alias("n"))
+    counts = sizes.groupBy(by).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).withColumn("open", F.col("n") - F.col("most.n")).where("open > 0")
+    blocks_of = lambda n: F.ceil(F.col(n) / size).cast("int")
+    counts = materialize(counts.select(by, F.col("most.root").alias("lead_root"), blocks_of("n").alias("blocks"), blocks_of("open").alias("turns")), "counts")
     dealt = rows.join(counts, by)
     dealt = dealt.withColumns({k: F.pmod(F.xxhash64("c", F.lit(i)), F.col(f"{k}s").cast("long")).cast("int") for i, k in enumerate(("block", "turn"))})
     stays = F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda x: F.struct(F.col("block"), x.alias("turn"), F.lit(False).alias("goes")))
@@ -185,14 +185,14 @@ def _across(rows: DataFrame, by: str, payload: str, close: Callable[[list[bytes]
                 yield pa.record_batch([pa.array(nodes[label[member]]), pa.array(nodes[member])], names=["a", "b"])
             go.clear()
 
-        for batch in slices(batches, BLOCK):
+        for batch in slices(batches, size):
             for place, block, turn, goes, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (place, block, turn) != now:
                     yield from flush()
                     stay.clear()
                     now = place, block, turn
                 (go if goes else stay).append(own)
-                if len(go) == BLOCK:
+                if len(go) == size:
                     yield from flush()
         yield from flush()
 
@@ -219,14 +219,14 @@ def class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int)
     now = materialize(rooted(members, connected_components(links)), "rooted", hashes=True)
     unlike = materialize(now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "unlike", hashes=True)
     open_rows = materialize(now.join(unlike, "key").join(classes.select("c", "print"), "c"), "open", hashes=True)
-    groups = connected_components(_across(open_rows, "key", "print", _prints_close))
+    groups = connected_components(_across(open_rows, "key", "print", KEY_BLOCK, _prints_close))
     # every pair in question has both its members in open rows of one key
     grouped = open_rows.select("c", "root").distinct().join(groups.select(F.col("node").alias("root"), F.col("root").alias("group")), "root").join(sets, "c")
 
     def similar(left: list[bytes], right: list[bytes]) -> np.ndarray:
         return linked(*([np.frombuffer(x, np.uint64) for x in side] for side in (left, right)), percent / 100)
 
-    more = materialize(_across(materialize(grouped, "grouped", hashes=True), "group", "held", similar), "more", hashes=True)
+    more = materialize(_across(materialize(grouped, "grouped", hashes=True), "group", "held", BLOCK, similar), "more", hashes=True)
     roots = connected_components(links.unionByName(more))
     for x in (members, sets, now, open_rows):
         drop_scratch(x)
@@ -247,7 +247,9 @@ def minhash_components(docs: DataFrame, shingle: int = 2, percent: int = 80) ->
     classes = materialize(some.withColumn("c", F.monotonically_increasing_id()), "classes", hashes=True)
     roots = class_links(docs, classes, shingle, percent)
     rooted = materialize(classes.select("c", "digest", "first").join(roots.withColumnRenamed("node", "c"), "c", "left").select("digest", "first", F.coalesce("root", "c").alias("root")), "rooted", hashes=True)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("digest", "component")
+    # written first: a join of two bare scans is dealt anew where one component has many classes
+    lowest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component")), "lowest", hashes=True)
+    named = materialize(rooted.join(lowest, "root").select("digest", "component"), "named", hashes=True)
     return rows.where("n > 0").join(named, "digest").select("id", "n", "component").unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
 
 
