@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tickweave.functions import draws, prefix
@@ -287,3 +288,46 @@ def test_bad_configurations_are_refused(change):
     for bad in ({}, {"bars": {"type": "tick"}, "labeling": {}}):
         with pytest.raises((ValueError, KeyError)):
             experiment.Experiment.from_config(bad)
+
+
+def hmm_rows(spark, n=300, seed=1):
+    rng, rows, state = np.random.default_rng(seed), [], 0
+    for i in range(n):
+        state = state if rng.random() < 0.95 else 1 - state
+        rows.append(("S", i, *(rng.normal(4 * state, 1, 2).tolist() if i != 7 else (None, None))))
+    return spark.createDataFrame(rows, "symbol string, bar_index long, a double, b double")
+
+
+def test_filtered_regimes_do_not_look_ahead(spark, monkeypatch):
+    df = hmm_rows(spark)
+    model = regimes.fit_hmm(df, ["a", "b"], 2, n_init=3)
+    assert model.log_likelihood[-1] >= regimes.fit_hmm(df, ["a", "b"], 2).log_likelihood[-1]
+    whole = regimes.filtered(df, model, "macro").orderBy("bar_index").toPandas()
+    assert whole["macro_regime"][7] == -1 and abs(whole.drop(index=7)[["macro_regime_0_proba", "macro_regime_1_proba"]].sum(axis=1) - 1).max() < 1e-9
+    later = df.withColumn("a", F.when(F.col("bar_index") >= 200, 99.0).otherwise(F.col("a")))
+    pd.testing.assert_frame_equal(whole[:200], regimes.filtered(later, model, "macro").orderBy("bar_index").toPandas()[:200])
+    for size in (16, 64):
+        monkeypatch.setattr(regimes, "SEGMENT", size)
+        pd.testing.assert_frame_equal(whole, regimes.filtered(df, model, "macro").orderBy("bar_index").toPandas(), atol=1e-9)
+
+
+def test_experiment_with_regimes_and_distances_of_each_symbol(spark):
+    ticks = sources.synthetic_ticks(spark, 8_000, seed=3, symbol="A").unionByName(sources.synthetic_ticks(spark, 8_000, seed=5, symbol="B|x").withColumns({c: F.col(c) * 3 - 2 for c in ("bidPrice", "askPrice")}))
+    hmm = {"macro": {"enabled": True, "n_states": 2, "max_iter": 3, "n_init": 2, "covariance_type": "diag", "features": ["ret_long", "vol_long"]}, "micro": {"enabled": False}}
+    config = {"bars": {"type": "tick", "threshold": 20}, "labeling": {"distance_mode": "mfe_mae", "max_horizon_bars": 12, "min_horizon_bars": 2}, "assets": {"tick_size": 1e-5}, "models": {"hmm": hmm}}
+    e = dataclasses.replace(experiment.Experiment.from_config(config), n_splits=2, forest=forest.ForestSpec(3, 3), n_simulations=20, meta=False)
+    assert e.hmm == (experiment.Regimes("macro", 2, ("ret_long", "vol_long"), "diag", 3, 2),)
+    later = sources.synthetic_ticks(spark, 4_000, seed=4, start="2024-02-05 00:00:00", symbol="A")
+    out = experiment.run(spark, ticks, e, later)
+    assert {"macro_regime", "macro_regime_0_proba"} <= {r.feature for r in out["importances"].collect()} and "macro_hmm" in out["models"]
+    assert out["signals"].count() > 0 and out["traded_bars"].count() == 200
+    d = {r.symbol: r for r in experiment.labeling.suggest_distances(out["bars"], 12, 1e-5).collect()}
+    assert len(d) == 2 and d["A"].tp_price != d["B|x"].tp_price
+    both = experiment.run(spark, ticks, e)
+    hits = both["trades"].where("reason = 'tp'").join(both["bars"].select("symbol", F.col("bar_index").alias("entry_bar"), "bid_close"), ["symbol", "entry_bar"]).select("symbol", (F.col("exit_price") - F.col("bid_close")).alias("gain"), "exit_bar").collect()
+    bars_at = {(r.symbol, r.bar_index): r for r in both["bars"].collect()}
+    start = {(r.symbol, r.entry_bar, r.exit_bar) for r in both["trades"].where("reason = 'tp'").collect()}
+    assert hits and all(bars_at[s, x].bid_high >= bars_at[s, b].bid_close + d[s].tp_price - 1e-12 for s, b, x in start)
+    assert {r.symbol for r in both["metrics"].select("symbol").distinct().collect()} == {"A", "B|x"}
+    with pytest.raises(ValueError):
+        experiment.Experiment.from_config({**config, "models": {"hmm": {"macro": {"enabled": True, "states": 3}}}})

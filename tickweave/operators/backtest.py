@@ -21,7 +21,10 @@ from .signals import Strategy
 
 @dataclass(frozen=True)
 class BacktestSpec:
-    """barrier_ref: the entry bar's price that tp and sl are measured from, bid or ask. close_seconds: no position is held so near a session's end."""
+    """barrier_ref: the entry bar's price that tp and sl are measured from, bid or ask. close_seconds: no position is held so near a session's end.
+
+    distances: (symbol, tp, sl) of the symbols that have their own; a row for each.
+    """
 
     tp: float
     sl: float
@@ -34,6 +37,7 @@ class BacktestSpec:
     use_meta: bool = True
     barrier_ref: str = "bid"
     calendar: SessionCalendar = field(default_factory=SessionCalendar)
+    distances: DataFrame | None = None
 
     def __post_init__(self):
         if self.tp <= 0 or self.sl <= 0:
@@ -57,8 +61,12 @@ def candidate_trades(bars: DataFrame, signals: DataFrame, spec: BacktestSpec) ->
         wanted &= F.coalesce("meta_decision", F.lit(1)) != 0
     entries = signals.where(wanted).select("symbol", "bar_index", F.lit(True).alias("_entry")).distinct()
     rows = bars.withColumn("_closed", closed).join(entries, ["symbol", "bar_index"], "left")
-    base = F.col(f"{spec.barrier_ref}_close")
-    found = first_reach(rows, base + spec.tp, base - spec.sl, F.when(F.col("_entry") & ~F.col("_closed"), spec.max_bars), spec.max_bars, F.col("_closed"), keep=("ask_close",))
+    base, tp, sl = F.col(f"{spec.barrier_ref}_close"), F.lit(spec.tp), F.lit(spec.sl)
+    if spec.distances is not None:
+        own = spec.distances.select(F.col("symbol").alias("_s"), F.col("tp").alias("_own_tp"), F.col("sl").alias("_own_sl"))
+        rows = rows.join(own, F.col("symbol").eqNullSafe(F.col("_s")), "left").drop("_s")
+        tp, sl = F.coalesce("_own_tp", tp), F.coalesce("_own_sl", sl)
+    found = first_reach(rows, base + tp, base - sl, F.when(F.col("_entry") & ~F.col("_closed"), spec.max_bars), spec.max_bars, F.col("_closed"), keep=("ask_close",))
     outcome = F.col("outcome")
     reason = F.when(outcome == NONE, "time").when(outcome == HALT, "session_close").when(outcome == UP, "tp").otherwise("sl")
     return found.select("symbol", F.col("bar_index").alias("entry_bar"), F.col("timestamp").alias("entry_timestamp"), (F.col("ask_close") + spec.slippage).alias("entry_price"), "exit_bar", "exit_timestamp", (F.col("exit_close") - spec.slippage).alias("exit_price"), reason.alias("reason"))
@@ -84,9 +92,9 @@ def run_backtest(bars: DataFrame, signals: DataFrame, spec: BacktestSpec) -> Dat
     return taken.withColumns({"size": F.lit(spec.size), "pnl": pnl, "pnl_pct": pnl / spec.initial_cash, "duration": seconds})
 
 
-def equity_curve(trades: DataFrame, initial_cash: float = 10_000.0, index: str | None = None) -> DataFrame:
+def equity_curve(trades: DataFrame, initial_cash: float = 10_000.0, index: str | None = None, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """trades with equity: cash and all profit up to and with the trade, by exit_timestamp, then entry_bar; index names a column for its number."""
-    summed = with_prefix(trades, sums={"equity": "pnl"}, index=index, order=("exit_timestamp", "entry_bar"))
+    summed = with_prefix(trades, sums={"equity": "pnl"}, index=index, keys=keys, order=("exit_timestamp", "entry_bar"))
     return summed.withColumn("equity", F.col("equity") + initial_cash)
 
 

@@ -86,22 +86,26 @@ def importances(model: PipelineModel, features: list[str]) -> DataFrame:
 FITS = 4
 
 
-def fit_folds(rows: DataFrame, folds: DataFrame, features: list[str], spec: ForestSpec = ForestSpec(), label: str = "label", positive: int = 1) -> dict[int, PipelineModel]:
+def fit_folds(rows: DataFrame, folds: DataFrame, features: list[str], spec: ForestSpec = ForestSpec(), label: str = "label", positive: int = 1, extra: DataFrame | None = None) -> dict[int, PipelineModel]:
     """A model for each fold, from its train rows; folds and rows meet on row_idx. Folds without both classes have none.
 
+    extra has features of rows that differ from fold to fold, by fold_id and row_idx.
+
     Fits don't depend on each other and are submitted from several threads, so that small folds fill the cluster.
     """
-    ready = rows.na.drop("any", subset=features)
+    ready = rows.na.drop("any", subset=[f for f in features if f in rows.columns])
     train = ready.join(folds.where("role = 'train'").select("fold_id", "row_idx"), "row_idx")
+    train = train if extra is None else train.join(extra, ["fold_id", "row_idx"])
     usable = train.groupBy("fold_id").agg(F.count_distinct(F.col(label) == positive).alias("n")).where("n = 2")
     ids = [r["fold_id"] for r in usable.orderBy("fold_id").collect()]
     with ThreadPoolExecutor(FITS) as pool:
         return dict(zip(ids, pool.map(lambda k: fit_forest(train.where(F.col("fold_id") == k), features, spec, label, positive), ids), strict=True))
 
 
-def score_folds(models: dict[int, PipelineModel], rows: DataFrame, folds: DataFrame, positive: int = 1, negative: int = -1) -> DataFrame:
-    """The test rows of each fold that has a model, with fold_id, probability and prediction."""
+def score_folds(models: dict[int, PipelineModel], rows: DataFrame, folds: DataFrame, positive: int = 1, negative: int = -1, extra: DataFrame | None = None) -> DataFrame:
+    """The test rows of each fold that has a model, with fold_id, probability and prediction; extra as in fit_folds()."""
     tests = rows.join(folds.where("role = 'test'").select("fold_id", "row_idx"), "row_idx")
+    tests = tests if extra is None else tests.join(extra, ["fold_id", "row_idx"])
     if not models:
         return tests.withColumns({"probability": F.lit(None).cast("double"), "prediction": F.lit(None).cast("int")}).limit(0)
     parts = [predict(model, tests.where(F.col("fold_id") == k), positive, negative) for k, model in models.items()]

@@ -14,7 +14,9 @@ def drawdown_curve(equity: DataFrame, keys: tuple[str, ...] = ("symbol",), order
     tops = b.groupBy(*keys, "_b").agg(F.max("equity").alias("_top"))
     tops = tops.select(*keys, "_b", F.max("_top").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.withColumn("_own", F.max("equity").over(w)).join(tops, [*keys, "_b"]).withColumn("peak", F.greatest("_own", "_before"))
+    tops = tops.withColumnsRenamed({k: f"_k_{k}" for k in (*keys, "_b")})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, "_b")]
+    out = b.withColumn("_own", F.max("equity").over(w)).join(tops, same).drop(*[f"_k_{k}" for k in (*keys, "_b")]).withColumn("peak", F.greatest("_own", "_before"))
     out = out.withColumn("dd", F.col("equity") - F.col("peak"))
     return out.withColumn("dd_pct", F.try_divide("dd", "peak")).drop("_b", "_own", "_before")
 
@@ -65,7 +67,7 @@ def basic(trades: DataFrame, initial_cash: float = 10_000.0, keys: tuple[str, ..
     """n_trades, net_profit, total_return, win_rate, sharpe, max_drawdown of each group."""
     from .backtest import equity_curve
 
-    curve = drawdown_curve(equity_curve(trades, initial_cash))
+    curve = drawdown_curve(equity_curve(trades, initial_cash, keys=keys), keys)
     return curve.groupBy(*keys).agg(F.count("*").alias("n_trades"), F.sum("pnl").alias("net_profit"), (F.sum("pnl") / initial_cash).alias("total_return"), win_rate().alias("win_rate"), sharpe().alias("sharpe"), F.min("dd_pct").alias("max_drawdown"))
 
 
@@ -73,7 +75,7 @@ def extended(trades: DataFrame, initial_cash: float = 10_000.0, keys: tuple[str,
     """Sortino, Calmar, profit factor, expectancy, recovery factor and ulcer index from the equity after each trade."""
     from .backtest import equity_curve
 
-    curve = drawdown_curve(equity_curve(trades, initial_cash, index="_place"))
+    curve = drawdown_curve(equity_curve(trades, initial_cash, index="_place", keys=keys), keys)
     before = F.col("equity") - F.col("pnl")  # the equity after the trade before, for all but the first
     rows = curve.withColumn("ret", F.when(F.col("_place") > 0, F.col("pnl") / before))
     last, start = F.max_by("equity", F.struct("exit_timestamp", "entry_bar")), F.min_by("equity", F.struct("exit_timestamp", "entry_bar"))

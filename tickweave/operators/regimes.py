@@ -67,6 +67,16 @@ class GaussianHMM:
             pair += self.move * np.outer(before, e[0] * beta[0] / scale[0])
         return gamma, pair, float((np.log(scale) + top).sum())
 
+    def forward(self, x: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Each row's state given the rows up to it, later ones unknown; before as in forward_backward()."""
+        dense = self.log_density(x)
+        e = np.exp(dense - dense.max(1)[:, None])
+        out, state = np.empty_like(e), before
+        for t in range(len(e)):
+            a = (self.start if state is None else state @ self.move) * e[t]
+            out[t] = state = a / (a.sum() or 1e-300)
+        return out
+
     def viterbi(self, x: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
         """The likeliest states; before and after are log scores of what comes before the first row and after the last."""
         dense, move = self.log_density(x), np.log(self.move + 1e-300)
@@ -159,8 +169,8 @@ def _counts(model: GaussianHMM, segments: DataFrame) -> pd.DataFrame:
     return head, first, pair.reshape(k, k), weight, sums.reshape(k, d), squares.reshape(k, d, d)
 
 
-def fit_hmm(rows: DataFrame, columns: list[str], n_states: int = 3, n_iter: int = 20, covariance: str = "full", seed: int = 42, tolerance: float = 1e-4) -> GaussianHMM:
-    """A model of rows in which all columns are defined, standardised by mean and population deviation."""
+def fit_hmm(rows: DataFrame, columns: list[str], n_states: int = 3, n_iter: int = 20, covariance: str = "full", seed: int = 42, tolerance: float = 1e-4, n_init: int = 1) -> GaussianHMM:
+    """A model of rows in which all columns are defined, standardised by mean and population deviation; the likeliest of n_init fits."""
     if covariance not in ("full", "diag"):
         raise ValueError(f"unknown covariance: {covariance}")
     ready = rows.select("symbol", "bar_index", *columns).na.drop("any").withColumn("_segment", F.floor(F.col("bar_index") / SEGMENT))
@@ -168,8 +178,14 @@ def fit_hmm(rows: DataFrame, columns: list[str], n_states: int = 3, n_iter: int
     s = ready.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns], F.count("*").alias("n")).first()
     if s["n"] < 2 * n_states:
         raise ValueError("too few rows for the states")
-    d = len(columns)
     center, scale = np.array([s[f"m_{c}"] for c in columns]), np.array([s[f"s_{c}"] or 1.0 for c in columns])
+    fits = [_fitted(ready, columns, center, scale, n_states, n_iter, covariance, seed + i, tolerance) for i in range(n_init)]
+    return max(fits, key=lambda m: m.log_likelihood[-1])
+
+
+def _fitted(ready: DataFrame, columns: list[str], center: np.ndarray, scale: np.ndarray, n_states: int, n_iter: int, covariance: str, seed: int, tolerance: float) -> GaussianHMM:
+    """Baum-Welch from means drawn with the seed."""
+    d = len(columns)
     rng = np.random.default_rng(seed)
     model = GaussianHMM(columns, center, scale, np.full(n_states, 1 / n_states), np.full((n_states, n_states), 0.1 / max(n_states - 1, 1)), rng.normal(0, 1, (n_states, d)), np.stack([np.eye(d)] * n_states), [])
     np.fill_diagonal(model.move, 0.9 if n_states > 1 else 1.0)
@@ -212,3 +228,28 @@ def regimes(rows: DataFrame, model: GaussianHMM, prefix: str = "macro") -> DataF
     best = _edges(model, ready, True).withColumnsRenamed({"before": "best_before", "after": "best_after"})
     both = _with_edges(_with_edges(dealt, _edges(model, ready, False)), best)
     return both.groupBy("symbol", "_segment").applyInPandas(work, schema)
+
+
+def filtered(rows: DataFrame, model: GaussianHMM, prefix: str = "macro") -> DataFrame:
+    """symbol, bar_index, {prefix}_regime (-1 where a column is null), {prefix}_regime_k_proba (0 there): each bar's state by what its symbol's bars up to it say.
+
+    Unlike regimes(), which knows the whole sequence, no later bar changes an earlier one's values: they may be features.
+    """
+    k = len(model.means)
+    names = [f"{prefix}_regime_{i}_proba" for i in range(k)]
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_index").reset_index(drop=True)
+        x = (pdf[model.columns].to_numpy(float) - model.center) / model.scale
+        ok = np.isfinite(x).all(1)
+        state, proba = np.full(len(pdf), -1), np.zeros((len(pdf), k))
+        if ok.any():
+            before = _side(pdf, "before")
+            proba[ok] = model.forward(x[ok], None if before is None else np.exp(before) / np.exp(before).sum())
+            state[ok] = proba[ok].argmax(1)
+        return pd.DataFrame({"symbol": pdf["symbol"], "bar_index": pdf["bar_index"], f"{prefix}_regime": state.astype("int32"), **{n: proba[:, i] for i, n in enumerate(names)}})
+
+    kind = rows.schema["symbol"].dataType.simpleString()
+    dealt = stored(rows.select("symbol", "bar_index", *model.columns, F.floor(F.col("bar_index") / SEGMENT).alias("_segment")), "regimes")
+    edges = _edges(model, dealt.na.drop("any", subset=model.columns), False).drop("after")
+    return _with_edges(dealt, edges).groupBy("symbol", "_segment").applyInPandas(work, f"symbol {kind}, bar_index long, {prefix}_regime int, " + ", ".join(f"{n} double" for n in names))

@@ -8,16 +8,55 @@ from __future__ import annotations
 import html
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
 from ..functions.stored import stored
-from ..operators import backtest, bars, clean, folds, forest, labeling, performance, risk, signals, stats
+from ..functions.windows import in_blocks
+from ..operators import backtest, bars, clean, folds, forest, labeling, performance, regimes, risk, signals, stats
 from ..operators.session import SessionCalendar
 
 
+@dataclass(frozen=True)
+class Regimes:
+    """A hidden Markov model of bars. kind: macro (returns, volatility and trend over 50 bars) or micro (order flow and spread)."""
+
+    kind: str = "macro"
+    n_states: int = 3
+    columns: tuple[str, ...] = ()
+    covariance: str = "full"
+    n_iter: int = 20
+    n_init: int = 1
+
+    def __post_init__(self):
+        if self.kind not in _REGIME_COLUMNS:
+            raise ValueError(f"unknown kind of regimes: {self.kind}")
+        if unknown := sorted(set(self.columns) - set(_REGIME_COLUMNS[self.kind])):
+            raise ValueError(f"{self.kind} regimes have no columns {', '.join(unknown)}")
+
+    @property
+    def observed(self) -> list[str]:
+        return list(self.columns or _REGIME_COLUMNS[self.kind])
+
+    def rows(self, made: DataFrame) -> DataFrame:
+        """The bars with what the model observes."""
+        make, before = (ft.macro_features, 100) if self.kind == "macro" else (ft.micro_features, 1)
+        return in_blocks(made, make, before).select("symbol", "bar_index", *self.observed)
+
+    def fit(self, rows: DataFrame, seed: int) -> regimes.GaussianHMM:
+        return regimes.fit_hmm(rows, self.observed, self.n_states, self.n_iter, self.covariance, seed, n_init=self.n_init)
+
+    @property
+    def features(self) -> list[str]:
+        return [f"{self.kind}_regime", *[f"{self.kind}_regime_{i}_proba" for i in range(self.n_states)]]
+
+
+_REGIME_COLUMNS = {"macro": ("ret_long", "vol_long", "trend_slope", "trend_strength"), "micro": ("of_imbalance", "spread", "spread_change", "tick_direction")}
+
+
 @dataclass(frozen=True)
 class Experiment:
     """What an experiment needs. distance: tp and sl in price units, or None for distances from excursions over `excursion` bars."""
@@ -50,6 +89,7 @@ class Experiment:
     max_drawdown: float = 0.1
     target: float = 0.05
     seed: int = 42
+    hmm: tuple[Regimes, ...] = ()
 
     def __post_init__(self):
         if self.distance and min(self.distance) <= 0:
@@ -123,6 +163,9 @@ def read_config(config: dict) -> Experiment:
         raise ValueError("a commission is a share of price (percentage)")
     if sizing.get("mode", "fixed") != "fixed":
         raise ValueError("positions have a fixed size")
+    markov = models.part("hmm")
+    hidden = tuple(_regimes(markov.part(kind), kind) for kind in _REGIME_COLUMNS if (markov.get(kind) or {}).get("enabled", False))
+    markov.done()
     primary = models.get("model") or models.get("random_forest") or top.get("model") or {}
     second = models.part("meta_model")
     out = Experiment(
@@ -154,6 +197,7 @@ def read_config(config: dict) -> Experiment:
         max_drawdown=firm.get("max_total_loss", risks.get("max_total_drawdown", 0.1)),
         target=firm.get("target_profit", 0.05),
         seed=config.get("experiment", {}).get("seed", 42),
+        hmm=hidden,
     )
     top.done(*ELSEWHERE, "features")
     for part, ignored in ((assets, ("symbol", "pip_value", "min_lot", "max_lot", "pip_size")), (session, ()), (room, ()), (lab, ("type", "long_only", "meta_label")), (mfe, ()), (cv, ()), (cleaning, ()), (meta, ()), (capital, ()), (commission, ()), (sizing, ()), (slippage, ("model",))):
@@ -161,6 +205,13 @@ def read_config(config: dict) -> Experiment:
     return out
 
 
+def _regimes(section: _Section, kind: str) -> Regimes:
+    section.get("enabled")
+    out = Regimes(kind, section.get("n_states", 3), tuple(section.get("features", ())), section.get("covariance_type", "full"), section.get("max_iter", 20), section.get("n_init", 1))
+    section.done()
+    return out
+
+
 def _forest(section: dict, name: str) -> forest.ForestSpec:
     params = section.get("params", section)
     known = {"n_estimators", "max_depth", "min_samples_leaf", "class_weight", "random_state", "n_jobs", "backend"}
@@ -225,6 +276,31 @@ def cv_folds(rows: DataFrame, e: Experiment) -> DataFrame:
     return folds.cpcv_folds(spans, *e.cpcv, limit=e.max_combinations)
 
 
+def regime_features(made: DataFrame, models: dict[str, regimes.GaussianHMM], e: Experiment) -> DataFrame:
+    """symbol, bar_index and the regime features of all bars by one model of each kind; none looks at later bars."""
+    out = made.select("symbol", "bar_index")
+    for spec in e.hmm:
+        out = out.join(regimes.filtered(spec.rows(made), models[spec.kind], spec.kind), ["symbol", "bar_index"])
+    return out
+
+
+def fit_regimes(made: DataFrame, rows: DataFrame, e: Experiment) -> dict[str, regimes.GaussianHMM]:
+    """A model of each kind from the bars that are among rows."""
+    own = rows.select("symbol", "bar_index").distinct()
+    return {spec.kind: spec.fit(spec.rows(made).join(own, ["symbol", "bar_index"], "left_semi"), e.seed) for spec in e.hmm}
+
+
+def fold_regimes(made: DataFrame, rows: DataFrame, cv: DataFrame, e: Experiment) -> DataFrame:
+    """fold_id, row_idx and regime features: each fold's models are fitted on its train rows alone."""
+    parts = []
+    for fold in [r["fold_id"] for r in cv.select("fold_id").distinct().orderBy("fold_id").collect()]:
+        own = cv.where(F.col("fold_id") == fold)
+        models = fit_regimes(made, rows.join(own.where("role = 'train'"), "row_idx", "left_semi"), e)
+        used = rows.join(own, "row_idx", "left_semi").select("row_idx", "symbol", "bar_index")
+        parts.append(used.join(regime_features(made, models, e), ["symbol", "bar_index"]).drop("symbol", "bar_index").withColumn("fold_id", F.lit(fold)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def out_of_fold(scored: DataFrame) -> DataFrame:
     """row_idx, probability: of each row that is tested in a fold, the mean over models that were not trained on it."""
     return scored.groupBy("row_idx").agg(F.avg("probability").alias("probability"))
@@ -250,26 +326,34 @@ def run(spark: SparkSession, ticks: DataFrame, e: Experiment, test_ticks: DataFr
     columns = clean.feature_columns(table)
     rows = stored(folds.numbered(clean.training_rows(labeling.meta_labels(labeling.with_labels(table, labels)), columns)), "training")
     cv = stored(cv_folds(rows, e), "folds")
+    plain, hidden, states = rows, {}, None
+    if e.hmm:
+        states = stored(fold_regimes(made, rows, cv, e), "fold_regimes")
+        hidden = fit_regimes(made, rows, e)
+        columns = [*columns, *[c for spec in e.hmm for c in spec.features]]
+        rows = stored(rows.join(regime_features(made, hidden, e), ["symbol", "bar_index"]), "training_regimes")
+    fold_models = forest.fit_folds(labeling.decided(plain), cv, columns, e.forest, extra=states)
+    scored = stored(forest.score_folds(fold_models, plain, cv, extra=states), "scored")
     decided = labeling.decided(rows)
-    fold_models = forest.fit_folds(decided, cv, columns, e.forest)
-    scored = stored(forest.score_folds(fold_models, rows, cv), "scored")
     metrics = performance.classification(labeling.decided(scored), keys=("fold_id",))
     predictions = stored(rows.join(out_of_fold(scored), "row_idx").withColumnRenamed("probability", "primary_proba"), "predictions")
     models = {"primary": forest.fit_forest(decided, columns, e.forest)}
     names, meta_metrics, seen = [*columns, "primary_proba"], None, predictions
     if e.meta:
         spec = e.meta_forest or e.forest
-        meta_scored = stored(forest.score_folds(forest.fit_folds(predictions, cv, names, spec, "meta_label", 1), predictions, cv, 1, 0), "meta")
+        bare = predictions.drop(*[c for h in e.hmm for c in h.features])
+        meta_scored = stored(forest.score_folds(forest.fit_folds(bare, cv, names, spec, "meta_label", 1, states), bare, cv, 1, 0, states), "meta")
         meta_metrics = performance.classification(meta_scored, "meta_label", keys=("fold_id",))
         seen = predictions.join(out_of_fold(meta_scored).withColumnRenamed("probability", "meta_proba"), "row_idx", "left")
         models["meta"] = forest.fit_forest(predictions, names, spec, "meta_label")
     traded = made
     if test_ticks is not None:
         traded = stored(build(test_ticks, e), "test_bars")
-        seen = _scored_bars(ft.feature_matrix(traded), models)
+        features = ft.feature_matrix(traded)
+        seen = _scored_bars(features.join(regime_features(traded, hidden, e), ["symbol", "bar_index"]) if e.hmm else features, models)
     model_signals = stored(trade_signals(seen, e.meta_threshold), "signals")
-    tp, sl = e.distance or labeling.suggest_distances(made, e.excursion or e.max_horizon, e.tick_size, *e.quantiles).select("tp_price", "sl_price").first()
-    spec = backtest.BacktestSpec(tp, sl, **e.backtest)
+    distances = None if e.distance else stored(labeling.suggest_distances(made, e.excursion or e.max_horizon, e.tick_size, *e.quantiles).select("symbol", F.col("tp_price").alias("tp"), F.col("sl_price").alias("sl")), "distances")
+    spec = backtest.BacktestSpec(*(e.distance or (1.0, 1.0)), distances=distances, **e.backtest)
     baselines = {"buy_and_hold": signals.buy_and_hold, "random": lambda b: signals.random_signals(b, e.seed), "ma_crossover": signals.ma_crossover, "rsi": signals.rsi_signals}
     trades = stored(backtest.run_benchmark(traded, {"model": lambda _: model_signals, **baselines}, spec), "trades")
     out = {
@@ -285,7 +369,7 @@ def run(spark: SparkSession, ticks: DataFrame, e: Experiment, test_ticks: DataFr
         "trades": trades,
         "metrics": strategy_metrics(trades, e.initial_cash),
         "risk": risk.prop_firm(risk.monte_carlo(trades.where("strategy = 'model'"), e.n_simulations, 100, e.initial_cash, e.max_drawdown, e.target, e.seed)),
-        "models": models,
+        "models": models | {f"{kind}_hmm": m for kind, m in hidden.items()},
     }
     return out | ({"meta_metrics": meta_metrics, "meta": seen} if meta_metrics is not None else {})
 
@@ -302,9 +386,9 @@ def _scored_bars(table: DataFrame, models: dict) -> DataFrame:
 
 def strategy_metrics(trades: DataFrame, initial_cash: float) -> DataFrame:
     """Basic and extended metrics of each strategy and symbol."""
-    both = trades.withColumn("symbol", F.concat_ws("|", "strategy", "symbol"))
-    out = performance.basic(both, initial_cash).join(performance.extended(both, initial_cash), "symbol")
-    return out.withColumns({"strategy": F.substring_index("symbol", "|", 1), "symbol": F.substring_index("symbol", "|", -1)})
+    keys = ("strategy", "symbol")
+    one, two = performance.basic(trades, initial_cash, keys), performance.extended(trades, initial_cash, keys).withColumnsRenamed({k: f"_{k}" for k in keys})
+    return one.join(two, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
 
 
 def against_baselines(trades: DataFrame, significance: float = 0.05) -> dict[str, dict]:
