@@ -152,3 +152,22 @@ def test_ratios_at_their_edges(spark):
     assert one.pf == float("inf") and one.s == float("inf") and one.w == 1.0 and np.isclose(one.sh, 1.5 / 0.5 * 252**0.5)
     none = df.limit(0).agg(performance.profit_factor().alias("pf"), performance.sortino("pnl").alias("s"), performance.sharpe("pnl").alias("sh"), performance.expectancy().alias("e")).first()
     assert tuple(none) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_bars_left_over_weekends_and_gaps(spark):
+    """Counted one by one, of a symbol that trades on Friday, the weekend and Monday, with a gap and a bar at the very end."""
+    import datetime as dt
+
+    rng, cal = random.Random(8), SessionCalendar(end="20:00", friday_end="18:00")
+    times = sorted({dt.datetime(2024, 1, 5, 12) + dt.timedelta(minutes=rng.randrange(5000)) for _ in range(120)} | {dt.datetime(2024, 1, 5, 18), dt.datetime(2024, 1, 8, 20)})
+    rows = [("A", i, t) for i, t in enumerate(times)] + [("B", 0, times[5])]
+    df = spark.createDataFrame(rows, "symbol string, bar_index long, timestamp timestamp").repartition(3)
+    for weekend in (False, True):
+        cal = SessionCalendar(end="20:00", friday_end="18:00", weekend_trading=weekend)
+        got = {(r.symbol, r.bar_index): r.bars_left for r in labeling.with_bars_left(df, cal).collect()}
+        for s, i, t in rows:
+            end = t.replace(hour=18 if t.weekday() == 4 else 20, minute=0, second=0)
+            closed = t.weekday() >= 5 and not weekend
+            assert got[s, i] == (0 if closed else sum(o == s and j > i and u <= end for o, j, u in rows))
+    with pytest.raises(ValueError):
+        labeling.triple_barrier(df, 1.0, 1.0, 5, 1, session="roughly")

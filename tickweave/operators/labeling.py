@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
@@ -22,16 +22,38 @@ def events(bars: DataFrame, features: DataFrame | None = None) -> DataFrame:
     return kept.select("symbol", "timestamp", "bar_index")
 
 
-def triple_barrier(bars: DataFrame, tp: float | Column, sl: float | Column, max_horizon: int, min_horizon: int, calendar: SessionCalendar | None = None, at: DataFrame | None = None) -> DataFrame:
+def with_bars_left(bars: DataFrame, calendar: SessionCalendar) -> DataFrame:
+    """bars with bars_left: how many later bars of the symbol bear a time up to the end of the bar's session.
+
+    Counted by ranks within (symbol, session), so weekends and gaps need no care. A bar after its session's end, or on a closed
+    weekend day, has none left.
+    """
+    at, end = F.unix_micros("timestamp"), F.unix_micros(calendar.session_end("timestamp"))
+    inside = (at <= end) if calendar.weekend_trading else (at <= end) & ~calendar.is_weekend("timestamp")
+    day = Window.partitionBy("symbol", "_end", "_inside")
+    rows = bars.withColumns({"_end": end, "_inside": inside})
+    left = F.count("*").over(day) - F.row_number().over(day.orderBy("bar_index"))
+    return rows.withColumn("bars_left", F.when(F.col("_inside"), left).otherwise(0)).drop("_end", "_inside")
+
+
+def triple_barrier(bars: DataFrame, tp: float | Column, sl: float | Column, max_horizon: int, min_horizon: int, calendar: SessionCalendar | None = None, at: DataFrame | None = None, session: str = "mean") -> DataFrame:
     """A label for each event with room before the session's end.
 
     Entry at the ask's close; barriers lie tp above and sl below the bid's close. The first bar of the next h that reaches
     a barrier decides, the upper one winning a tie; else the last of them (label 0). Exit at that bar's bid close. h is the
     least of max_horizon and the session's remaining bars; events with less than min_horizon or without a next bar are left out.
+    How many bars remain is estimated from the mean time between bars, or (session "exact") counted: bars up to the session's real end.
     """
     calendar = calendar or SessionCalendar()
-    rows = bars.join(average_duration(bars), "symbol")  # one row for each symbol
-    rows = rows.withColumn("effective_horizon", F.least(F.lit(max_horizon), calendar.bars_to_end("timestamp", F.col("seconds"))).cast("int"))
+    if session == "exact":
+        rows = with_bars_left(bars, calendar)
+        left = F.col("bars_left")
+    elif session == "mean":
+        rows = bars.join(average_duration(bars), "symbol")  # one row for each symbol
+        left = calendar.bars_to_end("timestamp", F.col("seconds"))
+    else:
+        raise ValueError(f"unknown way to cut at the session's end: {session}")
+    rows = rows.withColumn("effective_horizon", F.least(F.lit(max_horizon), left).cast("int"))
     asked = F.when(F.col("effective_horizon") >= max(min_horizon, 1), F.col("effective_horizon"))
     if at is not None:
         rows = rows.join(at.select("symbol", "bar_index", F.lit(True).alias("_event")).distinct(), ["symbol", "bar_index"], "left")

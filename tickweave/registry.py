@@ -357,6 +357,11 @@ _add("suggest_tp_sl", lambda s, d: _out(labeling.suggest_distances(_bars(s, d),
 _label_out = lambda df: _out(df, LABEL, [], ["event_start", "event_end"])
 _label_sql = f"select {_cols(LABEL, [], ['event_start', 'event_end'])} from labels"
 _add("triple_barrier", lambda s, d: _label_out(_labels(s, d)), f"with {_sql_bars()}, {_LABELS} {_label_sql}")
+_EXACT = _LABELS.replace(
+    f"ev as (select b.*, least(10, floor({_left('b.timestamp')} / seconds))::int as h from bars b, dur)",
+    f"ev as (select b.*, least(10, case when isodow(timestamp) < 6 then (select count(*) from bars n where n.bar_index > b.bar_index and n.timestamp <= {_end('b.timestamp')}) else 0 end)::int as h from bars b)",
+)
+_add("triple_barrier_exact_session", lambda s, d: _label_out(labeling.triple_barrier(_bars(s, d), TP, SL, 10, 3, CAL, session="exact")), f"with {_sql_bars()}, {_EXACT} {_label_sql}")
 _add("triple_barrier_mfe", lambda s, d: _label_out(labeling.triple_barrier_by_excursion(_bars(s, d), 10, 1 / 64, 0.5, 0.5, 10, 3, CAL)), f"with {_sql_bars()}, {_SUGGEST}, {_LABELS.replace(f'+ {TP}', '+ (select tp_ticks * 0.015625 from sug)').replace(f'- {SL}', '- (select sl_ticks * 0.015625 from sug)')} {_label_sql}")
 _add("label_distribution", lambda s, d: _out(labeling.label_distribution(_labels(s, d)), ["label", "n"], ["share", "share_decided"]), f"with {_sql_bars()}, {_LABELS}, x as (select label, count(*) as n, count(*) / (select count(*) from labels) as share, case when label <> 0 then count(*) / (select count(*) from labels where label <> 0) end as share_decided from labels group by 1) select {_cols(['label', 'n'], ['share', 'share_decided'])} from x")
 _add("meta_labels", lambda s, d: labeling.meta_labels(_labels(s, d)).select("symbol", "bar_index_start", "pnl", "meta_label"), f"with {_sql_bars()}, {_LABELS} select symbol, bar_index_start, pnl, (pnl > 0)::int as meta_label from labels")
