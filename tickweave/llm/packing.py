@@ -111,7 +111,9 @@ def best_fit(items: np.ndarray, lengths: np.ndarray, bins: np.ndarray, loads: li
 
 
 def _compact(bins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    _, bins = np.unique(bins, return_inverse=True)
+    """Bins numbered without gaps in the same order, and their loads."""
+    used = np.bincount(bins) > 0
+    bins = (np.cumsum(used) - 1)[bins]
     return bins.astype(np.int32), np.bincount(bins, lengths).astype(np.int64).tolist()
 
 
@@ -144,8 +146,11 @@ def crossover(rng: np.random.Generator, mother: np.ndarray, father: np.ndarray,
     Displaced are the other items of those of mother's bins that hold an injected one.
     """
     well = np.flatnonzero(_well_filled(father, lengths))
-    chosen = np.isin(father, rng.choice(well, -(-len(well) // 2), replace=False))
-    displaced = np.flatnonzero(np.isin(mother, np.unique(mother[chosen])) & ~chosen)
+    injected, met = np.zeros(int(father.max()) + 1, bool), np.zeros(int(mother.max()) + 1, bool)
+    injected[rng.choice(well, -(-len(well) // 2), replace=False)] = True
+    chosen = injected[father]
+    met[mother[chosen]] = True
+    displaced = np.flatnonzero(met[mother] & ~chosen)
     child = mother.copy()
     child[chosen] = father[chosen] + mother.max() + 1
     child[displaced] = -1
@@ -159,13 +164,16 @@ def crossover(rng: np.random.Generator, mother: np.ndarray, father: np.ndarray,
 def evolve(lengths: np.ndarray, members: list[np.ndarray], seed: int, capacity: int, generations: int = GENERATIONS) -> list[np.ndarray]:
     """A population after so many crossovers, best first. A new one is best fit decreasing and packings in random order."""
     rng = np.random.default_rng(seed)
-    rank = lambda m: -fitness(m, lengths, capacity)
     members = members or [best_fit_decreasing(lengths, capacity)]
-    members = sorted([*members, *(_packing(rng.permutation(len(lengths)), lengths, capacity) for _ in range(POPULATION - len(members)))], key=rank)
-    for _ in range(generations):
-        a, b = rng.choice(len(members), 2, replace=False)
-        members = sorted([*members, crossover(rng, members[min(a, b)], members[max(a, b)], lengths, capacity)], key=rank)[:POPULATION]
-    return members
+    members = [*members, *(_packing(rng.permutation(len(lengths)), lengths, capacity) for _ in range(POPULATION - len(members)))]
+    scored = sorted([(fitness(m, lengths, capacity), -i, m) for i, m in enumerate(members)], reverse=True)
+    for born in range(generations):
+        a, b = rng.choice(len(scored), 2, replace=False)
+        child = crossover(rng, scored[min(a, b)][2], scored[max(a, b)][2], lengths, capacity)
+        # of equals the older stay in front
+        insort(scored, (fitness(child, lengths, capacity), -len(members) - born, child), key=lambda m: (-m[0], -m[1]))
+        scored = scored[:POPULATION]
+    return [m for *_, m in scored]
 
 
 def _evolution(capacity: int, epoch: int):
