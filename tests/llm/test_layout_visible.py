@@ -105,3 +105,18 @@ def test_no_word_of_a_random_tree_is_lost():
         assert sorted(got) == sorted(want), html
         if "<table" not in html:
             assert got == want, html
+
+
+def test_end_tags_of_deep_elements_end_no_ancestor():
+    deep = "<div hidden>" + "<div>" * 250 + "</div>" * 201 + "SECRET" + "</div>" * 49 + "SECRET</div>shown"
+    assert visible_text(deep).strip() == "shown"
+    spans = "<div hidden>" + "<span><b>" * 400 + "</b></span>" * 399 + "SECRET</div>shown"
+    assert visible_text(spans).strip() == "shown"
+    stray = "<div hidden>" + "<div>" * 250 + "</p></table></div>" * 250 + "SECRET</div>shown"
+    assert "SECRET" not in visible_text(stray) and "shown" in visible_text(stray)
+
+
+def test_many_comments_take_linear_time():
+    start = time.time()
+    assert visible_text("<!---->" * 100_000 + "a<!-- x --!>b<!-- y -->c<!-->d").strip() == "abcd"
+    assert time.time() - start < 3

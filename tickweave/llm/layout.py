@@ -46,7 +46,7 @@ IMPLIED = {
 #: An end tag reaches no further than the nearest of these.
 SCOPE = frozenset({"table", "td", "th", "html", "body"})
 
-#: Elements nested deeper become their ancestor's children at this depth, as in browsers.
+#: Elements nested deeper become their ancestor's children at this depth, as in browsers; their end tags are counted, so that none ends an ancestor.
 MAX_DEPTH = 200
 
 #: The standard's limits of a cell's spans.
@@ -58,6 +58,7 @@ MAX_WIDTH = 200
 #: A table that padding would make so many times longer than its texts (and 64 Ki characters) has two spaces between cells instead.
 MAX_PADDING = 20
 
+_COMMENT_END = re.compile("--!?>")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NAME = re.compile(r"[a-zA-Z][^\t\n\f\r />]*")
 _BETWEEN = re.compile(r"[\t\n\f\r /]*")
@@ -100,14 +101,15 @@ def _after_comment(html: str, at: int) -> int:
     for short in (">", "->"):
         if html.startswith(short, at + 4):
             return at + 4 + len(short)
-    ends = [end + len(mark) for mark in ("-->", "--!>") if (end := html.find(mark, at + 4)) >= 0]
-    return min(ends, default=len(html))
+    end = _COMMENT_END.search(html, at + 4)
+    return end.end() if end else len(html)
 
 
 def parse(html: str) -> Element:
     """The tree of a page; anything is accepted. What follows a tag that is never ended is part of that tag, as in browsers."""
     root = Element("html", {})
     stack, at, n, seen = [root], 0, len(html), 0
+    beyond: list[str] = []  # tags of open elements that are nested too deep to be on the stack
 
     def text(a: int, b: int) -> None:
         if a < b:
@@ -141,9 +143,13 @@ def parse(html: str) -> Element:
         attributes, at, closed = read
         seen, tag = at, name[0].lower()
         if closing:
-            _close(stack, tag)
+            if not _close_beyond(beyond, tag):
+                _close(stack, tag)
+                if len(stack) < MAX_DEPTH:
+                    beyond.clear()
             continue
-        _imply(stack, tag)
+        if not beyond:
+            _imply(stack, tag)
         element = Element(tag, attributes)
         if tag not in ("html", "body"):
             stack[-1].children.append(element)
@@ -155,8 +161,11 @@ def parse(html: str) -> Element:
             if not at:
                 return root
             seen = at
-        elif tag not in VOID and tag not in ("html", "body") and not (closed and any(x.tag in ("svg", "math") for x in [*stack, element])) and len(stack) < MAX_DEPTH:
-            stack.append(element)
+        elif tag not in VOID and tag not in ("html", "body") and not (closed and any(x.tag in ("svg", "math") for x in [*stack, element])):
+            if len(stack) < MAX_DEPTH:
+                stack.append(element)
+            else:
+                beyond.append(tag)
 
 
 def _imply(stack: list[Element], tag: str) -> None:
@@ -189,6 +198,17 @@ def _imply(stack: list[Element], tag: str) -> None:
         del stack[1:]
 
 
+def _close_beyond(beyond: list[str], tag: str) -> bool:
+    """Whether an end tag belongs among the elements beyond the depth: it ends one of them, or reaches no further."""
+    for k in range(len(beyond) - 1, -1, -1):
+        if beyond[k] == tag:
+            del beyond[k:]
+            return True
+        if beyond[k] in SCOPE and tag not in ("table", "tr", "thead", "tbody", "tfoot"):
+            return True
+    return False
+
+
 def _close(stack: list[Element], tag: str) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag == tag:
