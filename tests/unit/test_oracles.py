@@ -12,6 +12,7 @@ MORE = "/root/testdata/sf0.01"  # for what the smallest tables are too small for
 SOME = ["tick_bars_multi", "legacy_tick_bars", "volume_bars", "volume_bars_cum", "clean_full", "session_filter", "feature_matrix", "triple_barrier", "suggest_tp_sl", "asof_signal", "cpcv_folds", "tscv_folds", "backtest_trades", "perf_extended", "mann_whitney_u"]
 SOME += ["legacy_bid_ask_bars", "ticks_from_csv", "ticks_converted", "training_rows", "frac_diff_ffd", "signals_random", "temporal_safety"]
 LARGER = ["tscv_folds", "tscv_folds_multi", "cpcv_folds_multi", "fold_metrics", "monte_carlo", "bootstrap_ci"]
+LARGER += ["heikin_ashi_bars", "mann_whitney_exact", "bootstrap_median", "bootstrap_sharpe", "cpcv_ranges", "triple_barrier_exact_session"]
 SOME += LARGER[1:]
 
 
