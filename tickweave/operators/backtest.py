@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.chains import Steps, along_chain
 from ..functions.prefix import with_prefix
 from ..functions.search import HALT, NONE, UP, first_reach
+from ..functions.stored import stored
 from .session import SessionCalendar
 from .signals import Strategy
 
@@ -84,7 +85,7 @@ def _free_steps(max_bars: int):
 
 def run_backtest(bars: DataFrame, signals: DataFrame, spec: BacktestSpec) -> DataFrame:
     """The trade log: a position at a time for each symbol; the bar that closes one opens none."""
-    candidates = candidate_trades(bars, signals, spec)
+    candidates = stored(candidate_trades(bars, signals, spec), "candidates")  # read by both passes of the chain
     taken = along_chain(candidates, "entry_bar", _free_steps(spec.max_bars), ("exit_bar",), 0.0).where("taken").drop("taken", "rank")
     cost = spec.commission * spec.size * (F.col("entry_price") + F.col("exit_price"))
     pnl = (F.col("exit_price") - F.col("entry_price")) * spec.size - cost
