@@ -1,10 +1,11 @@
-import time
-import itertools
 import collections
 import dataclasses
 import hashlib
+import itertools
 import math
 import random
+import sys
+import time
 
 import numpy as np
 import pandas as pd
@@ -331,3 +332,36 @@ def test_experiment_with_regimes_and_distances_of_each_symbol(spark):
     assert {r.symbol for r in both["metrics"].select("symbol").distinct().collect()} == {"A", "B|x"}
     with pytest.raises(ValueError):
         experiment.Experiment.from_config({**config, "models": {"hmm": {"macro": {"enabled": True, "states": 3}}}})
+
+
+def test_hmm_against_all_paths_and_in_few_steps():
+    rng = np.random.default_rng(4)
+
+    def model(k):
+        return regimes.GaussianHMM(["a"], np.zeros(1), np.ones(1), rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.normal(size=(k, 1)), 0.5 + rng.random((k, 1, 1)), [])
+
+    for n in (1, 2, 3, 5, 8):
+        m, x = model(3), rng.normal(size=(n, 1))
+        before, after = rng.dirichlet(np.ones(3)), rng.random(3)
+        dense = m.log_density(x)
+        for b, a in ((None, None), (before, after)):
+            paths = list(itertools.product(range(3), repeat=n))
+            weights = np.array([np.log(m.start if b is None else b @ m.move)[p[0]] + sum(dense[t, s] for t, s in enumerate(p)) + sum(np.log(m.move[i, j]) for i, j in zip(p, p[1:])) + (0 if a is None else np.log(a[p[-1]])) for p in paths])
+            share = np.exp(weights - weights.max())
+            share /= share.sum()
+            want = np.array([[sum(w for p, w in zip(paths, share) if p[t] == s) for s in range(3)] for t in range(n)])
+            got, pair, likelihood = m.forward_backward(x, b, a)
+            assert np.allclose(got, want) and abs(pair.sum() - (n - (b is None))) < 1e-9
+            if a is None:
+                assert abs(likelihood - (weights.max() + np.log(np.exp(weights - weights.max()).sum()))) < 1e-9
+            scores = [weights[i] + (0 if b is None else np.log(b[:, None] * m.move).max(0)[p[0]] - np.log(b @ m.move)[p[0]]) for i, p in enumerate(paths)]
+            assert tuple(m.viterbi(x, None if b is None else np.log(b), None if a is None else np.log(a))) == paths[int(np.argmax(scores))]
+    m, x = model(3), rng.normal(size=(20_000, 1))
+    for work in (m.forward_backward, m.viterbi, m.forward, lambda x: m.transfer(x, False)):
+        calls = [0]
+        sys.setprofile(lambda *_: calls.__setitem__(0, calls[0] + 1))
+        try:
+            work(x)
+        finally:
+            sys.setprofile(None)
+        assert calls[0] < 20_000  # not a call for each row

@@ -510,8 +510,8 @@ _add(
 
 
 def _hmm(spark, d):
-    rows = in_blocks(_bars(spark, d), ft.macro_features, 100)
     columns = ["ret_long", "vol_long", "trend_slope", "trend_strength"]
+    rows = stored(in_blocks(_bars(spark, d), ft.macro_features, 100).select("symbol", "bar_index", *columns), "macro")
     return regimes.regimes(rows, regimes.fit_hmm(rows, columns, 3), "macro")
 
 
