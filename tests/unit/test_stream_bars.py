@@ -1,8 +1,11 @@
 import random
+import sys
 from dataclasses import asdict
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tickweave.operators import bars
@@ -60,3 +63,55 @@ def test_late_ticks_are_dropped_and_bars_without_ticks_are_closed(spark, tmp_pat
     assert [(r.bar_index, r.tick_count) for r in got] == [(0, 3)]
     with pytest.raises(ValueError):
         stream.stateful_bars(ticks, bars.BarSpec("tick", 5, mid=True))
+
+
+class _State(dict):
+    """Map and value state that counts what is written."""
+
+    written = 0
+    containsKey, removeKey, exists = dict.__contains__, dict.__delitem__, dict.__len__
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+        self.written += sum(len(x) for x in value if isinstance(x, bytes))
+
+    def get(self):
+        return self[None]
+
+    def update(self, value):
+        self[None] = value
+
+
+def test_waiting_ticks_are_written_once_and_bars_made_together():
+    rows = stream._TICK.itemsize
+    rng, ticks = np.random.default_rng(5), some_ticks(30_000)
+    dealt = ticks[rng.permutation(len(ticks))]
+    columns = dict(zip(("micros", "seq", "bidPrice", "askPrice", "bidVolume", "askVolume"), stream._TICK.names, strict=True))
+    states, timers = {}, set()
+    handle = SimpleNamespace(registerTimer=timers.add, deleteTimer=timers.discard)
+    handle.getValueState = handle.getMapState = lambda name, *_: states.setdefault(name, _State())
+    spec = bars.BarSpec("volume", 90.0)
+    processor = stream.BarProcessor(SimpleNamespace(**asdict(spec)), 600_000, None)
+    processor.init(handle)
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    for part in np.split(dealt, 100):  # each part has ticks of every bucket
+        batch = pa.record_batch({"symbol": ["S"] * len(part)} | {c: part[own] for c, own in columns.items()})
+        for piece in stream._packing(600_000)(iter([batch])):
+            assert piece.num_rows == len(set(part["micros"] // 600_000_000)) and list(processor.handleInputRows(("S",), iter([piece.to_pandas()]), now)) == []
+    assert sum(s.written for s in states.values()) == len(ticks) * rows
+    got = [b for at in sorted(timers) for b in processor.handleExpiredTimer(("S",), now, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))]
+    calls, whole = [0], open_bar(spec)
+    sys.setprofile(lambda *_: calls.__setitem__(0, calls[0] + 1))
+    try:
+        expected = whole.taken("S", ticks)
+    finally:
+        sys.setprofile(None)
+    (expected,), got = expected, pd.concat(got, ignore_index=True)
+    pd.testing.assert_frame_equal(got, expected, check_dtype=False)
+    assert len(expected) > 5000 and calls[0] < 2 * len(expected) and not states["pieces"] and not states["parts"]
+    slow = open_bar(spec)
+    one_by_one = [row for i in range(2000) for row in slow.take("S", ticks[i : i + 1])]
+    pd.testing.assert_frame_equal(stream._frame(one_by_one), expected[: len(one_by_one)], check_dtype=False)

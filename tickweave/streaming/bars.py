@@ -1,7 +1,7 @@
 """Bars of a stream of ticks, by number of ticks or by volume: what a symbol's bars depend on is kept as state.
 
-Ticks that arrive wait in pending buckets of time until the watermark has passed a bucket's end; a timer then takes its ticks in the order
-of (timestamp, seq) into the open bar. So the order of arrival within the watermark's delay does not matter, and bars are those of the table
+Tasks first pack the ticks that arrive into pieces, each a symbol's ticks of one bucket of time. Pieces wait as they are until the watermark has passed
+their bucket's end; a timer then takes its ticks in the order of (timestamp, seq), all bars that they end at once. So the order of arrival within the watermark's delay does not matter, and bars are those of the table
 of all ticks, in whatever micro-batches they come and wherever the query is stopped and started again from its checkpoint.
 """
 
@@ -15,6 +15,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,44 @@ _TICK = np.dtype([("micros", "<i8"), ("seq", "<i8"), ("bid", "<f8"), ("ask", "<f
 #: Of a symbol: ticks and amount so far, the open bar's number and amount, and what the open bar has of its ticks (n of them).
 _OPEN = "idx long, total double, bar long, held double, n long, first long, last long, bid array<double>, ask array<double>, mean double, m2 double, bv double, av double, idle long"
 _BAR = "symbol string, bar_index long, timestamp timestamp, bid_open double, bid_high double, bid_low double, bid_close double, ask_open double, ask_high double, ask_low double, ask_close double, tick_count long, spread_mean double, spread_std double, bidVolume_sum double, askVolume_sum double"
+_COLUMNS = [c.split()[0] for c in _BAR.split(", ")]
+_DOUBLES = {c.split()[0]: float for c in _BAR.split(", ") if c.endswith(" double")}
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Ticks that a task holds at once while it packs. Results don't depend on it.
+PACK = 1 << 19
+
+
+def _packing(width: int):
+    """Rows of ticks -> pieces: symbol, bucket, the latest time, the ticks. Rows without prices give a time only."""
+
+    def pieces(table: pa.Table) -> pa.RecordBatch:
+        coded = table["symbol"].combine_chunks().dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        ticks = np.empty(len(table), _TICK)
+        for own, column in (("micros", "micros"), ("seq", "seq"), ("bid", "bidPrice"), ("ask", "askPrice"), ("bv", "bidVolume"), ("av", "askVolume")):
+            ticks[own] = table[column].to_numpy()
+        order = np.lexsort((buckets := ticks["micros"] // (1000 * width), codes))
+        ticks, buckets, codes = ticks[order], buckets[order], codes[order]
+        cuts = np.flatnonzero((np.diff(buckets) != 0) | (np.diff(codes) != 0)) + 1
+        starts, parts = np.append(0, cuts), np.split(ticks, cuts)
+        priced = [p[~(np.isnan(p["bid"]) & np.isnan(p["ask"]))].tobytes() for p in parts]
+        symbols = [None if c < 0 else names[c] for c in codes[starts].tolist()]
+        return pa.record_batch([pa.array(symbols, pa.string()), pa.array(buckets[starts]), pa.array([int(p["micros"].max()) for p in parts], pa.int64()), pa.array(priced, pa.binary())], names=["symbol", "bucket", "micros", "ticks"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held, n = [*held, batch], n + batch.num_rows
+            if n >= PACK:
+                yield pieces(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield pieces(pa.Table.from_batches(held))
+
+    return work
+
 
 class _Open:
     """The open bar of a symbol; takes ticks in order and gives the bars that they end."""
@@ -98,23 +135,57 @@ class _Open:
         self.clear()
         return out
 
-    def take(self, symbol: str | None, ticks: np.ndarray) -> list[tuple]:
+    def _whole(self, symbol: str | None, ticks: np.ndarray, numbers: np.ndarray) -> pd.DataFrame:
+        """Bars of which all ticks are here."""
+        starts = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+        ends, n = np.append(starts[1:], len(ticks)) - 1, np.diff(starts, append=len(ticks))
+        ddof, spread = (1 if self.spec.ddof else 0), ticks["ask"] - ticks["bid"]
+        mean = np.add.reduceat(spread, starts) / n
+        m2 = np.add.reduceat((spread - np.repeat(mean, n)) ** 2, starts)
+        out = {"symbol": np.full(len(n), symbol, object), "bar_index": numbers[starts], "timestamp": pd.to_datetime(ticks["micros"][starts if self.spec.time == "first" else ends], unit="us", utc=True)}
+        for side in ("bid", "ask"):
+            price = np.ascontiguousarray(ticks[side])
+            out |= {f"{side}_open": price[starts], f"{side}_high": np.maximum.reduceat(price, starts), f"{side}_low": np.minimum.reduceat(price, starts), f"{side}_close": price[ends]}
+        out |= {"tick_count": n, "spread_mean": mean, "spread_std": np.where(n > ddof, np.sqrt(m2 / np.maximum(n - ddof, 1)), np.nan)}
+        for name, own in (("bidVolume_sum", "bv"), ("askVolume_sum", "av")):
+            known = ~np.isnan(ticks[own])
+            out[name] = np.where(np.logical_or.reduceat(known, starts), np.add.reduceat(np.where(known, ticks[own], 0.0), starts), np.nan)
+        return pd.DataFrame(out, columns=_COLUMNS)
+
+    def taken(self, symbol: str | None, ticks: np.ndarray) -> list[pd.DataFrame]:
         """The bars that these ticks, in order, end."""
+        if not len(ticks):
+            return []
         numbers, ended = self._numbers(ticks)
-        out, cuts = [], np.flatnonzero(np.diff(numbers, prepend=self.bar))
-        for part, number in zip(np.split(ticks, cuts), [self.bar, *numbers[cuts].tolist()], strict=True):
-            if number != self.bar:
-                if self.n:
-                    out.append(self.close(symbol))
-                self.bar = number
-            if len(part):
-                self._add(part)
         self.idx += len(ticks)
-        if ended:
-            out.append(self.close(symbol))
-            self.bar += 1
+        out = []
+        if self.n:
+            other = np.flatnonzero(numbers != self.bar)
+            head = int(other[0]) if len(other) else len(ticks)
+            if head:
+                self._add(ticks[:head])
+            if head < len(ticks) or ended:
+                out.append(_frame([self.close(symbol)]))
+            ticks, numbers = ticks[head:], numbers[head:]
+        if len(ticks):
+            other = np.flatnonzero(numbers != numbers[-1])
+            last = len(ticks) if ended else int(other[-1]) + 1 if len(other) else 0
+            if last:
+                out.append(self._whole(symbol, ticks[:last], numbers[:last]))
+            self.bar = int(numbers[-1])
+            if last < len(ticks):
+                self._add(ticks[last:])
+        self.bar += ended
         return out
 
+    def take(self, symbol: str | None, ticks: np.ndarray) -> list[tuple]:
+        """taken() as rows."""
+        return [row for bars in self.taken(symbol, ticks) for row in bars.itertuples(index=False, name=None)]
+
+
+def _frame(bars: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(bars, columns=_COLUMNS).astype(_DOUBLES)
+
 
 class BarProcessor(StatefulProcessor):
     """Keeps a symbol's pending ticks and open bar. width is a bucket's in milliseconds; idle, after how long without ticks an open bar is closed."""
@@ -125,55 +196,58 @@ class BarProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", _OPEN)
-        self.pending = handle.getMapState("pending", "bucket long", "ticks binary")
+        self.parts = handle.getMapState("parts", "bucket long", "n long")  # how many pieces of a bucket wait
+        self.pending = handle.getMapState("pieces", "bucket long, part long", "ticks binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         for part in rows:
-            part = part[part["bidPrice"].notna() | part["askPrice"].notna()]
-            ticks = np.empty(len(part), _TICK)
-            for own, column in (("micros", "micros"), ("seq", "seq"), ("bid", "bidPrice"), ("ask", "askPrice"), ("bv", "bidVolume"), ("av", "askVolume")):
-                ticks[own] = part[column].to_numpy()
-            buckets = ticks["micros"] // (1000 * self.width)
-            for bucket in np.unique(buckets).tolist():
+            for bucket, ticks in zip(part["bucket"].tolist(), part["ticks"], strict=True):
                 end = (bucket + 1) * self.width
-                if end <= passed:
+                if end <= passed or not ticks:
                     continue  # too late: the bucket's ticks are taken
-                have = self.pending.getValue((bucket,))[0] if self.pending.containsKey((bucket,)) else b""
-                if not have:
+                n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
+                if not n:
                     self.handle.registerTimer(end)
-                self.pending.updateValue((bucket,), (bytes(have) + ticks[buckets == bucket].tobytes(),))
+                self.pending.updateValue((bucket, n), (bytes(ticks),))
+                self.parts.updateValue((bucket,), (n + 1,))
         return iter(())
 
-    def _rest(self, symbol: str | None, bar: _Open) -> list[tuple]:
+    def _waiting(self, bucket: int) -> np.ndarray:
+        """A bucket's ticks in order, which from now on no longer wait."""
+        pieces = [(bucket, i) for i in range(self.parts.getValue((bucket,))[0])]
+        ticks = np.concatenate([np.frombuffer(bytes(self.pending.getValue(p)[0]), _TICK) for p in pieces])
+        for p in pieces:
+            self.pending.removeKey(p)
+        self.parts.removeKey((bucket,))
+        return ticks[np.lexsort((ticks["seq"], ticks["micros"]))]
+
+    def _rest(self, symbol: str | None, bar: _Open) -> list[pd.DataFrame]:
         """The open bar, closed as it is."""
         bar.idle = 0
         if not bar.n:
             return []
-        out = [bar.close(symbol)]
+        out = [_frame([bar.close(symbol)])]
         bar.bar, bar.held = bar.bar + (self.spec.kind != "volume_cum"), 0.0
         return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
         bar, out, bucket = _Open(self.spec, self.open.get() if self.open.exists() else None), [], at // self.width - 1
-        if at % self.width == 0 and self.pending.containsKey((bucket,)):
-            ticks = np.frombuffer(bytes(self.pending.getValue((bucket,))[0]), _TICK)
-            self.pending.removeKey((bucket,))
-            out = bar.take(key[0], ticks[np.lexsort((ticks["seq"], ticks["micros"]))])
+        if at % self.width == 0 and self.parts.containsKey((bucket,)):
+            out = bar.taken(key[0], self._waiting(bucket))
             if self.idle is not None:
                 if bar.idle:
                     self.handle.deleteTimer(bar.idle)
                 bar.idle = at + self.idle
                 if bar.idle > timerValues.getCurrentWatermarkInMs():
                     self.handle.registerTimer(bar.idle)
-                elif all((b + 1) * self.width > bar.idle for (b,) in self.pending.keys()):
+                elif all((b + 1) * self.width > bar.idle for (b,) in self.parts.keys()):
                     out += self._rest(key[0], bar)  # a timer in the past would wait for the next batch
         elif at == bar.idle:
             out = self._rest(key[0], bar)
         self.open.update(bar.state())
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _BAR.split(", ")])
+        yield from out
 
 
 def _milliseconds(spark: SparkSession, interval: str) -> int:
@@ -183,7 +257,7 @@ def _milliseconds(spark: SparkSession, interval: str) -> int:
 def stateful_bars(ticks: DataFrame, spec: BarSpec, late: str = "10 minutes", width: str = "1 minute", idle: str | None = None) -> DataFrame:
     """The bars of operators.bars.build_bars() for a stream of ticks, each as soon as the watermark has passed its last tick (append mode).
 
-    Ticks may come in any order within `late`; later ones are dropped. A row without prices is no tick but moves the watermark on. A bar left
+    Ticks may come in any order within `late`; later ones are dropped, unless their bucket of `width` still waits. A row without prices is no tick but moves the watermark on. A bar left
     open is closed after `idle` without ticks, if that is given; tick bars only with keep_partial. Bars of mid prices, with details or
     durations are made from tables only. The session must keep state in RocksDB (see rocksdb_state()).
     """
@@ -192,10 +266,12 @@ def stateful_bars(ticks: DataFrame, spec: BarSpec, late: str = "10 minutes", wid
     spark = ticks.sparkSession
     if idle is not None and spec.kind == "tick" and not spec.keep_partial:
         idle = None
-    rows = ticks.withWatermark("timestamp", late)
-    rows = rows.select("symbol", "timestamp", F.unix_micros("timestamp").alias("micros"), F.coalesce("seq", F.lit(0)).alias("seq"), "bidPrice", "askPrice", "bidVolume", "askVolume")
-    processor = BarProcessor(SimpleNamespace(**asdict(spec)), _milliseconds(spark, width), None if idle is None else _milliseconds(spark, idle))
-    return rows.groupBy("symbol").transformWithStateInPandas(processor, _BAR, "append", "EventTime")
+    span = _milliseconds(spark, width)
+    rows = ticks.where(F.col("timestamp").isNotNull()).select("symbol", F.unix_micros("timestamp").alias("micros"), F.coalesce("seq", F.lit(0)).alias("seq"), *[F.col(c).cast("double").alias(c) for c in ("bidPrice", "askPrice", "bidVolume", "askVolume")])
+    pieces = rows.mapInArrow(_packing(span), "symbol string, bucket long, micros long, ticks binary")
+    pieces = pieces.select("symbol", "bucket", "ticks", F.timestamp_micros("micros").alias("timestamp")).withWatermark("timestamp", late)
+    processor = BarProcessor(SimpleNamespace(**asdict(spec)), span, None if idle is None else _milliseconds(spark, idle))
+    return pieces.groupBy("symbol").transformWithStateInPandas(processor, _BAR, "append", "EventTime")
 
 
 @contextmanager
@@ -235,7 +311,7 @@ def replayed_bars(ticks: DataFrame, spec: BarSpec, slices: int = 2) -> DataFrame
         for k in range(slices + 1):
             if k < slices:
                 at = F.floor((F.unix_millis("timestamp") - first) / width)
-                table.where(at == k).repartition(2, "seq").write.mode("append").parquet(source)
+                table.where(at == k).repartition(2, "seq").write.mode("append").option("parquet.block.size", 16 << 20).parquet(source)  # blocks that tasks can share
             else:
                 nothing = [F.lit(None).cast("double").alias(c) for c in ("bidPrice", "askPrice", "bidVolume", "askVolume")]
                 end = spark.range(1).select(F.lit("").alias("symbol"), F.lit(None).cast("long").alias("seq"), F.timestamp_millis(F.lit(last + 3 * width + 40 * 86_400_000)).alias("timestamp"), *nothing)
